@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import mixing, sharding
+from seglume.llm import licenses, mixing, sharding, simhash
 from seglume.session import table
 
 
+def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, d, "documents")))
+
+
 def op4_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
@@ -17,7 +25,7 @@ def op6_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_source_mix": op4_source_mix, "op6_hilbert_shards": op6_hilbert_shards}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op4_source_mix, op6_hilbert_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
