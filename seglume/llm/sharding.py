@@ -4,9 +4,9 @@ Source, language and text size are quantised at the quantiles of the table, the
 the documents, and the order is cut into shards whose row counts differ by at most one (law ``rows``). Neighbours on
 the curve have near values in every dimension, so a shard's min and max prune files for filters on any of them.
 
-The global position is exact without one global sort: cells of the curve are salted by the document's id, counts of
-(cell, salt) are summed along the curve (their number is bounded by the curve and the number of salts), and rows are
-numbered within (cell, salt) only. A cell that holds a third of all rows spreads over all salts.
+The global position is exact without one global sort: a cell of the curve gets a salt for every
+``rows_per_salt`` of its rows, counts of (cell, salt) are summed along the curve, and rows are numbered within
+(cell, salt) only. A cell that holds a third of all rows so spreads over many tasks.
 
 Nulls: a null text has 8 bytes of size and the checksum of no bytes; null source, language or id order first.
 Repeated rows get positions of their own. An empty table gives no rows. Other columns are ignored.
@@ -26,7 +26,6 @@ class ShardParams:
     shards: int = 24
     bits: int = 4
     rows_per_salt: int = 4000
-    max_salts: int = 1024
 
 
 DIMENSIONS = 3
@@ -87,7 +86,6 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     marks = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(c, cuts, 10_000).alias(c) for c in ("d0", "d1", "size")]).first()
     if not marks["n"]:
         marks = {"n": 1, "d0": [], "d1": [], "size": []}
-    salts = max(1, min(p.max_salts, -(-marks["n"] // p.rows_per_salt)))
 
     def band(c: str) -> Column:
         """How many distinct cuts lie below the value."""
@@ -97,8 +95,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         return out
 
     cell = (band("d0") * side + band("d1")) * side + band("size")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    rows = rows.withColumn("cell", cell).withColumn("salt", salt).join(F.broadcast(curve_table(spark, p.bits)), "cell").drop("cell", "d0", "d1")
+    curve = stage(
+        rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).join(F.broadcast(curve_table(spark, p.bits)), "cell").select("cell", "h", F.ceil(F.col("n") / p.rows_per_salt).cast("int").alias("salts")),
+        "shard-curve",
+    )  # at most one row a cell: a size that no data changes
+    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
+    rows = rows.withColumn("cell", cell).join(F.broadcast(curve), "cell").withColumn("salt", salt).drop("cell", "d0", "d1", "salts")
 
     counts = stage(rows.groupBy("h", "salt").agg(F.count("*").alias("rows")), "shard-counts")
     along = W.partitionBy(F.lit(1)).orderBy("h", "salt").rowsBetween(W.unboundedPreceding, -1)
