@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import licenses, mixing, sharding, simhash
+from seglume.llm import licenses, mixing, quality, secrets, sharding, simhash
 from seglume.session import table
 
 
@@ -24,8 +24,16 @@ def op6_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(table(spark, d, "documents"))
 
 
+def op7_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.summary(secrets.scan(table(spark, d, "documents")))
+
+
+def op8_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op4_source_mix, op6_hilbert_shards)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op4_source_mix, op6_hilbert_shards, op7_secrets, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -48,12 +48,12 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(col: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts."""
     raw, offs = buffers(col)
     a, n = 0, len(offs) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1)
         yield a, b, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 
