@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import licenses, mixing, quality, secrets, sharding, simhash
+from seglume.llm import licenses, mixing, quality, secrets, sharding, simhash, tokenfile
 from seglume.session import table
 
 
@@ -20,6 +20,16 @@ def op4_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
 
+def token_params() -> tokenfile.TokenParams:
+    import public_tokenizers
+
+    return tokenfile.TokenParams(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokenfile.encode(table(spark, d, "documents"), token_params())
+
+
 def op6_hilbert_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(table(spark, d, "documents"))
 
@@ -33,7 +43,7 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op4_source_mix, op6_hilbert_shards, op7_secrets, op8_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
