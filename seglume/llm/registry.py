@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import licenses, mixing, quality, secrets, sharding, simhash, tokenfile
+from seglume.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokenfile
 from seglume.session import table
 
 
@@ -16,6 +16,10 @@ def op2_licenses(spark: SparkSession, d: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, d, "documents")))
 
 
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op4_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
@@ -43,7 +47,7 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
