@@ -86,22 +86,23 @@ def sainte_lague(cells: DataFrame, group: str, cell: str) -> DataFrame:
     return held.join(won, [group, cell], "left").withColumn("seats", F.col("low") + F.coalesce("won", F.lit(0)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: MixParams = MixParams()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the document's shard and source_blocks; one row a document."""
-    p = params
-    sizes = stage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            source_key(source_col).alias("key"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        source_key(source_col).alias("key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *more,
     )
-    n_shards = max(1, min(p.max_shards, -(-sizes.count() // p.rows_per_shard)))
+
+
+def _drawn(sizes: DataFrame, n_shards: int, p: MixParams) -> DataFrame:
     draw = F.md5(F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = sizes.withColumn("draw", draw).withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % n_shards)
+    return sizes.withColumn("draw", draw).withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % n_shards)
 
+
+def quotas(sizes: DataFrame, p: MixParams) -> DataFrame:
+    """key, shard, cell_size, source_size, target, source_blocks, quota (words); one row a shard of a source."""
     targets = source_targets(sizes, p)
     seats = sainte_lague(
         targets.select(
@@ -134,17 +135,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = sainte_lague(cells, "key", "shard").select(
         "key", "shard", "cell_size", "source_size", "target", F.col("group_seats").alias("source_blocks"), quota.alias("quota")
     )
-    cells = stage(cells, "mix-cells")
+    return stage(cells, "mix-cells")
+
 
+def _takes(rows: DataFrame, cells: DataFrame, p: MixParams) -> tuple[DataFrame, list[Column]]:
+    """Rows with their shard's quota and place, and how many words each turn around the shard takes of a row."""
     before = W.partitionBy("key", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    laid = sizes.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    part = F.lit(0)
-    for turn in range(p.max_repeats):
-        left = F.col("quota") - F.col("cell_size") * turn - F.col("at")
-        part = part + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return laid.join(cells, ["key", "shard"]).select(
-        "doc_id", "size", "source_size", "target", part.cast("long").alias("taken"), "shard", F.col("source_blocks").cast("long").alias("source_blocks")
-    )
+    laid = rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).join(cells, ["key", "shard"])
+    left = lambda turn: F.col("quota") - F.col("cell_size") * turn - F.col("at")
+    return laid, [F.greatest(F.lit(0), F.least(F.col("size"), left(turn))).cast("long") for turn in range(p.max_repeats)]
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: MixParams) -> tuple[DataFrame, DataFrame, int]:
+    sizes = stage(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    n_shards = max(1, min(p.max_shards, -(-sizes.count() // p.rows_per_shard)))
+    sizes = _drawn(sizes, n_shards, p)
+    return sizes, quotas(sizes, p), n_shards
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: MixParams = MixParams()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the document's shard and source_blocks; one row a document."""
+    sizes, cells, _ = _prepared(docs, id_col, text_col, source_col, params)
+    laid, takes = _takes(sizes, cells, params)
+    return laid.select("doc_id", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), "shard", F.col("source_blocks").cast("long").alias("source_blocks"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", params: MixParams = MixParams()) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each turn that takes words of a document. Where a quota
+    ends within a document, its row has the text's first words only (and ``chars_col``, if there, their length)."""
+    _, cells, n_shards = _prepared(docs, id_col, text_col, source_col, params)
+    rows = _drawn(_sized(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")), n_shards, params)
+    laid, takes = _takes(rows, cells, params)
+    out = laid.select("row", "size", F.explode(F.filter(F.array(*takes), lambda x: x > 0)).alias("take"))
+    words = F.filter(F.split(F.col(f"row.{text_col}"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    text = F.when(F.col("take") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " ")).otherwise(F.col(f"row.{text_col}"))
+    out = out.select("row", text.alias("text"), "take", "size")
+    chars = F.when(F.col("take") < F.col("size"), F.char_length("text")).otherwise(F.col(f"row.{chars_col}")) if chars_col in docs.columns else None
+    own = {text_col: F.col("text")} | ({chars_col: chars.cast(dict(docs.dtypes)[chars_col])} if chars is not None else {})
+    return out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 _SL = """{n}_l AS (SELECT *, CASE WHEN group_seats > group_cells / 2 THEN CAST(floor(greatest(0.0, coalesce(votes / nullif(group_votes, 0), 0.0) * (group_seats - group_cells / 2)) + 0.5) AS BIGINT) ELSE 0 END AS low,

@@ -216,13 +216,17 @@ def score_texts(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str
     p = params
     vectors = word_vectors(docs, text_col, p)
     net = train(docs, labels, vectors, id_col, text_col, label_col, p)
-    chosen = docs.select(F.col(text_col).cast("string").alias("body"), *[F.col(k).alias(f"c{i}") for i, k in enumerate(keep)])
-    names = [*chosen.columns[1:], "score"]
+    carried = [F.col(k).alias(f"c{i}") for i, k in enumerate(keep)]
+    if text_col in keep and dict(docs.dtypes)[text_col] == "string":  # the text goes to Python once
+        chosen, body = docs.select(*carried), keep.index(text_col)
+    else:
+        chosen, body = docs.select(*carried, F.col(text_col).cast("string").alias("body")), len(keep)
+    names = [*chosen.columns[: len(keep)], "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.concatenate([net.score(pool(raw, offs, vectors, p)) for _, _, raw, offs in slices(batch.column(0))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=names)
+            score = np.concatenate([net.score(pool(raw, offs, vectors, p)) for _, _, raw, offs in slices(batch.column(body))] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(score, pa.float64())], names=names)
 
     return chosen.mapInArrow(run, chosen.drop("body").schema.add("score", "double"))
 

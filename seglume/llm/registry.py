@@ -46,8 +46,16 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality)}
+    import corpus_pipeline  # noqa: F401  absent together with this folder
+
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -132,7 +132,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each component, the one that names it; of repeated rows with that id, one stays."""
-    named = near_duplicates(docs, id_col, text_col).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    order = W.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = docs.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return one.join(named, one[id_col].eqNullSafe(named["_keep"]), "left_semi")
+    key = F.coalesce(F.concat(F.lit("s"), F.col(id_col).cast("string")), F.lit("n"))
+    named = near_duplicates(docs, id_col, text_col).where("doc_id = component_id or component_id is null")
+    named = named.select(F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n")).alias("_key")).distinct()
+    # one shuffle serves the window and the join: both are by the key
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.xxhash64(text_col).alias("_order"))
+    one = rows.withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy("_order"))).where("_at = 1")
+    return one.join(named, "_key", "left_semi").select("_row.*")
