@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokenfile
+from seglume.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokenfile, urls
 from seglume.session import table
 
 
@@ -46,6 +46,11 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op9_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return urls.judge(urls.dated_pages(pages), urls.dated_list(pages))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,8 +60,8 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline  # noqa: F401  absent together with this folder
 
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.mix_sql()}
+    return {"op4_source_mix": mixing.mix_sql(), "op9_url_filter": urls.judge_sql()}
