@@ -113,7 +113,7 @@ def hashes(raw: np.ndarray, w: Words, folded: np.ndarray) -> np.ndarray:
     n = len(raw)
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((folded[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    np.cumsum((folded.astype(np.uint64) + np.uint64(1))[raw] * up[:n], out=sums[1:])
     return mix64((sums[w.ends] - sums[w.starts]) * down[w.starts])
 
 

@@ -58,7 +58,7 @@ _SLOTS = 1 << 18
 def compress(ids: np.ndarray, last: np.ndarray, first_free: int, p: TokenParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, last): ``last`` marks the last symbol of a document, rules are (left, right) by nonterminal."""
     symbols, rules = ids.astype(np.uint32), []
-    free = first_free
+    free, held, name = first_free, np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int64)
     for _ in range(p.rounds):
         if len(symbols) < 2:
             break
@@ -66,20 +66,24 @@ def compress(ids: np.ndarray, last: np.ndarray, first_free: int, p: TokenParams)
         slot = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(14)
         slot[last[:-1]] = 0
         count = np.bincount(slot, minlength=_SLOTS)
-        # only pairs in slots as full as the pairs_per_round-th fullest can be among the most frequent
+        # only pairs in slots as full as the pairs_per_round-th fullest can be among the most frequent; of pairs that
+        # share a slot, one counts in this round
         bar = max(p.least_count, int(np.partition(count, -p.pairs_per_round)[-p.pairs_per_round]))
         at = np.flatnonzero((count >= bar)[slot] & ~last[:-1])
         if not len(at):
             break
-        key = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        pairs, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-        order = np.lexsort((pairs, -n))[: p.pairs_per_round]
-        order = order[n[order] >= p.least_count]
+        slot, key = slot[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
+        held[slot] = key
+        own = held[slot] == key
+        at, slot = at[own], slot[own]
+        count = np.bincount(slot, minlength=_SLOTS)
+        full = np.flatnonzero(count >= p.least_count)
+        order = full[np.lexsort((held[full], -count[full]))[: p.pairs_per_round]]
         if not len(order):
             break
-        name = np.full(len(pairs), -1, np.int64)
         name[order] = free + np.arange(len(order))
-        new = name[inverse]
+        new = name[slot]
+        name[order] = -1
         at, new = at[new >= 0], new[new >= 0]
         # occurrences that overlap: every other one of a run, from its left end
         starts = np.concatenate([[True], np.diff(at) > 1])
@@ -91,7 +95,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first_free: int, p: TokenParams)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([pairs[order] >> np.uint64(32), pairs[order] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([held[order] >> np.uint64(32), held[order] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         free += len(order)
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), last
 
@@ -170,23 +174,25 @@ _loaded: dict = {}
 
 
 _FOLD = word_mask([])[1]
-_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
-_MARK = np.array([32 < i < 127 and not chr(i).isalnum() and chr(i) != "'" for i in range(256)])
+#: 1 for ASCII letters and digits, 2 for ASCII marks but the apostrophe: where neighbours make 3, pieces part.
+_SIDE = np.array([1 if i < 128 and chr(i).isalnum() else 2 if 32 < i < 127 and chr(i) != "'" else 0 for i in range(256)], np.uint8)
 
 
 def pieces_of(raw: np.ndarray, offs: np.ndarray, specials: list[bytes]) -> tuple[np.ndarray, Words]:
     """The bytes with A-Z in lower case (not before a byte that is not ASCII, which may combine), and the pieces."""
-    w = words(raw, offs, _INSIDE)
-    if len(raw) < 2 or any(x in raw.tobytes() for x in specials):  # a special token is found in the text as it stands
-        return raw, w
+    body = raw.tobytes()
+    if len(raw) < 2 or any(x in body for x in specials):  # a special token is found in the text as it stands
+        return raw, words(raw, offs, _INSIDE)
     low = _FOLD[raw]
     low[:-1] = np.where(raw[1:] < 128, low[:-1], raw[:-1])
     low[-1] = raw[-1]
-    cut = np.flatnonzero((_ALNUM[raw[:-1]] & _MARK[raw[1:]]) | (_MARK[raw[:-1]] & _ALNUM[raw[1:]])) + 1
-    cut = cut[~np.isin(cut, offs)]
-    starts = np.sort(np.concatenate([w.starts, cut]))
-    ends = np.sort(np.concatenate([w.ends, cut]))
-    return low, Words(starts, ends, np.searchsorted(starts, offs))
+    on, side = _INSIDE[raw], _SIDE[raw]
+    fresh = np.empty(len(raw) + 1, bool)  # a piece cannot go on over this border
+    fresh[0] = fresh[-1] = True
+    fresh[1:-1] = (side[1:] + side[:-1] == 3) | ~(on[1:] & on[:-1])
+    fresh[offs] = True
+    starts = np.flatnonzero(on & fresh[:-1])
+    return low, Words(starts, np.flatnonzero(on & fresh[1:]) + 1, np.searchsorted(starts, offs))
 
 
 class Encoder:
@@ -205,16 +211,17 @@ class Encoder:
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at = np.zeros(self.p.lexicon * 2 + 1, np.int64)
+        self.at, self.size = np.zeros(self.p.lexicon * 2, np.int64), np.zeros(self.p.lexicon * 2, np.int64)
 
     def _store(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        n = len(self.slots)
-        while n + len(keys) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        n, more = len(self.slots), len(keys)
+        while n + more > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.at[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(lengths)
+        self.at[n : n + more] = self.used + np.cumsum(lengths) - lengths
+        self.size[n : n + more] = lengths
         self.used += len(ids)
         self.slots.update(zip(keys, range(n, n + len(keys))))
 
@@ -257,10 +264,10 @@ class Encoder:
             view, s, e = memoryview(raw), w.starts[where[new]].tolist(), w.ends[where[new]].tolist()
             self.learn([keys[i] for i in new], [str(view[a:b], "utf-8", "replace") for a, b in zip(s, e)])
         slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[inverse]
-        a, n = self.at[slot], self.at[slot + 1] - self.at[slot]
+        a, n = self.at[slot], self.size[slot]
         ends = np.concatenate([[0], np.cumsum(n)])
         # ids of pieces, one piece after another
-        pick = np.repeat(a - ends[:-1], n) + np.arange(ends[-1])
+        pick = np.repeat((a - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)
         docs = len(offs) - 1
         lengths = ends[w.first[1:]] - ends[w.first[:-1]]
         out = np.full(int(ends[-1]) + docs, self.p.end_id, np.uint32)
@@ -297,7 +304,7 @@ def _blocks(p: TokenParams):
             return pa.RecordBatch.from_arrays(row, names=["shard", "block", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for a, b, raw, offs in slices(batch.column(1), 2 << 20):
+            for a, b, raw, offs in slices(batch.column(1), 4 << 20):
                 got, n = enc.encode(raw, offs)
                 if held and held + len(got) > p.block_ids:
                     yield flush()
