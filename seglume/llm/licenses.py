@@ -161,7 +161,7 @@ def keywords() -> dict[bytes, tuple[int, ...]]:
 
 
 #: One of these is in every text that a rule or a base phrase can match, so most texts stop here.
-GATES = (b"licen", b"spdx", b" cc ", b"cc0", b"commons", b"gpl", b"public domain", b"permission", b"redistribution", b"reserved", b"proprietary", b" under ", b"warranty")
+GATES = (b"licen", b"spdx", b" cc ", b"cc0", b"commons", b"gpl", b"public domain", b"permission", b"redistribution", b"reserved", b"proprietary", b" under ", b"warranty", b"mozilla org", b"eclipse org")
 _WORDS = bytes(32 if i in MARKS else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 

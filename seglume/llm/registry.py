@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokenfile, urls
+from seglume.llm import audio, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, tokenfile, urls
 from seglume.session import table
 
 
@@ -51,6 +51,11 @@ def op9_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return urls.judge(urls.dated_pages(pages), urls.dated_list(pages))
 
 
+def op10_audio_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The tables hold no sound, so each whole text is played as notes."""
+    return audio.align(table(spark, d, "documents"), "doc_id", "text", audio.notes())
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +65,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline  # noqa: F401  absent together with this folder
 
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, op10_audio_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
