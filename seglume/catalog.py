@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import progress
+from seglume.plans import progress, timelines
 
-MODULES = (progress,)
+MODULES = (progress, timelines)
 
 
 def queries() -> dict:
@@ -13,3 +13,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
+
+
+#: Queries that give no rows on the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
