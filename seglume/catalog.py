@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import progress, timelines
+from seglume.plans import progress, relations, timelines
 
-MODULES = (progress, timelines)
+MODULES = (progress, relations, timelines)
 
 
 def queries() -> dict:

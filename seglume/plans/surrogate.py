@@ -19,7 +19,7 @@ TIMED_SQL = f"""timed AS (
   FROM (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // {US_PER_MS} AS start_ms FROM events))"""
 
 WORK_SQL = """work AS (
-  SELECT l_suppkey AS project, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS seq,
+  SELECT l_suppkey AS project, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) AS seq,
          CASE l_returnflag WHEN 'A' THEN 'TRANSLATED' WHEN 'R' THEN 'RAW' ELSE 'MERGED_CHILD' END AS status,
          CASE WHEN l_linestatus = 'F' THEN '' WHEN l_quantity < 10 THEN NULL ELSE l_linestatus END AS translated_text,
          l_extendedprice AS price
@@ -55,7 +55,7 @@ def work(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag, line = F.col("l_returnflag"), F.col("l_linestatus")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("project"),
-        F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).cast("long").alias("seq"),
+        F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")).cast("long").alias("seq"),
         F.when(flag == "A", "TRANSLATED").when(flag == "R", "RAW").otherwise("MERGED_CHILD").alias("status"),
         F.when(line == "F", "").when(F.col("l_quantity") < 10, F.lit(None)).otherwise(line).alias("translated_text"),
         F.col("l_extendedprice").alias("price"),
