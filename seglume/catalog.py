@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import progress, relations, timelines
+from seglume.plans import lineages, progress, relations, timelines
 
-MODULES = (progress, relations, timelines)
+MODULES = (progress, relations, timelines, lineages)
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ WORK_SQL = """work AS (
 
 TALK_SQL = """talk AS (
   SELECT conv_id AS project, turn + 1 AS seq, role AS speaker, text,
-         300 * len(list_filter(string_split_regex(text, '[ \\n]+'), x -> x <> '')) AS dur_ms
+         300 * len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS dur_ms
   FROM conversations)"""
 
 

@@ -111,7 +111,7 @@ QUERIES = {
         lambda spark, d: t.timeline_stats(t.sanitize(s.timed(spark, d), 120_000)),
         f"""{_T}, a AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY start_ms, end_ms, seq) AS n, greatest(0, least(start_ms, 120000)) AS cs FROM timed),
         b AS (SELECT *, greatest(cs + 50, least(end_ms, 120000)) AS e, lead(cs) OVER (PARTITION BY project ORDER BY n) AS nx FROM a)
-        SELECT project, count(*) FILTER (cs <> start_ms OR e <> end_ms) AS clamped, count(*) FILTER (e > nx) AS overlaps,
+        SELECT project, count(*) FILTER (cs <> start_ms OR e <> end_ms) AS clamped, count(*) FILTER (e > nx) AS "overlaps",
           count(*) FILTER (nx - CASE WHEN e > nx THEN greatest(cs + 50, nx) ELSE e END >= 10000) AS large_gaps, CAST(sum(e - cs) AS BIGINT) AS spoken_ms FROM b GROUP BY 1""",
     ),
     "tl11_session_windows": (
