@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import lineages, progress, relations, timelines
+from seglume.plans import lineages, progress, relations, texts, timelines
 
-MODULES = (progress, relations, timelines, lineages)
+MODULES = (progress, relations, timelines, lineages, texts)
 
 
 def queries() -> dict:
