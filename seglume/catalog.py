@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import lineages, progress, relations, texts, timelines
+from seglume.plans import lineages, progress, relations, sequences, texts, timelines
 
-MODULES = (progress, relations, timelines, lineages, texts)
+MODULES = (progress, relations, timelines, lineages, texts, sequences)
 
 
 def queries() -> dict:
