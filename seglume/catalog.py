@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import lineages, progress, relations, sequences, texts, timelines
+from seglume.plans import lineages, progress, relations, sequences, sources_sinks, texts, timelines
 
-MODULES = (progress, relations, timelines, lineages, texts, sequences)
+MODULES = (progress, relations, timelines, lineages, texts, sequences, sources_sinks)
 
 
 def queries() -> dict:
