@@ -274,3 +274,86 @@ def crop(width: Column, height: Column, top_pct: Column, bottom_pct: Column, rat
     w = even(F.least(width, left * ratio_w / ratio_h))
     h = even(F.least(left, w * ratio_h / ratio_w))
     return F.struct(even((width - w) / 2).alias("x"), (top + even((left - h) / 2)).cast("int").alias("y"), w.alias("w"), h.alias("h"))
+
+
+# ---- lines for a voice, answers that hold JSON, kinds of stories
+
+#: What a Vietnamese voice misreads, and what it reads right, in this order.
+MISREAD = (
+    (r"(?i)v\.v\.?", "vân vân"),
+    (r"(?iU)\b(?:v[\-/]v|vv)\b", "vân vân"),
+    (r"(?U)\bVI\b|\bVi\b", "Vy"),
+    (r"(?U)\bvi\b", "vy"),
+    (r"(?U)\b[eE]\s+ngại\b", "è ngại"),
+    (r"(?U)\b[eE]\s+rằng\b", "è rằng"),
+    (r"(?U)\b[eE]\s+là\b", "è là"),
+    (r"(?U)\b[eE]\s+sợ\b", "lo sợ"),
+    (r"(?U)\b[eE]\s+dè\b", "dè dặt"),
+    (r"(?U)\b[eE]\s+thẹn\b", "thẹn thùng"),
+    (r"(?U)\b[eE]\s*!+", "Ê!"),
+    (r"(?U)\b[eE]\s*\?+", "Ể?"),
+    (r"(?U)\b[eE]\s*(?:\.{2,}|…)", "Ơ..."),
+    (r"(?U)\b([aA])(?=[aA]+\b)|(?<=[aA]' )([aA])\b", "$1$2' "),
+    (r"(?U)\bA\s+([A-ZÀ-Ỹ][a-zà-ỹ]*)", "A' $1"),
+    (r"(?iU)\ba\s+ha\b", "À ha"),
+    (r"(?U)\b[aA]\s*!+", "Á!"),
+    (r"(?U)\b[aA]\s*(?:\.{2,}|…)", "À..."),
+    (r"(?U)\b[aA]\s*,", "À,"),
+)
+#: Brackets and quotes become spaces, marks within a line semicolons, marks at its end go.
+VOICE_MARKS = (
+    (r"[\"“”„‟«»()\[\]{}/／\\]+", " "),
+    (r"(?U)\s+", " "),
+    (r"\.{3,}|…", ";"),
+    (r"[.!?:;]+(?=\s|$)", ";"),
+    (r"\s*;\s*", "; "),
+    (r";+", ";"),
+    (r"[.,!?…:;—\-_\s]+$", ""),
+)
+
+
+def for_voice(text: str | Column) -> Column:
+    """A line as it is sent to a voice: no numbering, misread words spelled out, one semicolon at its end."""
+    out = F.trim(replace_all(strip_numbering(text), *MISREAD, *VOICE_MARKS))
+    return F.when(out == "", out).otherwise(F.concat(out, F.lit(";")))
+
+
+def value_of_json(text: str | Column, name: str = "vi") -> Column:
+    """The value of a field, where a text is or holds a JSON object with it; else the text on one line."""
+    t = F.trim(_col(text))
+    quoted = F.regexp_extract(t, rf"[\"']{name}[\"']\s*:\s*[\"']([^\"']+)[\"']", 1)
+    other = F.get_json_object(F.regexp_extract(t, r"(?s)(\{.*\})", 1), f"$.{name}")
+    bare = replace_all(t, (rf"^\s*\{{+\s*[\"']?i[\"']?\s*:\s*\d+\s*,\s*[\"']?{name}[\"']?\s*:\s*[\"']?", ""), (r"[\"']?\s*\}+\s*[.,;]?\s*$", ""))
+    looks = F.contains(t, F.lit("{")) | F.contains(t, F.lit(f'"{name}"')) | F.contains(t, F.lit(f"'{name}'"))
+    found = F.when(looks, F.coalesce(F.nullif(F.trim(quoted), F.lit("")), other, bare)).otherwise(t)
+    return F.trim(replace_all(found, (r"[\r\n\t]+", " ")))
+
+
+#: Kinds of stories and words that tell them, the first kind with a word counts.
+GENRES = (
+    ("sci_fi_apocalypse", ("求生", "公路", "末世", "末日", "丧尸", "废土", "zombie", "tận thế", "mạt thế", "避难所", "庇护所", "防空洞", "安全屋")),
+    ("system_reincarnation", ("系统", "升级", "签到", "hệ thống", "thăng cấp", "属性面板", "杀戮点")),
+    ("urban_supernatural", ("序列", "异能", "觉醒", "超能", "诡异", "抓鬼", "灵异", "quỷ dị", "linh dị")),
+    ("urban", ("公司", "集团", "董事长", "总裁", "警官", "巡捕", "医院", "医生", "学校", "大学", "同学")),
+)
+DEFAULT_GENRE = "xianxia"
+
+
+def genre(text: str | Column, kinds: tuple = GENRES, default: str = DEFAULT_GENRE) -> Column:
+    """The first kind of which a word is in the text."""
+    low, out = F.lower(_col(text)), F.lit(None)
+    for name, words in reversed(kinds):
+        hit = low.rlike("|".join(words))
+        out = F.when(hit, name).otherwise(out)
+    return F.coalesce(out, F.lit(default))
+
+
+#: Beginnings that a name must not have.
+NAME_JUNK = r"(?iu)^(?:tên|tên là|gọi là|nhân vật|ông|bà|name|called)\s*[:\-]?\s+"
+
+
+def clean_name(name: str | Column, source: str | Column, readings: Column | None = None) -> Column:
+    """A name without Han characters and leading words; where nothing is left, the source's characters by their
+    readings."""
+    out = F.trim(replace_all(strip_han(name), (NAME_JUNK, ""), (r"(?U)\s+", " ")))
+    return F.when(out != "", out).otherwise(transliterate(source, readings))
