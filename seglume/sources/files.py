@@ -68,7 +68,7 @@ def ass_dialogues(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(*rest, ms_of_clock(at(1)).alias("start_ms"), ms_of_clock(at(2)).alias("end_ms"), at(3).alias("style"), at(4).alias("speaker"), at(9).alias("text"))
 
 
-SRT = r"(?s)^\s*(\d+)\s*\n(\d+:\d{2}:\d{2},\d{3})\s*-->\s*(\d+:\d{2}:\d{2},\d{3})\s*\n(.*)$"
+SRT = r"(?s)^\s*(\d+)\s*\n(\d+:\d{2}:\d{2},\d{3})\s*-->\s*(\d+:\d{2}:\d{2},\d{3})[ \t]*(?:\n(.*))?$"
 
 
 def srt_blocks(files: DataFrame, column: str = "value") -> DataFrame:
