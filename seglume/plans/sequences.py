@@ -180,11 +180,11 @@ QUERIES = {
         None,
     ),
     "al2_piece_similarity": (
-        lambda spark, d: s.talk(spark, d).selectExpr("project", "seq", "substring(text, 1, 30) as a", "lead(substring(text, 1, 30)) over (partition by project order by seq) as b").select("project", "seq", similarity.of_columns(similarity.piece_similarity)(F.col("a"), F.col("b")).alias("score")),
+        lambda spark, d: s.talk(spark, d).selectExpr("project", "seq", "text as a", "lead(text) over (partition by project order by seq) as b").select("project", "seq", similarity.of_columns(similarity.piece_similarity)(F.col("a"), F.col("b")).alias("score")),
         None,
     ),
     "t44_blended_score": (
-        lambda spark, d: s.talk(spark, d).select("project", "seq", similarity.of_columns(similarity.blended)(F.expr("substring(text, 1, 30)"), F.expr("substring(text, 3, 30)")).alias("score")),
+        lambda spark, d: s.talk(spark, d).select("project", "seq", similarity.of_columns(similarity.blended)(F.col("text"), F.expr("substring(text, 3)")).alias("score")),
         None,
     ),
     "a10_votes": (

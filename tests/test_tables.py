@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from seglume.operators import intervals, lineage, timeline
-from seglume.plans import surrogate
+from seglume.plans import progress, surrogate
 from seglume.sources import files
 from seglume.streaming import events
 
@@ -67,6 +67,13 @@ def test_survivors_equal_the_loop(spark):
     assert [r.n for r in got] == sizes
 
 
+def test_batches_without_rows_are_there(spark):
+    kind = "project long, seq long, status string, translated_text string"
+    rows = [(1, 1, "RAW", None), (1, 2, "RAW", "x"), (1, 7, "DUBBED", ""), (1, 8, "MERGED_CHILD", None), (2, 1, "RAW", " ")]
+    got = sorted(tuple(r) for r in progress.batch_status(spark.createDataFrame(rows, kind), 2).collect())
+    assert got == [(1, 0, 2, 1, "IN_PROGRESS"), (1, 1, 2, 0, "PENDING"), (1, 2, 2, 0, "PENDING"), (1, 3, 2, 2, "COMPLETED"), (2, 0, 1, 1, "COMPLETED")]
+
+
 def test_interval_join_equals_all_pairs(spark):
     rng = random.Random(1)
     left = [(k, i, s, s + rng.randint(0, 5000)) for i, (k, s) in enumerate((rng.randint(0, 2), rng.randint(0, 40_000)) for _ in range(80))]
