@@ -190,6 +190,18 @@ def ceilings(segs: DataFrame, hard_gap: int = 850, tail: int = 400, buffer: int
     return segs.withColumn("e_max", F.greatest("end_ms", limit))
 
 
+def ceilings_over_junk(segs: DataFrame, junk: str, hard_gap: int = 850, tail: int = 400, buffer: int = 80, most: int = 1000) -> DataFrame:
+    """``ceilings`` and e_max_ext: over rows of junk that follow, up to the first long gap or row that is none, and at
+    most ``most`` beyond the end. The place where the walk stops is the first marked row after this one."""
+    before = F.lag("end_ms").over(ordered())
+    gap = F.col("start_ms") - before
+    stop = F.when(gap >= hard_gap, F.least(before + tail, F.col("start_ms") - buffer)).when(~F.col(junk), F.col("start_ms") - buffer)
+    later = ordered().rowsBetween(1, W.unboundedFollowing)
+    rows = ceilings(segs, hard_gap, tail, buffer).withColumn("_stop", stop)
+    limit = F.coalesce(F.first("_stop", ignorenulls=True).over(later), F.coalesce(F.last("end_ms").over(later), F.col("end_ms")) + tail)
+    return rows.withColumn("e_max_ext", F.greatest("e_max", F.least(limit, F.col("end_ms") + most))).drop("_stop")
+
+
 def speech_rate(rows: DataFrame, words: str, wps: float = 3.3, most: float = 1.6) -> DataFrame:
     """Adds wps (words a second), speedup against ``wps``, too_fast and severity (0 to 2)."""
     seconds = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1)) / 1000

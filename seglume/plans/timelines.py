@@ -155,6 +155,16 @@ QUERIES = {
         f"""{_T}, m AS (SELECT *, lead(start_ms) OVER {_W} AS nx FROM timed) SELECT project, seq,
         greatest(end_ms, CASE WHEN nx IS NULL THEN end_ms + 400 WHEN nx - end_ms >= 850 THEN least(end_ms + 400, nx - 80) ELSE nx - 80 END) AS e_max FROM m""",
     ),
+    "tl24_ceilings_over_junk": (
+        lambda spark, d: t.ceilings_over_junk(s.timed(spark, d).withColumn("junk", F.col("speaker") == "view"), "junk").select("project", "seq", "e_max_ext"),
+        f"""{_T}, m AS (SELECT *, lead(start_ms) OVER {_W} AS nx, max(seq) OVER (PARTITION BY project) AS n FROM timed),
+        e AS (SELECT *, greatest(end_ms, CASE WHEN nx IS NULL THEN end_ms + 400 WHEN nx - end_ms >= 850 THEN least(end_ms + 400, nx - 80) ELSE nx - 80 END) AS e_max FROM m),
+        k AS (SELECT project, seq, start_ms - lag(end_ms) OVER {_W} AS gap, lag(end_ms) OVER {_W} AS was, start_ms, speaker FROM timed),
+        v AS (SELECT project, seq, CASE WHEN gap >= 850 THEN least(was + 400, start_ms - 80) ELSE start_ms - 80 END AS v FROM k WHERE gap >= 850 OR speaker <> 'view'),
+        f AS (SELECT e.project, e.seq, e.end_ms, e.e_max, coalesce((SELECT arg_min(v.v, v.seq) FROM v WHERE v.project = e.project AND v.seq > e.seq),
+          (SELECT arg_max(t.end_ms, t.seq) FROM timed t WHERE t.project = e.project) + 400) AS lim FROM e)
+        SELECT project, seq, greatest(e_max, least(lim, end_ms + 1000)) AS e_max_ext FROM f""",
+    ),
     "tl27_speech_rate": (
         lambda spark, d: t.speech_rate(paced(spark, d), "words").select("project", "seq", "wps", "too_fast", "severity"),
         f"""{_T}, m AS (SELECT project, seq, (3 + seg_id % 17) / (greatest(end_ms - start_ms, 1) / 1000) AS wps FROM timed)
