@@ -22,7 +22,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seglume.llm.textbytes import MARKS, buffers
+from seglume.llm.textbytes import MARKS, buffers, map_texts
 
 #: Phrases whose places are counted, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -228,7 +228,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, base places and kept detections; one row a document."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _scan, SCHEMA)
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seglume.llm.textbytes import Words, hashes, slices, SPACE
+from seglume.llm.textbytes import SPACE, Words, hashes, map_texts, slices
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def _partial_vectors(p: QualityParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros((2, p.bins * _INDEX))
         for batch in batches:
-            for _, _, raw, offs in slices(batch.column(0), 4 << 20):
+            for _, _, raw, offs in slices(batch.column(0), 1 << 20):
                 b, h, w = _bins(raw, offs, p)
                 if len(b) < 2:
                     continue
@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text", params: QualityParams
     """bins x dims, rows of length one: a table whose size no data changes, so it may come to the driver."""
     p = params
     names = [f"v{i}" for i in range(p.dims)]
-    part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_partial_vectors(p), "bin int, " + ", ".join(f"{n} double" for n in names))
+    part = map_texts(docs.select(F.col(text_col).cast("string").alias("text")), _partial_vectors(p), "bin int, " + ", ".join(f"{n} double" for n in names))
     out = np.zeros((p.bins, p.dims))
     for r in part.groupBy("bin").agg(*[F.sum(n).alias(n) for n in names]).collect():
         out[r[0]] = r[1:]
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, x array<float>").collect()
+    rows = map_texts(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), run, "doc_id long, y double, x array<float>").collect()
     seen, sample = set(), []
     for r in sorted(rows, key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.x)):
         if r.doc_id not in seen:  # of repeated ids the first counts
@@ -228,7 +228,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str
             score = np.concatenate([net.score(pool(raw, offs, vectors, p)) for _, _, raw, offs in slices(batch.column(body))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(score, pa.float64())], names=names)
 
-    return chosen.mapInArrow(run, chosen.drop("body").schema.add("score", "double"))
+    return map_texts(chosen, run, chosen.drop("body").schema.add("score", "double"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: QualityParams = QualityParams()) -> DataFrame:

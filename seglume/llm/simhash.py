@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seglume.llm.components import connected
-from seglume.llm.textbytes import SPACE, buffers, word_mask
+from seglume.llm.textbytes import SPACE, buffers, map_texts, word_mask
 from seglume.storage import stage
 
 SHINGLE = 4
@@ -65,7 +65,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), _fingerprints, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

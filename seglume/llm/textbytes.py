@@ -11,12 +11,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 256 << 10
+#: Rows of an Arrow batch of texts; Spark's own limit (10,000) makes batches of tens of megabytes on both sides.
+BATCH_ROWS = 1000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over rows with texts, in batches of at most ``BATCH_ROWS`` (a session's smaller limit stays)."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def word_mask(outside: list[int], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Tables of 256: is a byte part of a word, and the byte in lower case (A-Z only)."""
     inside = np.ones(256, bool)

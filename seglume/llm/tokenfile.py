@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from seglume.llm.textbytes import SPACE, Words, hashes, slices, word_mask, words
+from seglume.llm.textbytes import SPACE, Words, hashes, map_texts, slices, word_mask, words
 from seglume.storage import shared_dir
 
 
@@ -304,7 +304,7 @@ def _blocks(p: TokenParams):
             return pa.RecordBatch.from_arrays(row, names=["shard", "block", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for a, b, raw, offs in slices(batch.column(1), 4 << 20):
+            for a, b, raw, offs in slices(batch.column(1), 1 << 20):
                 got, n = enc.encode(raw, offs)
                 if held and held + len(got) > p.block_ids:
                     yield flush()
@@ -322,7 +322,7 @@ def write_tokens(docs: DataFrame, path: str, params: TokenParams, id_col: str =
     """Writes the blocks of all documents in ascending order of their ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = max(1, -(-docs.count() // params.docs_per_shard))
-    texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_blocks(params), _BLOCKS).write.parquet(path)
+    map_texts(texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"), _blocks(params), _BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
