@@ -2,6 +2,7 @@
 changes."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -47,8 +48,11 @@ def test_log_stream_equals_its_batch_form(spark, tmp_path):
     for part in range(2):
         spark.createDataFrame(lines[part * 200 : part * 200 + 200], kind).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    q = events.log_stream(stream).writeStream.outputMode("update").format("memory").queryName("logs").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    q = events.log_stream(stream).writeStream.outputMode("update").format("memory").queryName("logs").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    end = time.time() + 120  # a stream with time-outs runs on without data, so it is stopped once all rows are in
+    while sum(p.numInputRows for p in q.recentProgress) < len(lines) and time.time() < end:
+        time.sleep(0.5)
+    q.stop()
     got = {}
     for r in spark.table("logs").collect():
         got[r.task] = max(got.get(r.task, []), r.lines, key=lambda x: int(x[-1][1:]) if x else -1)
