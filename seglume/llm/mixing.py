@@ -4,7 +4,8 @@
    source has; the excess goes to the others by weight (the water level has a closed form over sources in the order
    of size by weight).
 2. The mix is cut into blocks of ``block_words`` words. Sainte-Lague seats (the highest quotients votes / (2q + 1))
-   give each source an integer number of blocks, then each shard of a source an integer part of these.
+   give each source an integer number of blocks, then each shard of a source an integer part of these. What a shard cannot
+   hold (``max_repeats`` times its words) is dealt again to the source's other shards, in words.
 3. In a shard, documents lie end to end in an order drawn from ``seed``; the quota takes blocks from its front, and
    goes around again for repeats.
 
@@ -131,11 +132,19 @@ def quotas(sizes: DataFrame, p: MixParams) -> DataFrame:
         "source_size",
         "target",
     )
-    quota = F.least(F.col("seats") * p.block_words, F.col("cell_size") * p.max_repeats)
+    cap = F.col("cell_size") * p.max_repeats
+    own = F.least(F.col("seats") * p.block_words, cap)
     cells = sainte_lague(cells, "key", "shard").select(
-        "key", "shard", "cell_size", "source_size", "target", F.col("group_seats").alias("source_blocks"), quota.alias("quota")
-    )
-    return stage(cells, "mix-cells")
+        "key", "shard", "cell_size", "source_size", "target", F.col("group_seats").alias("source_blocks"),
+        own.alias("own"), (F.col("seats") * p.block_words - own).alias("over"), (cap - own).alias("room"),
+    )
+    # words of seats above a cell's cap go to the source's other cells, each as much of them as it has of the room
+    source = W.partitionBy("key")
+    wide = lambda c: c.cast("decimal(19,0)")
+    cells = cells.withColumn("all_room", wide(F.sum("room").over(source))).withColumn("again", F.least(wide(F.sum("over").over(source)), F.col("all_room")))
+    cells = cells.withColumn("upto", wide(F.sum("room").over(source.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))))
+    dealt = F.expr("coalesce(again * upto div nullif(all_room, 0) - again * (upto - cast(room as decimal(19,0))) div nullif(all_room, 0), 0)")
+    return stage(cells.select("key", "shard", "cell_size", "source_size", "target", "source_blocks", (F.col("own") + dealt).alias("quota")), "mix-cells")
 
 
 def _takes(rows: DataFrame, cells: DataFrame, p: MixParams) -> tuple[DataFrame, list[Column]]:

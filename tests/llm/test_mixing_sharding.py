@@ -67,3 +67,15 @@ def test_shards_are_even_gapless_and_follow_the_curve(spark):
 def test_shards_of_nothing(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
     assert sharding.shard(spark.createDataFrame([(None,) * 7], DOCS)).first().size == 8
+
+
+def test_a_small_source_among_many_shards_meets_its_target(spark):
+    data = [(i, "w " * 8, "a", "", "", "", 0) for i in range(200)] + [(1000 + i, "w " * 100, "b", "", "", "", 0) for i in range(100)]
+    got = mixing.mix(spark.createDataFrame(data, DOCS), params=mixing.MixParams(rows_per_shard=1)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert target[1600] == 3200 and len({r.shard for r in got}) > 100
+    assert all(abs(taken[s] - target[s]) <= 32 for s in target)
