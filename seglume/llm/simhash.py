@@ -112,9 +112,8 @@ def links(labelled: DataFrame) -> DataFrame:
     return zero.join(one, (zero.key == one.key) & (F.col("la") != F.col("lb")) & _near("a", "b") & (~F.col("whole") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach); one row a document."""
-    marked = stage(fingerprints(docs, id_col, text_col), "simhash-marks")
+def _components(marked: DataFrame) -> DataFrame:
+    """(fp, component_id) from (doc_id, fp): the smallest doc_id that links reach, of any type that has an order."""
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     first = connected(nodes.select(F.col("fp").alias("node")), chains(nodes), "simhash-chains")
     labelled = nodes.join(first.withColumnRenamed("node", "fp"), "fp")
@@ -126,16 +125,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = connected(by.select(F.col("label").alias("node")).distinct(), pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")), "simhash-links")
     classes = labelled.join(second.select(F.col("node").alias("label"), F.col("label").alias("component")), "label")
     smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = stage(classes.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "simhash-components")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return stage(classes.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "simhash-components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach); one row a document."""
+    marked = stage(fingerprints(docs, id_col, text_col), "simhash-marks")
+    return marked.join(_components(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each component, the one that names it; of repeated rows with that id, one stays."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col(id_col).cast("string")), F.lit("n"))
-    named = near_duplicates(docs, id_col, text_col).where("doc_id = component_id or component_id is null")
-    named = named.select(F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n")).alias("_key")).distinct()
+    """One row of each component: the smallest id (null last), of its texts the one with the least digest, of equal rows
+    any. Ids may be null or repeated."""
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")).alias("digest"))
+    key = lambda r: F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), r["id"].cast("string")), F.lit("n")), r["digest"])
+    texts = docs.select(row.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = stage(map_texts(texts, _fingerprints, f"doc_id {dict(texts.dtypes)['doc_id']}, fp long"), "simhash-marks")
+    named = _components(marked).select(key(F.col("component_id")).alias("_key")).distinct()
     # one shuffle serves the window and the join: both are by the key
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.xxhash64(text_col).alias("_order"))
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key(row).alias("_key"), order.alias("_order"))
     one = rows.withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy("_order"))).where("_at = 1")
     return one.join(named, "_key", "left_semi").select("_row.*")

@@ -89,3 +89,11 @@ def test_keep_one(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(2, text), (9, "other words that stand alone here")]
     assert got.columns == ["doc_id", "text", "fp", "rep", "label"]
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{w}{i}" for w in "kilo lima mike nova oscar papa quebec romeo".split()) for i in range(6)]
+    ids = [None, None, None, 4, 4, 7]
+    data = [(i, t, "", 0, "") for i, t in zip(ids, texts)] + [(None, texts[3], "", 0, ""), (None, texts[0], "", 0, ""), (3, texts[5], "", 0, "")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect()), key=str)
+    assert got == sorted([*zip(ids[:5], texts[:5]), (3, texts[5])], key=str)
