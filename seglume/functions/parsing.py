@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, groupby
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -150,106 +152,134 @@ def arabic_numerals(text: str | None) -> str:
 
 # ---- splitting
 
-_KEEP = (
-    re.compile(r"(?i)\bv\s*\.\s*v\s*\."),
-    re.compile(r"(?:\b[A-Za-zÀ-ỹ]\.){2,}"),
-    re.compile(r"(?<=\d)\.(?=\d)"),
-    re.compile(r"(?i)\b(?:tp|mr|mrs|ms|dr|gs|pgs|ts|ths|ks|bs)\.(?=\s?[A-Za-zÀ-ỹ0-9])"),
-)
-_DOT = ""
+#: Abbreviations whose dot ends no sentence, and the spelled one with spaces.
+ABBREVIATIONS = "tp mr mrs ms dr gs pgs ts ths ks bs".split()
+AND_SO_ON = r"v\s*\.\s*v\s*\."
+
+_LETTER = "[A-Za-zÀ-ỹ]"
+#: What holds dots without ending a sentence; stands before the marks in the scanner, so these dots are never marks.
+_WHOLE = rf"(?i:\b{AND_SO_ON})|(?:\b{_LETTER}\.){{2,}}|(?<=\d)\.(?=\d)|(?i:\b(?:{'|'.join(ABBREVIATIONS)}))\.(?=\s?(?:{_LETTER}|[0-9]))"
+_SCAN = re.compile(rf"(?P<whole>{_WHOLE})|(?P<end>[.!?\n]+|…+)|(?P<mid>[;,:—–]+)")
+
+
+def _packed(parts: Iterable[str], joins: Callable[[list[str], str], bool]) -> list[str]:
+    """Neighbours put together, each group going on as long as ``joins`` says so."""
+    groups: list[list[str]] = []
+    for part in parts:
+        if groups and joins(groups[-1], part):
+            groups[-1].append(part)
+        else:
+            groups.append([part])
+    return [" ".join(g) for g in groups]
 
 
-def _with_marks(parts: list[str]) -> list[tuple[str, str]]:
-    """Pieces and the marks after them, of a split with a group."""
-    return [(parts[i].strip(), parts[i + 1].strip() if i + 1 < len(parts) else "") for i in range(0, len(parts), 2)]
+def _sentences(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(sentence, its clauses), each with its mark after a space. A hesitation (at most two words before dots that go on)
+    opens the sentence after it."""
+    spaced = lambda a, b: f"{a.strip()} {b.strip()}".strip()
+    opened, begin, at, clauses, goes_on = "", 0, 0, [], False
+    for m in (*_SCAN.finditer(text), None):
+        if m and m.lastgroup == "whole":
+            continue
+        stop, mark = (m.start(), m[0].strip()) if m else (len(text), "")
+        if opened.endswith(mark) and not text[begin:stop].strip():
+            mark = ""  # the same mark again, after white space
+        clause = spaced(text[at:stop], mark)
+        if goes_on and clauses:
+            clause = spaced(clauses.pop(), clause)
+        clauses += [clause] if clause else []
+        at, goes_on = (m.end() if m else stop), False
+        if m and m.lastgroup == "mid":
+            continue
+        body = spaced(opened, text[begin:stop])
+        whole = spaced(body, mark)
+        goes_on = bool(m) and (m[0].strip().startswith("..") or "…" in m[0]) and len(body.split()) <= 2
+        begin = at
+        if goes_on:
+            opened = whole
+            continue
+        if whole:
+            yield whole, clauses
+        opened, clauses = "", []
 
 
 def split_sentences(text: str | None, max_words: int = 25, max_chars: int = 180, hard: bool = False) -> list[str]:
     """Sentences by their marks (not by the dots of abbreviations and decimals); long ones part again at middle marks,
     packed greedily; with ``hard`` also between words. A hesitation of at most two words stays with what follows. Pieces
     without a letter or digit go."""
-    body = (text or "").strip()
-    for p in _KEEP:
-        body = p.sub(lambda m: m[0].replace(".", _DOT), body)
-    fits = lambda x: len(x.split()) <= max_words and len(x) <= max_chars
-    pairs, sentences, carried = _with_marks(re.split(r"([.!?\n]+|…+)", body)), [], ""
-    for i, (piece, mark) in enumerate(pairs):
-        piece = f"{carried} {piece}".strip()
-        carried = ""
-        whole = f"{piece} {mark}".strip() if mark and not piece.endswith(mark) else piece
-        if not whole:
-            continue
-        if (mark.startswith("..") or "…" in mark) and len(piece.split()) <= 2 and i + 1 < len(pairs):
-            carried = whole
-        else:
-            sentences.append(whole)
-    out: list[str] = []
-    for s in sentences:
-        if fits(s):
-            out.append(s)
-            continue
-        held = ""
-        for piece, mark in _with_marks(re.split(r"([;,:—–]+)", s)):
-            piece = f"{piece} {mark}".strip()
-            if held and fits(f"{held} {piece}"):
-                held = f"{held} {piece}"
-                continue
-            out += [held] if held else []
-            held = piece if fits(piece) else ""
-            if piece and not held:
-                out += _cut_words(piece, max_words, max_chars) if hard else [piece]
-        out += [held] if held else []
-    return [x.replace(_DOT, ".") for x in out if any(c.isalnum() for c in x)]
+    fits = lambda x: len(x) <= max_chars and len(x.split()) <= max_words
+    within = lambda held, part: fits(" ".join([*held, part]))
 
+    def beside(held: list[str], word: str) -> bool:
+        capital = word[0].isupper() and not held[-1][0].isupper() and len(held) >= max(6, max_words // 2)
+        return within(held, word) and not capital
 
-def _cut_words(piece: str, max_words: int, max_chars: int) -> list[str]:
-    out, held = [], []
-    for w in piece.split():
-        capital = len(held) >= max(6, max_words // 2) and w[0].isupper() and not held[-1][0].isupper()
-        if held and (len(held) >= max_words or len(" ".join(held)) + 1 + len(w) > max_chars or capital):
-            out.append(" ".join(held))
-            held = []
-        held.append(w)
-    return out + ([" ".join(held)] if held else [])
+    out: list[str] = []
+    for sentence, clauses in _sentences((text or "").strip()):
+        if fits(sentence):
+            out.append(sentence)
+            continue
+        for short, group in groupby(clauses, key=fits):
+            out += _packed(group, within) if short else chain.from_iterable(_packed(c.split(), beside) if hard else [c] for c in group)
+    return [x for x in out if any(map(str.isalnum, x))]
 
 
-_CHUNK = re.compile(r"(?P<end>\.{3,}|…|[!?]+|(?<!\d)\.(?!\d)|\.(?=\s|$)|(?<!\d)[:：]|[:：](?!\d))|(?P<mid>(?<!\d)[,，;；](?!\d)|[,，;；](?=\s|$)|[—–])")
+SENTENCE, MIDDLE, NO_MARK = 1, 2, 0
+#: Marks that end a chunk: level, and how it stands with digits ("between": no mark between two digits; "beside": none
+#: beside a digit, but before white space or the end; "free": always a mark).
+CHUNK_MARKS = {
+    **dict.fromkeys("!?…", (SENTENCE, "free")),
+    **dict.fromkeys(".", (SENTENCE, "beside")),
+    **dict.fromkeys(":：", (SENTENCE, "between")),
+    **dict.fromkeys(",，;；", (MIDDLE, "beside")),
+    **dict.fromkeys("—–", (MIDDLE, "free")),
+}
+_MARK_RUN = re.compile(r"\.{3,}|[!?]+|[" + re.escape("".join(CHUNK_MARKS)) + "]")
 
 
 def text_chunks(text: str) -> list[tuple[str, int]]:
     """(chunk, level of the mark that ends it: 1 sentence, 2 middle, 0 none)."""
-    out, at = [], 0
-    for m in _CHUNK.finditer(text):
-        if piece := text[at : m.end()].strip():
-            out.append((piece, 1 if m["end"] else 2))
-        at = m.end()
-    if rest := text[at:].strip():
-        out.append((rest, 0))
-    return out
+    cuts = []
+    for m in _MARK_RUN.finditer(text):
+        level, rule = CHUNK_MARKS[m[0][0]]
+        digit_before, after = text[: m.start()][-1:].isdigit(), text[m.end() : m.end() + 1]
+        blocked = {"free": False, "between": digit_before and after.isdigit(), "beside": (digit_before or after.isdigit()) and bool(after.strip())}
+        if len(m[0]) > 2 or not blocked[rule]:
+            cuts.append((m.end(), level))
+    begins = [0, *(end for end, _ in cuts)]
+    pieces = ((text[a:b].strip(), level) for a, (b, level) in zip(begins, [*cuts, (len(text), NO_MARK)]))
+    return [(piece, level) for piece, level in pieces if piece]
+
+
+#: The cost of dealing chunks to segments: a weight of the squared relative error in words, and what it costs to let a
+#: segment go on over the end of a chunk, by the level of its mark.
+ERROR_WEIGHT = 10.0
+OVER_MARK = {SENTENCE: 1000.0, MIDDLE: 2.0, NO_MARK: 20.0}
 
 
 def demerge(text: str, durations: list[float]) -> list[str]:
     """Deals the chunks of a text to segments in order: one each while there are enough segments, else by the cheapest
-    partition (squared error of words against the segment's share of time; much for joining over a sentence's end)."""
-    chunks, n = text_chunks(text) or [(text.strip(), 1)], len(durations)
-    if len(chunks) <= n:
-        return [c for c, _ in chunks] + [""] * (n - len(chunks))
-    words = [max(1, len(c.split())) for c, _ in chunks]
-    total, time = sum(words), max(0.1, sum(durations))
-    joint = [{1: 1000.0, 2: 2.0}.get(level, 20.0) for _, level in chunks]
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for j, d in enumerate(durations, 1):
-        want, new = d / time * total, {}
-        for i in range(j, len(chunks) - (n - j) + 1):
-            for k in range(j - 1, i):
-                if k in best:
-                    miss = ((sum(words[k:i]) - want) / max(1.0, want)) ** 2
-                    cost = best[k][0] + 10 * miss + sum(joint[k : i - 1])
-                    if i not in new or cost < new[i][0]:
-                        new[i] = (cost, [*best[k][1], i])
-        best = new
-    cuts = [0, *best[len(chunks)][1]]
-    return [" ".join(c for c, _ in chunks[a:b]) for a, b in zip(cuts, cuts[1:])]
+    partition into stretches under the cost above. One step a segment, each over all (from, to) at once; of equal costs
+    the earlier cut counts."""
+    chunks, n = text_chunks(text) or [(text.strip(), SENTENCE)], len(durations)
+    m = len(chunks)
+    if m <= n:
+        return [c for c, _ in chunks] + [""] * (n - m)
+    words = np.concatenate([[0], np.cumsum([max(1, len(c.split())) for c, _ in chunks])])
+    crossed = np.concatenate([[0], np.cumsum([OVER_MARK[level] for _, level in chunks])])
+    wanted = np.array(durations) / max(0.1, sum(durations)) * words[-1]
+    a, b = np.arange(m + 1)[:, None], np.arange(m + 1)[None, :]
+    over = np.where(a < b, crossed[np.maximum(b - 1, 0)] - crossed[a], np.inf)
+    cost, came = np.where(np.arange(m + 1) == 0, 0.0, np.inf), []
+    for want in wanted:
+        step = cost[:, None] + ERROR_WEIGHT * ((words[b] - words[a] - want) / max(1.0, want)) ** 2 + over
+        came.append(step.argmin(axis=0))
+        cost = step.min(axis=0)
+    cuts = [m]
+    for back in reversed(came):
+        cuts.append(int(back[cuts[-1]]))
+    cuts.reverse()
+    return [" ".join(c for c, _ in chunks[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
 def cut_at_gap(text: str, before: int, after: int) -> tuple[str, str] | None:

@@ -3,15 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+#: Texts of fewer pairs of places than this are compared by the standard library.
+SMALL = 1 << 12
+_GRAM = 3
+
+
+def _diagonals(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, length) of all common stretches of ``_GRAM`` or more characters that cannot be made longer."""
+    grams = [sum(v[k : len(v) - _GRAM + 1 + k].astype(np.int64) << (21 * k) for k in range(_GRAM)) for v in (x, y)]
+    order = np.argsort(grams[1], kind="stable")
+    low, high = (np.searchsorted(grams[1], grams[0], side, sorter=order) for side in ("left", "right"))
+    n = high - low
+    i = np.repeat(np.arange(len(n)), n)
+    j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    first = np.ones(len(i), bool)
+    first[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    at = np.flatnonzero(first)
+    return i[at], j[at], np.diff(np.append(at, len(i))) + _GRAM - 1
+
+
+def matched(a: str, b: str) -> int:
+    """Characters that match in order: the longest common stretch (the first of several), then the same on both sides of
+    it. The count that ``SequenceMatcher`` without junk finds, from all diagonals at once instead of place by place."""
+    library = lambda s, t: sum(m.size for m in SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks())
+    if len(a) * len(b) <= SMALL or min(len(a), len(b)) < _GRAM:
+        return library(a, b)
+    x, y = (np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for v in (a, b))
+    total, open_ = 0, [(0, len(a), 0, len(b), *_diagonals(x, y))]
+    while open_:
+        alo, ahi, blo, bhi, i, j, n = open_.pop()
+        cut = np.maximum(0, np.maximum(alo - i, blo - j))
+        i, j, n = i + cut, j + cut, n - cut
+        n = np.minimum(n, np.minimum(ahi - i, bhi - j))
+        keep = n >= _GRAM
+        i, j, n = i[keep], j[keep], n[keep]
+        if not len(n):
+            total += library(a[alo:ahi], b[blo:bhi]) if alo < ahi and blo < bhi else 0
+            continue
+        top = np.lexsort((j, i, -n))[0] if len(n) > 1 else 0
+        p, q, size = int(i[top]), int(j[top]), int(n[top])
+        total += size
+        before, after = (i < p) & (j < q), (i + n > p + size) & (j + n > q + size)
+        open_ += [(alo, p, blo, q, i[before], j[before], n[before]), (p + size, ahi, q + size, bhi, i[after], j[after], n[after])]
+    return total
+
+
 def ratio(a: str, b: str) -> float:
     """Twice the matching characters over all characters, matches in order (longest blocks first)."""
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 0.0
+    return 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 0.0
 
 
 def subsequence(a: str, b: str) -> int:
@@ -40,46 +89,90 @@ def stretch(a: str, b: str) -> int:
     return best
 
 
+#: What two short texts count for at least, by what they share: (longest length, length of the shorter at
+#: least, what is shared, floor). The first that holds counts.
+FLOORS = (
+    (6, 2, lambda a, b: a in b or b in a, 0.82),
+    (5, 1, lambda a, b: stretch(a, b) >= 2, 0.75),
+    (5, 1, lambda a, b: subsequence(a, b) >= 2, 0.68),
+)
+#: Texts of up to so many characters lose a fixed part for lengths more than one apart; longer ones lose by
+#: the part of the longer length, beyond a share that is free.
+SHORT, SHORT_LOSS, FREE_SHARE, LOSS = 5, 0.15, 0.25, 2.0
+
+
+def length_factor(a: int, b: int) -> float:
+    """What is left of a likeness after the difference of lengths."""
+    apart, longest = abs(a - b), max(a, b)
+    if longest <= SHORT:
+        return 1.0 if apart <= 1 else 1.0 - SHORT_LOSS
+    return min(1.0, max(0.0, 1.0 - LOSS * (apart / longest - FREE_SHARE)))
+
+
 def piece_similarity(a: str | None, b: str | None) -> float:
-    """``ratio``, less for lengths over a quarter apart; short texts are helped by what they share in order."""
-    if not a or not b:
-        return 0.0
-    if a == b:
+    """``ratio`` by ``length_factor``; short texts are helped by what they share (``FLOORS``)."""
+    if not a or not b or a == b:
+        return float(bool(a) and a == b)
+    likeness, (short, long_) = ratio(a, b), sorted(map(len, (a, b)))
+    floor = next((least for most, shortest, shared, least in FLOORS if long_ <= most and short >= shortest and shared(a, b)), None)
+    return likeness * length_factor(short, long_) if floor is None else max(likeness, floor)
+
+
+def similarity_bound(a: str, b: str) -> float:
+    """No less than ``piece_similarity``, without its search: matches in order are a common subsequence, so its longest
+    bounds them (a machine word for 64 characters at a time)."""
+    longest = max(len(a), len(b))
+    if not a or not b or longest <= FLOORS[0][0]:
         return 1.0
-    short, long_ = sorted((len(a), len(b)))
-    base = ratio(a, b)
-    if long_ <= 6 and short >= 2 and (a in b or b in a):
-        return max(0.82, base)
-    if long_ <= 5:
-        if stretch(a, b) >= 2:
-            return max(base, 0.75)
-        if subsequence(a, b) >= 2:
-            return max(base, 0.68)
-        return base if long_ - short <= 1 else base * 0.85
-    apart = (long_ - short) / long_
-    return base if apart <= 0.25 else base * max(0.0, 1 - 2 * (apart - 0.25))
+    free = length_factor(len(a), len(b))
+    return free * 2 * subsequence(a, b) / (len(a) + len(b)) if free else 0.0
 
 
 #: Common characters that alone say nothing.
 STOP_CHARACTERS = set("的了是我你他她它们在不有就也都这那啊吗呢吧")
+#: Lengths of source and text at which a short match is tried, and how much better the source after it
+#: must fit to win.
+SHORT_SOURCE, SHORT_TEXT, SOURCE_OF_SHORT_TEXT, CLEARLY = 5, 4, 7, 0.2
+
+
+@dataclass(frozen=True)
+class Shared:
+    """What a text has in common with a source, and with the source after it."""
+
+    row: int
+    order: int
+    later: int
+    telling: bool
+    edge: bool
+    longest: int
+
+    @classmethod
+    def of(cls, text: str, source: str, following: str | None) -> Shared:
+        common = set(text) & set(source)
+        later = subsequence(text, following) if following else 0
+        edge = text[0] == source[0] or text[-1] == source[-1]
+        return cls(stretch(text, source), subsequence(text, source), later, bool(common - STOP_CHARACTERS), edge, max(len(text), len(source)))
+
+
+#: Any of these lets a short text stand for its source.
+SIGNS = (
+    lambda s: s.row >= 2,
+    lambda s: s.order >= 2 and (s.telling or s.longest <= 3),
+    lambda s: s.order == 1 and s.longest <= 3 and s.later <= 1 and (s.telling or s.edge),
+)
 
 
-def short_match(text: str, source: str, following: str | None = None, short: int = 5) -> bool:
+def short_match(text: str, source: str, following: str | None = None, short: int = SHORT_SOURCE) -> bool:
     """Whether a short text may stand for the source that is its turn: by two characters in a row or in order, or by one
     that means something; not if the source after it fits clearly better."""
-    if not text or not source or not (len(source) <= short or (len(text) <= 4 and len(source) <= 7)):
+    tried = text and source and (len(source) <= short or (len(text) <= SHORT_TEXT and len(source) <= SOURCE_OF_SHORT_TEXT))
+    if not tried:
         return False
-    here, there = subsequence(text, source), subsequence(text, following) if following else 0
-    if following and there > here and there >= 2 and piece_similarity(text, following) > piece_similarity(text, source) + 0.2:
+    shared = Shared.of(text, source, following)
+    if not any(sign(shared) for sign in SIGNS):
         return False
-    if stretch(text, source) >= 2:
-        return True
-    telling = (set(text) & set(source)) - STOP_CHARACTERS
-    longest = max(len(text), len(source))
-    if here >= 2 and (telling or longest <= 3):
-        return True
-    edge = text[0] == source[0] or text[-1] == source[-1]
-    return longest <= 3 and here == 1 and bool(telling or edge) and there <= 1
+    rival = shared.later >= 2 and shared.later > shared.order
+    return not (rival and piece_similarity(text, following) - piece_similarity(text, source) > CLEARLY)
 
 
 def partial_ratio(a: str, b: str) -> float:

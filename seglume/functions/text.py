@@ -36,13 +36,21 @@ def clean_speech(text: str | Column, spaces: bool = True) -> Column:
     return squeeze(bare) if spaces else replace_all(bare, (r"(?U)\s+", ""))
 
 
-#: Ways to number a line, tried one after another.
-NUMBERING = (
-    r"^(?:\[\s*\d+\s*\]|\(\s*\d+\s*\)|\{\s*\d+\s*\}|【\s*\d+\s*】)\s*[.:\-–—\s]*",
-    r"(?iu)^(?:câu|thoại|đoạn|stt|dòng|line)\s*\d+\s*[.:\-–—)/\]\s]*",
-    r"^\d+/\d+\s*[.:\-–—\s]*",
-    r"^\d+\s*[.:\-–—)/\]]+\s*",
-)
+#: Brackets around a line's number, words before it, marks after it.
+NUMBER_BRACKETS = ("[]", "()", "{}", "【】")
+NUMBER_WORDS = ("câu", "thoại", "đoạn", "stt", "dòng", "line")
+NUMBER_ENDS = ".:-–—"
+
+
+def _numbering() -> tuple[str, ...]:
+    """A number in brackets, after a word, of a total, or before a mark; a later form is tried on what is left."""
+    quoted = lambda marks: "".join(rf"\{c}" for c in marks)
+    boxed = "|".join(rf"\{a}\s*\d+\s*\{b}" for a, b in NUMBER_BRACKETS)
+    loose, closed = f"[{quoted(NUMBER_ENDS)}\\s]*", quoted(NUMBER_ENDS + ")/]")
+    return rf"^(?:{boxed}){loose}", rf"(?iu)^(?:{'|'.join(NUMBER_WORDS)})\s*\d+\s*[{closed}\s]*", rf"^\d+/\d+\s*{loose}", rf"^\d+\s*[{closed}]+\s*"
+
+
+NUMBERING = _numbering()
 
 
 def strip_numbering(text: str | Column) -> Column:
@@ -123,18 +131,24 @@ def drop_boilerplate(text: str | Column, patterns: tuple[str, ...]) -> Column:
     return F.array_join(kept, "\n")
 
 
+#: Lines that say nothing, by what is wrong with them: music marks only, one character over and over (four at least), a
+#: period of two to four characters at least four times.
+EMPTY_SHAPES = {
+    "music": r"[♪♫🎵🎶\s.,!?…—\-_]+",
+    "one character": r"(?s)(?=.{4})([^ ])(?: *\1)*",
+    "short period": r"(?s)(.{2,4})\2{3,}",
+}
+_EMPTY_LINE = "^(?:" + "|".join(f"(?:{p})" for p in EMPTY_SHAPES.values()) + ")$"
+
+
 def is_hallucination(text: str | Column, no_speech: Column, log_prob: Column, promo: tuple[str, ...] = ()) -> Column:
-    """Lines that recognition made up: blank, promotion, silence by its own scores, marks of music only, one character
-    over and over, a period of 2 to 4 characters at least four times."""
+    """Lines that recognition made up: blank ones, those of ``EMPTY_SHAPES``, promotion, and what its own scores call
+    silence (a lower bar for one or two characters)."""
     t = F.trim(_col(text))
-    silent = (no_speech > 0.85) & (log_prob < -1.0)
-    tests = [t == "", silent, t.rlike(r"^[♪♫🎵🎶\s.,!?…—\-_]+$"), (F.length(t) >= 4) & (F.replace(t, F.lit(" "), F.lit("")).rlike(r"(?s)^(.)\1*$")), t.rlike(r"(?s)^(.{2,4})\1{3,}$")]
-    tests.append((F.length(t) <= 2) & (no_speech > 0.5) & (log_prob < -1.0))
-    tests += [F.contains(t, F.lit(p)) for p in promo]
-    out = tests[0]
-    for x in tests[1:]:
-        out = out | x
-    return out
+    bar = F.when(F.length(t) <= 2, 0.5).otherwise(0.85)
+    silent = (no_speech > bar) & (log_prob < -1.0)
+    advert = F.exists(F.array(*map(F.lit, promo)), lambda p: F.contains(t, p)) if promo else F.lit(False)
+    return (t == "") | t.rlike(_EMPTY_LINE) | advert | silent
 
 
 def word_count(text: str | Column) -> Column:
@@ -211,24 +225,32 @@ def video_url(text: str | Column) -> Column:
 def best_split(words: str | Column, target: Column, joiners: tuple[str, ...] = ("và", "nhưng", "thì", "mà", "nên", "vì", "and", "but")) -> Column:
     """Where to cut an array of words near a place: close to it, better after a comma or before a joining word. The
     number of words before the cut (0 for fewer than two words)."""
+
+
+    def best(w: Column) -> Column:
+        after, before = F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1))
+        seam = F.zip_with(before, after, lambda x, y: F.when(x.rlike(r"[,;:]$"), 3).otherwise(0) + F.when(F.lower(y).isin(*joiners), 2).otherwise(0))
+        return -F.array_max(F.transform(seam, lambda v, i: F.struct((v - F.abs(i + 1 - target)).alias("worth"), (-i - 1).alias("less"))))["less"]
+
     w = F.col(words) if isinstance(words, str) else words
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1))
-    lower = lambda i: F.lower(F.get(w, i))
-    worth = lambda i: F.when(F.get(w, i - 1).rlike(r"[,;:]$"), 3).otherwise(0) + F.when(lower(i).isin(*joiners), 2).otherwise(0) - F.abs(i - target)
-    best = F.array_max(F.transform(places, lambda i: F.struct(worth(i).alias("worth"), (-i).alias("less"))))
-    return F.when(F.size(w) < 2, 0).otherwise(-best["less"])
+    return F.when(F.size(w) < 2, 0).otherwise(_bound(w, best))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: within a lambda a name is a slot, elsewhere an expression to repeat."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def karaoke(text: str | Column, duration_cs: Column) -> Column:
     """Words with time tags: hundredths of a second by characters, ten at least; the last takes what is left."""
-    w = F.filter(F.split(F.trim(_col(text)), r"\s+"), lambda x: x != "")
-    n = F.size(w)
-    chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    total = F.greatest(duration_cs.cast("int"), n * 10)
-    share = F.transform(w, lambda x, i: F.when(i < n - 1, F.greatest(F.lit(10), F.round(total * F.length(x) / chars).cast("int"))).otherwise(0))
-    spent = F.aggregate(share, F.lit(0), lambda a, x: a + x)
-    tags = F.transform(w, lambda x, i: F.concat(F.lit("{\\kf"), F.when(i < n - 1, F.get(share, i)).otherwise(F.greatest(F.lit(10), total - spent)).cast("string"), F.lit("}"), x))
-    return F.array_join(tags, " ")
+    split = F.filter(F.split(F.trim(_col(text)), r"\s+"), lambda x: x != "")
+    sizes = _bound(split, lambda w: F.struct(w.alias("w"), F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("chars")))
+    total = lambda s: F.greatest(duration_cs.cast("int"), s["n"] * 10)
+    own = lambda s, x: F.greatest(F.lit(10), F.bround(total(s) * (F.length(x) / s["chars"])).cast("int"))
+    shares = _bound(sizes, lambda s: F.struct(s["w"].alias("w"), total(s).alias("total"), F.transform(F.slice(s["w"], 1, F.greatest(F.lit(0), s["n"] - 1)), lambda x: own(s, x)).alias("cs")))
+    rest = lambda r: F.greatest(F.lit(10), r["total"] - F.aggregate(r["cs"], F.lit(0), lambda a, x: a + x))
+    timed = _bound(shares, lambda r: F.zip_with(F.concat(r["cs"], F.array(rest(r))), r["w"], lambda c, x: F.concat(F.lit("{\\kf"), c.cast("string"), F.lit("}"), x)))
+    return F.when(F.size(split) == 0, "").otherwise(F.array_join(timed, " "))
 
 
 # ---- times as text, from integer milliseconds

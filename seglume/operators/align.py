@@ -4,7 +4,8 @@ A group is a batch of a project (a bounded number of rows by ``pack_batches``),
 are cogrouped and aligned by one state machine, which walks the items in order:
 
 * window: the next few unused sources, and runs of up to ``span`` of them;
-* score: ``piece_similarity`` of the item's source text with the run's;
+* score: ``piece_similarity`` of the item's source text with the run's (0 where it cannot reach the threshold, which a bound
+  tells without the search);
 * verdict: ``clear`` at the threshold with a margin to the best run elsewhere, ``tie`` without the margin, ``low`` below;
 * a clear run is taken; a tie is taken at the place whose turn it is; a low one is looked for further ahead once several
   items have failed (a strong match, by a margin), else waits;
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seglume.functions.similarity import piece_similarity, short_match
+from seglume.functions.similarity import piece_similarity, short_match, similarity_bound
 
 KEY = ["project", "batch"]
 SCHEMA = "project long, batch long, item long, src array<long>, score double, verdict string, flags array<string>, dropped array<long>"
@@ -59,13 +60,35 @@ def _runs(texts: list[str], begin: int, end: int, span: int) -> Iterator[tuple[i
             yield a, a + n
 
 
-def _best(text: str, texts: list[str], begin: int, end: int, p: AlignParams) -> tuple[float, int, int, float]:
-    """Best score, its run, and the best score of a run that does not overlap it."""
-    scored = [(piece_similarity(text, "".join(texts[a:b])), a, b) for a, b in _runs(texts, begin, end, p.span)]
-    if not scored:
+def _best(text: str, texts: list[str], begin: int, end: int, p: AlignParams, bar: float) -> tuple[float, int, int, float]:
+    """Best score, its run, and the best score of a run that does not overlap it; scores below ``bar`` count as 0.
+
+    Runs are scored from the highest ``similarity_bound`` down, and only as long as a bound can still change the result:
+    reach the bar and the best so far, or, beside the best run, come nearer to it than any margin asks."""
+    bounds = sorted(((similarity_bound(text, t), a, b) for a, b in _runs(texts, begin, end, p.span) if (t := "".join(texts[a:b]))), key=lambda x: (-x[0], x[1:]))
+    known: dict[tuple[int, int], float] = {}
+
+    def score(a: int, b: int) -> float:
+        if (a, b) not in known:
+            known[a, b] = piece_similarity(text, "".join(texts[a:b]))
+        return known[a, b]
+
+    top, at = 0.0, (begin, begin)
+    for bound, a, b in bounds:
+        if bound < max(top, bar):
+            break
+        own = score(a, b)
+        if own >= bar and (own, -a, -b) > (top, -at[0], -at[1]):
+            top, at = own, (a, b)
+    if not top:
         return 0.0, begin, begin, 0.0
-    top, a, b = max(scored, key=lambda s: (s[0], -s[1], -s[2]))
-    return top, a, b, max((s for s, x, y in scored if y <= a or x >= b), default=0.0)
+    other, near = 0.0, top - max(p.margin, p.resync_margin)
+    for bound, a, b in bounds:
+        if bound < max(other, near):
+            break
+        if b <= at[0] or a >= at[1]:
+            other = max(other, score(a, b))
+    return top, *at, other
 
 
 def align_batch(items: list[tuple[int, str]], sources: list[tuple[int, str]], p: AlignParams = AlignParams()) -> list[_Item]:
@@ -73,7 +96,7 @@ def align_batch(items: list[tuple[int, str]], sources: list[tuple[int, str]], p:
     texts, at, failed, out = [t for _, t in sources], 0, 0, []
     for number, text in items:
         row = _Item(number, text, [])
-        score, a, b, other = _best(text, texts, at, min(len(texts), at + p.window), p)
+        score, a, b, other = _best(text, texts, at, min(len(texts), at + p.window), p, p.clear)
         if score >= p.clear:
             row.verdict = "clear" if score - other >= p.margin else "tie"
             if row.verdict == "tie" and a > at and piece_similarity(text, texts[at]) >= p.clear:
@@ -81,7 +104,7 @@ def align_batch(items: list[tuple[int, str]], sources: list[tuple[int, str]], p:
         elif at < len(texts) and short_match(text, texts[at], texts[at + 1] if at + 1 < len(texts) else None):
             score, a, b, row.verdict = max(score, p.clear), at, at + 1, "clear"
         elif failed >= p.failures:
-            score, a, b, other = _best(text, texts, at, len(texts), p)
+            score, a, b, other = _best(text, texts, at, len(texts), p, p.resync)
             row.verdict = "clear" if score >= p.resync and score - other >= p.resync_margin else "low"
         row.score = score
         if row.verdict == "low":
@@ -155,8 +178,10 @@ def align(items: DataFrame, segs: DataFrame, params: AlignParams = AlignParams()
         rows = [(key[0], key[1], r.item, r.src, r.score, r.verdict, list(r.flags), list(r.dropped)) for r in found]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    left = items.select("project", "batch", "item", "zh").groupBy(*KEY)
-    right = segs.select("project", "batch", "seq", "text").groupBy(*KEY)
+    # as many tasks as the session's shuffles have: rows are few and the work on each is long, so sizes say too little
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = items.select("project", "batch", "item", "zh").repartition(tasks, *KEY).groupBy(*KEY)
+    right = segs.select("project", "batch", "seq", "text").repartition(tasks, *KEY).groupBy(*KEY)
     return left.cogroup(right).applyInPandas(run, SCHEMA)
 
 

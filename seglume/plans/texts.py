@@ -38,6 +38,8 @@ def _clock_sql(ms: str) -> str:
 _MS = "start_ms * 37 + seg_id"
 _WORDS = r"regexp_extract_all(text, '[^\s]+')"
 _NUM = r"trim(regexp_replace(regexp_replace(trim(line), '^(?:\[\s*\d+\s*\])\s*[.:\-–—\s]*', ''), '^[^\pL\pN_\s(\[{]+', ''))"
+_TAGS = r"'<[^<>]{1,40}>|\((?i:lock|dur|duration|max|limit)[^)]*\)|\[(?i:lock|khóa|dur|duration|max|limit|id|idx)[^\]]*\]'"
+_SQUEEZED = rf"trim(regexp_replace(regexp_replace(line, {_TAGS}, ' ', 'g'), '\s+', ' ', 'g'))"
 
 QUERIES = {
     "t4_clean_speech": (
@@ -139,12 +141,35 @@ QUERIES = {
         lambda spark, d: table(spark, d, "benchmark").select(F.explode(F.array(F.lit(2), F.lit(3))).alias("n"), F.replace("text", F.lit(" "), F.lit("")).alias("x")).where("length(x) >= n").select("n", F.explode(F.sequence(F.lit(1), F.expr("length(x) - n + 1"))).alias("i"), "x").groupBy("n", F.expr("substring(x, i, n)").alias("gram")).agg(F.count("*").alias("count")),
         "WITH a AS (SELECT n, replace(text, ' ', '') AS x FROM benchmark, (VALUES (2), (3)) v(n)) SELECT n, substring(x, CAST(i AS INT), n) AS gram, count(*) AS count FROM (SELECT n, x, unnest(range(1, length(x) - n + 2)) AS i FROM a) GROUP BY 1, 2",
     ),
-    "tl16_karaoke": (_of(lambda: t.karaoke("text", F.lit(500))), None),
-    "t12_sentence": (_of(lambda: t.sentence("line", "text")), None),
-    "t13_strip_system_tags": (_of(lambda: t.strip_system_tags(F.concat(F.lit("[LOCK 3] "), "text", F.lit(" <i>")))), None),
-    "t9_clean_for_voice": (_of(lambda: t.clean_for_voice("line")), None),
+    "tl16_karaoke": (
+        _of(lambda: t.karaoke("text", F.lit(500))),
+        rf"""{_L}, a AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM turns),
+        b AS (SELECT *, greatest(500, len(w) * 10) AS total, list_sum(list_transform(w, lambda x: length(x))) AS chars FROM a),
+        c AS (SELECT *, list_transform(w[1:-2], lambda x: CAST(greatest(10, round_even(total * (length(x) / chars), 0)) AS INT)) AS cs FROM b),
+        d AS (SELECT *, list_append(cs, CAST(greatest(10, total - coalesce(list_sum(cs), 0)) AS INT)) AS tags FROM c)
+        SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(list_transform(range(1, len(w) + 1), lambda i: '{{\kf' || tags[i] || '}}' || w[i]), ' ') END AS out FROM d""",
+    ),
+    "t12_sentence": (
+        _of(lambda: t.sentence("line", "text")),
+        rf"""{_L}, a AS (SELECT *, {_NUM.replace("line", _SQUEEZED)} AS bare, regexp_extract(trim(text), '([.!?…。！？])$', 1) AS m FROM turns),
+        b AS (SELECT *, CASE WHEN regexp_matches(bare, '[.!?…]$') THEN bare ELSE regexp_replace(bare, '[,;:\s]+$', '') || translate(CASE m WHEN '' THEN '.' ELSE m END, '。！？', '.!?') END AS filled FROM a)
+        SELECT conv_id, turn, CASE bare WHEN '' THEN bare ELSE upper(substring(filled, 1, 1)) || substring(filled, 2) END AS out FROM b""",
+    ),
+    "t13_strip_system_tags": (
+        _of(lambda: t.strip_system_tags(F.concat(F.lit("[LOCK 3] "), "text", F.lit(" <i>")))),
+        f"{_L} SELECT conv_id, turn, {_SQUEEZED.replace('line', 'text')} AS out FROM turns",
+    ),
+    "t9_clean_for_voice": (
+        _of(lambda: t.clean_for_voice("line")),
+        rf"""{_L}, a AS (SELECT *, regexp_replace(regexp_replace({_NUM}, '\s+', ' ', 'g'), ',[,.\s]*,', ',', 'g') AS x FROM turns),
+        b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, ',\.+', '.', 'g'), '\.,+', ',', 'g'), '\.{{4,}}', '...', 'g') AS y FROM a)
+        SELECT conv_id, turn, regexp_replace(regexp_replace(y, '(^|[^.])\.\.($|[^.])', '\1.\2', 'g'), '(^|[^.])\.\.($|[^.])', '\1.\2', 'g') AS out FROM b""",
+    ),
     "t17_best_split": (
         lambda spark, d: turns(spark, d).withColumn("w", F.split("text", " ")).select("conv_id", "turn", t.best_split("w", F.expr("size(w) div 2")).alias("cut")),
-        None,
+        f"""{_L}, a AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM turns), b AS (SELECT *, unnest(range(1, len(w))) AS i FROM a),
+        c AS (SELECT conv_id, turn, i, CASE WHEN regexp_matches(w[i], '[,;:]$') THEN 3 ELSE 0 END + CASE WHEN lower(w[i + 1]) IN ('và', 'nhưng', 'thì', 'mà', 'nên', 'vì', 'and', 'but') THEN 2 ELSE 0 END - abs(i - len(w) // 2) AS worth FROM b),
+        d AS (SELECT conv_id, turn, arg_min(i, struct_pack(less := -worth, i := i)) AS cut FROM c GROUP BY ALL)
+        SELECT conv_id, turn, CAST(coalesce(cut, 0) AS INT) AS cut FROM a LEFT JOIN d USING (conv_id, turn)""",
     ),
 }
