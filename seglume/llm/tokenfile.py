@@ -1,16 +1,19 @@
 """Token-id output in Re-Pair blocks.
 
 Documents are encoded by a public tokenizer (its path is a parameter), get an end id each, and are written in the order
-of their ids. Ids go into blocks of about ``block_ids``; each block has its own grammar: in a few rounds, the most
-frequent pairs of neighbouring symbols become nonterminals, none of which spans two documents. A block stores its rules,
-the length that each nonterminal expands to, and for each document where its symbols begin and how many ids they make,
-so that any document is decoded alone (``read_document``). Blocks are rows of a Parquet table (shard, block, counts,
+of their ids. Ids go into blocks of about ``block_ids``; each block has its own grammar: frequent pairs of neighbouring
+symbols become nonterminals, the more frequent first where two overlap, again and again until no pair that a document
+holds occurs ``least_count`` times. A block stores its rules, the length that each nonterminal expands to, and for each
+document where its symbols begin and how many ids they make, so that any stretch of any document is decoded alone
+(``read_range``): the lengths lead down to the symbols in it. Blocks are rows of a Parquet table (shard, block, counts,
 bytes): the container brings splitting, checksums and a committer that survives lost tasks.
 
-Encoding goes by pieces: the tokenizer (lower case, white space dropped, letters, single digits and other marks apart)
-never encodes across white space, nor across the border of an ASCII letter or digit and an ASCII mark other than the
-apostrophe. Pieces that a worker has seen come from a bounded table (by a 64-bit hash of the piece), new ones from the
-tokenizer, a batch at a time. That equals encoding the whole text at once, which the tests compare.
+Encoding goes by pieces where the tokenizer's own rules allow it (lower case, white space dropped, letters, single digits
+and other marks apart; this is checked when it is loaded): it never encodes across white space, nor across the border of
+an ASCII letter or digit and an ASCII mark other than the apostrophe. Pieces that a worker has seen come from a bounded
+table, by a 64-bit hash and then by their bytes; new ones from the tokenizer, a batch at a time. Should two pieces of a
+slice or of the table share a hash, the slice's texts are encoded whole, as are all texts of a tokenizer with other
+rules. Either way equals encoding the whole text at once, which the tests compare.
 
 Nulls: a null text is empty and becomes the end id alone; a null id comes first. Repeated rows are encoded each, in the
 order of (id, text). Texts longer than a block get a block for themselves. An empty table gives no blocks and no rows.
@@ -19,6 +22,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -40,10 +44,11 @@ class TokenParams:
     end_id: int = 2
     #: A special token of the tokenizer, by text and id: it parts the pieces of a batch.
     mark: tuple[str, int] = ("<|endoftext|>", 49407)
-    docs_per_shard: int = 4000
+    #: A shard has about so many bytes of text, or so many documents if they are short.
+    shard_bytes: int = 12 << 20
+    docs_per_shard: int = 20_000
     block_ids: int = 1 << 20
-    rounds: int = 4
-    pairs_per_round: int = 4000
+    #: A rule takes 12 bytes and saves 2 (or 4) with each use.
     least_count: int = 8
     lexicon: int = 500_000
 
@@ -52,69 +57,97 @@ class TokenParams:
 
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIII")
-_SLOTS = 1 << 18
+_SLOTS = 1 << 20
+
+
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    spread = (pairs >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + pairs * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (spread >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _pairs(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, their pairs, places left out): of a run of one symbol every other pair counts, from its left end."""
+    pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+    again = np.zeros(len(at), bool)
+    again[1:] = (pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)
+    if not again.any():
+        return at, pair, at[:0]
+    start = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+    odd = (np.arange(len(at)) - start) % 2 == 1
+    return at[~odd], pair[~odd], at[odd]
+
+
+def _frequent(pair: np.ndarray, least: int) -> np.ndarray:
+    """The pairs that occur ``least`` times, the rarest first."""
+    sorted_ = np.sort(pair)
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(pair)))
+    often, n = sorted_[first[n >= least]], n[n >= least]
+    return often[np.argsort(n, kind="stable")]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, first_free: int, p: TokenParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, last): ``last`` marks the last symbol of a document, rules are (left, right) by nonterminal."""
-    symbols, rules = ids.astype(np.uint32), []
-    free, held, name = first_free, np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int64)
-    for _ in range(p.rounds):
-        if len(symbols) < 2:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        slot = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(14)
-        slot[last[:-1]] = 0
-        count = np.bincount(slot, minlength=_SLOTS)
-        # only pairs in slots as full as the pairs_per_round-th fullest can be among the most frequent; of pairs that
-        # share a slot, one counts in this round
-        bar = max(p.least_count, int(np.partition(count, -p.pairs_per_round)[-p.pairs_per_round]))
-        at = np.flatnonzero((count >= bar)[slot] & ~last[:-1])
-        if not len(at):
+    """(symbols, rules, last): ``last`` marks the last symbol of a document, rules are (left, right) by nonterminal.
+
+    In a round each occurrence of a frequent pair is replaced unless one that overlaps it is of a more frequent pair; a
+    pair that keeps too few occurrences waits. A pair that was rare can become frequent only with a new symbol in it, so
+    a round looks at places (``live``) with new symbols and at those whose pair may still be frequent."""
+    symbols, last, rules, free = ids.astype(np.uint32), last.copy(), [], first_free
+    live = np.ones(len(symbols), bool)
+    while len(symbols) > 1:
+        at, pair, odd = _pairs(symbols, np.flatnonzero(live[:-1] & ~last[:-1]))
+        bits = min(_SLOTS.bit_length() - 1, max(10, len(at).bit_length()))
+        slot = _slots(pair, bits)
+        full = (np.bincount(slot, minlength=1 << bits) >= p.least_count)[slot]  # the others are rare for sure
+        at, pair, slot = at[full], pair[full], slot[full]
+        often = _frequent(pair, p.least_count)
+        if not len(often):
             break
-        slot, key = slot[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        held[slot] = key
-        own = held[slot] == key
-        at, slot = at[own], slot[own]
-        count = np.bincount(slot, minlength=_SLOTS)
-        full = np.flatnonzero(count >= p.least_count)
-        order = full[np.lexsort((held[full], -count[full]))[: p.pairs_per_round]]
-        if not len(order):
-            break
-        name[order] = free + np.arange(len(order))
-        new = name[slot]
-        name[order] = -1
-        at, new = at[new >= 0], new[new >= 0]
-        # occurrences that overlap: every other one of a run, from its left end
-        starts = np.concatenate([[True], np.diff(at) > 1])
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, new = at[take], new[take]
-        symbols[at] = new
+        owner = np.full(1 << bits, -1, np.int32)
+        owner[_slots(often, bits)] = np.arange(len(often))  # of pairs with one slot, the most frequent goes first
+        rank = owner[slot]
+        mine = (rank >= 0) & (often[rank] == pair)
+        live[:] = False
+        live[at] = live[odd] = True
+        at, rank = at[mine], rank[mine]
+        beside = np.full(len(symbols) + 2, -1, np.int32)
+        beside[at + 1] = rank
+        take = (rank > beside[at]) & (rank >= beside[at + 2])
+        kept = np.bincount(rank[take], minlength=len(often)) >= p.least_count
+        if not kept.any():  # the most frequent one alone keeps all its occurrences
+            kept[-1], take = True, rank == len(often) - 1
+        take &= kept[rank]
+        at, rank = at[take], rank[take]
+        symbols[at] = (free + np.cumsum(kept) - 1)[rank]
         last[at] = last[at + 1]
+        live[at] = live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([held[order] >> np.uint64(32), held[order] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        free += len(order)
+        symbols, last, live = symbols[keep], last[keep], live[keep]
+        new = often[kept]
+        rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        free += len(new)
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), last
 
 
+def undo(symbols: np.ndarray, rules: np.ndarray, first_free: int) -> np.ndarray:
+    """Each nonterminal replaced by its two symbols, once."""
+    inner = np.flatnonzero(symbols >= first_free)
+    width = np.ones(len(symbols), np.int64)
+    width[inner] = 2
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.uint32)
+    out[at] = symbols
+    pair = rules[symbols[inner] - first_free]
+    out[at[inner]], out[at[inner] + 1] = pair[:, 0], pair[:, 1]
+    return out
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first_free: int) -> np.ndarray:
-    """The ids of a run of symbols; a round of rules is undone at a time, all places at once."""
+    """The ids of a run of symbols."""
     symbols = symbols.astype(np.uint32)
-    while len(rules):
-        inner = np.flatnonzero(symbols >= first_free)
-        if not len(inner):
-            break
-        width = np.ones(len(symbols), np.int64)
-        width[inner] = 2
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[at] = symbols
-        pair = rules[symbols[inner] - first_free]
-        out[at[inner]], out[at[inner] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
+    while len(rules) and (symbols >= first_free).any():
+        symbols = undo(symbols, rules, first_free)
     return symbols
 
 
@@ -161,10 +194,47 @@ def unpack(data: bytes) -> Block:
     return Block(ids, out[2], out[3], out[4].reshape(-1, 2), out[5], out[6], first_free)
 
 
+def read_range(block: Block, i: int, begin: int, end: int) -> np.ndarray:
+    """Ids begin to end (exclusive) of one document of a block. The expansion lengths tell at each level which symbols
+    the range touches; the others are left out before the next one."""
+    begin, end = max(0, begin), min(end, int(block.lengths[i]))
+    if begin >= end:
+        return np.zeros(0, np.uint32)
+    at = int(block.counts[:i].sum())
+    symbols, skip = block.symbols[at : at + int(block.counts[i])].astype(np.uint32), begin
+    while True:
+        inner = symbols >= block.first_free
+        size = np.ones(len(symbols), np.int64)
+        size[inner] = block.sizes[symbols[inner] - block.first_free]
+        ends = np.cumsum(size)
+        low, high = np.searchsorted(ends, (skip, skip + end - begin - 1), "right").tolist()
+        skip -= int(ends[low] - size[low])
+        symbols = symbols[low : high + 1]
+        if not inner[low : high + 1].any():
+            return symbols[skip : skip + end - begin]
+        symbols = undo(symbols, block.rules, block.first_free)
+
+
+def read_block(block: Block) -> np.ndarray:
+    """The ids of all documents of a block: each nonterminal is expanded once, by its length, and copied."""
+    spelled = expand(np.arange(block.first_free, block.first_free + len(block.rules)), block.rules, block.first_free)
+    inner = block.symbols >= block.first_free
+    rule = block.symbols[inner].astype(np.int64) - block.first_free
+    sizes = block.sizes.astype(np.int64)
+    size = np.ones(len(inner), np.int64)
+    size[inner] = n = sizes[rule]
+    ends, own = np.cumsum(size), np.cumsum(n)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    copied = np.ones(len(out), bool)
+    copied[ends[~inner] - 1] = False
+    out[~copied] = block.symbols[~inner]
+    out[copied] = spelled[np.repeat((np.cumsum(sizes) - sizes)[rule] - own + n, n) + np.arange(own[-1] if len(own) else 0)]
+    return out
+
+
 def read_document(block: Block, i: int) -> np.ndarray:
     """The ids of one document of a block; only its own symbols are touched."""
-    a = int(block.counts[:i].sum())
-    return expand(block.symbols[a : a + int(block.counts[i])], block.rules, block.first_free)
+    return read_range(block, i, 0, int(block.lengths[i]))
 
 
 # ---- encoding
@@ -195,6 +265,29 @@ def pieces_of(raw: np.ndarray, offs: np.ndarray, specials: list[bytes]) -> tuple
     return low, Words(starts, np.flatnonzero(on & fresh[1:]) + 1, np.searchsorted(starts, offs))
 
 
+#: The rules of a tokenizer for which ``pieces_of`` holds.
+PIECE_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def _same_bytes(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, n: np.ndarray) -> bool:
+    """Are the stretches of lengths ``n`` at ``xs`` in x and at ``ys`` in y equal, all of them?"""
+    ends = np.cumsum(n)
+    step = np.arange(int(ends[-1]) if len(n) else 0, dtype=np.int32)
+    begin = ends - n
+    return bool((x[np.repeat((xs - begin).astype(np.int32), n) + step] == y[np.repeat((ys - begin).astype(np.int32), n) + step]).all())
+
+
 class Encoder:
     """Ids of pieces, kept in a table that starts anew when it is full."""
 
@@ -205,29 +298,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.p = Tokenizer.from_file(p.tokenizer), p
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_pieces = all(rules.get(k) == v for k, v in PIECE_RULES.items()) and self.tokenizer.token_to_id(p.mark[0]) == p.mark[1]
         self.specials = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.size = np.zeros(self.p.lexicon * 2, np.int64), np.zeros(self.p.lexicon * 2, np.int64)
+        self.spelled, self.spent = np.zeros(1 << 20, np.uint8), 0
+        self.at, self.size, self.spell_at, self.spell_size = (np.zeros(self.p.lexicon * 2, np.int64) for _ in range(4))
 
-    def _store(self, keys: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _store(self, keys: list[int], spelled: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, more, letters = len(self.slots), len(keys), b"".join(spelled)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        n, more = len(self.slots), len(keys)
+        while self.spent + len(letters) > len(self.spelled):
+            self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
         while n + more > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.spell_at, self.spell_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.spell_at, self.spell_size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.at[n : n + more] = self.used + np.cumsum(lengths) - lengths
-        self.size[n : n + more] = lengths
+        self.spelled[self.spent : self.spent + len(letters)] = np.frombuffer(letters, np.uint8)
+        own = np.fromiter(map(len, spelled), np.int64, more)
+        self.at[n : n + more], self.size[n : n + more] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.spell_at[n : n + more], self.spell_size[n : n + more] = self.spent + np.cumsum(own) - own, own
         self.used += len(ids)
-        self.slots.update(zip(keys, range(n, n + len(keys))))
+        self.spent += len(letters)
+        self.slots.update(zip(keys, range(n, n + more)))
 
-    def learn(self, keys: list[int], pieces: list[str]) -> None:
+    def learn(self, keys: list[int], spelled: list[bytes]) -> None:
         """Words of plain Latin letters are one unit each of the tokenizer, so many go into one text and come apart by
         unit; other pieces are parted by the mark."""
+        pieces = [x.decode("utf-8", "replace") for x in spelled]
         plain = [x.isalpha() and max(x) < "\u0100" for x in pieces]
         text, mark = self.p.mark
         for kind, join in ((True, " "), (False, f" {text} ")):
@@ -250,20 +352,40 @@ class Encoder:
                     where = int(lengths[:k].sum())
                     alone = np.array(self.tokenizer.encode(pieces[i], add_special_tokens=False).ids, np.uint32)
                     ids, lengths[k] = np.concatenate([ids[:where], alone, ids[where:]]), len(alone)
-                self._store([keys[i] for i in g], ids, lengths)
+                self._store([keys[i] for i in g], [spelled[i] for i in g], ids, lengths)
+
+    def whole(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, each text at once."""
+        body = raw.tobytes()
+        texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        found = [[*e.ids, self.p.end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): ids of all texts of a slice with their end ids, and how many each text has."""
+        if not self.by_pieces:
+            return self.whole(raw, offs)
         if len(self.slots) > self.p.lexicon:
             self.clear()
-        raw, w = pieces_of(raw, offs, self.specials)
-        unique, where, inverse = np.unique(hashes(raw, w, _AS_IS), return_index=True, return_inverse=True)
-        keys, get = unique.tolist(), self.slots.get
-        new = [i for i, k in enumerate(keys) if get(k) is None]
+        body, w = pieces_of(raw, offs, self.specials)
+        unique, where, inverse = np.unique(hashes(body, w, _AS_IS), return_index=True, return_inverse=True)
+        width = w.ends - w.starts
+        one = where[inverse]  # the first piece with the same hash
+        other = np.flatnonzero(one != np.arange(len(one)))
+        if (width[other] != width[one[other]]).any() or not _same_bytes(body, w.starts[other], body, w.starts[one[other]], width[other]):
+            return self.whole(raw, offs)
+        keys = unique.tolist()
+        slots = list(map(self.slots.get, keys))
+        new = [i for i, k in enumerate(slots) if k is None]
         if new:
-            view, s, e = memoryview(raw), w.starts[where[new]].tolist(), w.ends[where[new]].tolist()
-            self.learn([keys[i] for i in new], [str(view[a:b], "utf-8", "replace") for a, b in zip(s, e)])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[inverse]
+            view, s, e = body.tobytes(), w.starts[where[new]].tolist(), w.ends[where[new]].tolist()
+            self.learn([keys[i] for i in new], [view[a:b] for a, b in zip(s, e)])
+            for i in new:
+                slots[i] = self.slots[keys[i]]
+        slot = np.array(slots, np.int64)
+        if (self.spell_size[slot] != width[where]).any() or not _same_bytes(self.spelled, self.spell_at[slot], body, w.starts[where], width[where]):
+            return self.whole(raw, offs)
+        slot = slot[inverse]
         a, n = self.at[slot], self.size[slot]
         ends = np.concatenate([[0], np.cumsum(n)])
         # ids of pieces, one piece after another
@@ -321,8 +443,11 @@ def _blocks(p: TokenParams):
 def write_tokens(docs: DataFrame, path: str, params: TokenParams, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the blocks of all documents in ascending order of their ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(1, -(-docs.count() // params.docs_per_shard))
-    map_texts(texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"), _blocks(params), _BLOCKS).write.parquet(path)
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    shards = max(1, -(-n // params.docs_per_shard), -(-(size or 0) // params.shard_bytes))
+    # rows that share an id part by the beginnings of their texts, which agree with the order of whole texts
+    dealt = texts.repartitionByRange(shards, "doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 32))
+    map_texts(dealt.sortWithinPartitions("doc_id", "text"), _blocks(params), _BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -334,7 +459,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for batch in batches:
             for shard, number, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 b = unpack(data)
-                ids = expand(b.symbols, b.rules, b.first_free).astype("<u4")
+                ids = read_block(b).astype("<u4")
                 n = b.lengths.astype(np.int64)
                 ends = np.cumsum(n)
                 view = memoryview(ids)
@@ -345,8 +470,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     cols.append(pa.array([ids[e - m : e].tolist() for e, m in zip(ends.tolist(), n.tolist())], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    before = W.partitionBy(F.lit(1)).orderBy("shard", "block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("block_start"))
+    # a row a shard first: the one window over all of them sees no blocks
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    within = F.sum("n_ids").over(W.partitionBy("shard").orderBy("block")) - F.col("n_ids")
+    starts = blocks.select("shard", "block", within.alias("inner")).join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("inner")).alias("block_start"))
     rows = blocks.select("shard", "block", "data").mapInArrow(run, schema).join(starts, ["shard", "block"])
     return rows.select("doc_id", (F.col("block_start") + F.col("inner_start")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", *(["ids"] if with_ids else []))
 

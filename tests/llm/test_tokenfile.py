@@ -29,13 +29,68 @@ def test_pieces_encode_as_whole_texts(texts):
 @given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=60), min_size=1, max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_blocks_round_trip(docs):
-    p = tokenfile.TokenParams("", least_count=2, pairs_per_round=3, rounds=6)
+    p = tokenfile.TokenParams("", least_count=2)
     ids, n = np.array(sum(docs, []), np.uint32), np.array([len(d) for d in docs])
     block = tokenfile.unpack(tokenfile.pack([None, *range(1, len(docs))], ids, n, p))
     assert block.doc_ids == [None, *range(1, len(docs))]
     assert [tokenfile.read_document(block, i).tolist() for i in range(len(docs))] == docs
+    assert tokenfile.read_block(block).tolist() == sum(docs, [])
     for i, (a, b) in enumerate(block.rules.tolist()):
         assert block.sizes[i] == len(tokenfile.expand(np.array([a, b]), block.rules, block.first_free))
+    for i, d in enumerate(docs):
+        for a in range(0, len(d), 7):
+            assert tokenfile.read_range(block, i, a, a + 5).tolist() == d[a : a + 5]
+    # no pair is left that two places (not overlapping) in documents hold
+    at, counts = 0, {}
+    for n_symbols in block.counts.tolist():
+        own, seen = block.symbols[at : at + n_symbols].tolist(), {}
+        at += n_symbols
+        for k, pair in enumerate(zip(own, own[1:])):
+            if seen.get(pair) != k - 1:
+                counts[pair], seen[pair] = counts.get(pair, 0) + 1, k
+    assert max(counts.values(), default=0) < 2
+
+
+def test_a_range_touches_only_its_symbols():
+    ids = np.tile(np.arange(64, dtype=np.uint32), 2000)
+    block = tokenfile.unpack(tokenfile.pack([0], ids, np.array([len(ids)]), P))
+    assert block.sizes.max() > 5_000  # a symbol for a long stretch, which must not be expanded whole
+    touched, undo = [], tokenfile.undo
+    tokenfile.undo = lambda s, *rest: (touched.append(len(s)), undo(s, *rest))[1]
+    try:
+        assert tokenfile.read_range(block, 0, 77_777, 77_787).tolist() == ids[77_777:77_787].tolist()
+    finally:
+        tokenfile.undo = undo
+    assert max(touched) <= 12
+
+
+def test_pieces_that_share_a_hash():
+    a = "ab"
+    for _ in range(9):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for texts in ([a, b], [a], [b], [f"x {a} y {b} {a}"]):
+        for _, _, raw, offs in textbytes.slices(pa.array(texts, pa.string())):
+            ids, n = ENC.encode(raw, offs)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [direct(t) for t in texts]
+
+
+def test_a_tokenizer_with_other_rules_encodes_whole_texts():
+    other = tokenfile.Encoder(tokenfile.TokenParams(public_tokenizers.path("byte_bpe_50k.json"), end_id=50256))
+    texts = ["The  quick\n\nBROWN fox's 1234", "", "a,b"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, n = other.encode(raw, np.cumsum([0, *map(len, texts)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*other.tokenizer.encode(t, add_special_tokens=False).ids, 50256] for t in texts]
+    assert ENC.by_pieces and not other.by_pieces
+
+
+def test_an_id_that_most_rows_have(spark):
+    texts = [f"{w} text number {i}" for i in range(60) for w in ("one", "two")]
+    docs = spark.createDataFrame([(7, t, "", 0) for t in texts] + [(3, "first", "", 0), (9, "last", "", 0)], DOCS)
+    got = tokenfile.encode(docs, tokenfile.TokenParams(P.tokenizer, docs_per_shard=20), with_ids=True).collect()
+    want = [direct(t) for t in ["first", *sorted(texts), "last"]]
+    assert [r.ids for r in sorted(got, key=lambda r: r.start)] == want
+    assert len({r.shard for r in got if r.doc_id == 7}) > 2
 
 
 def test_repeats_shrink():
