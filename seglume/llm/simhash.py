@@ -3,12 +3,19 @@
 Fingerprints of 64 bits link at ``DISTANCE`` (4) or fewer differing bits. Cut into three segments, two linked
 fingerprints differ by at most one bit in at least one of them. So each segment is indexed once whole and once with
 each of its bits as a wildcard: an equality join on these variants meets every linked pair, with the side that has the
-bit unset on the left and the side that has it set on the right, and the join's condition verifies the distance.
+bit unset on the left and the side that has it set on the right, and the join's condition verifies the distance. From
+``PARTS_FROM`` fingerprints on, a key holds a part of the other two segments as well: cut into five, one of them is equal
+for sure, and a bucket stays small however many fingerprints there are.
 
 Texts with equal fingerprints are one class before any of this. Classes that sorted neighbours already chain together
 have a label before the full join, which then returns only links between different labels: a dense group of near
 copies does not become all its pairs, and no link that connects different labels is lost.
 
+``keep_one`` is the stage of a pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+are near copies. At that similarity fingerprints differ by some 10 bits of 64 (measured: 4 bits or fewer for none of 259
+pairs between 0.80 and 0.85), and deletion variants that reach so far would need several hundred rows a text. So beside
+the variants, bands of minima of the same shingle hashes give candidates, and the sets themselves decide on all of them.
+
 Nulls: a null text counts as empty; its fingerprint is zero and links like any other. A null id takes part, but never
 names a component of which another member has an id. Repeated rows stay. An empty table gives no rows. Other columns
 are ignored.
@@ -17,6 +24,8 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seglume.llm.components import connected
-from seglume.llm.textbytes import SPACE, buffers, map_texts, word_mask
+from seglume.llm.textbytes import buffers, map_texts, mix64
 from seglume.storage import stage
 
 SHINGLE = 4
@@ -32,27 +41,53 @@ DISTANCE = 4
 SEED = 42
 #: Bits of the segments, from the lowest; with three, DISTANCE of 4 or 5 leaves one segment at one bit or none.
 SEGMENTS = (22, 21, 21)
+#: So many classes of fingerprints make keys of a segment and a part.
+PARTS_FROM = 1 << 25
+PARTS = 5
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """A bit is set if over half of the shingles' hashes have it (repeats count)."""
+@dataclass(frozen=True)
+class CopyParams:
+    """Near copies as ``keep_one`` takes them. A pair at the threshold misses all bands once in about 450 times
+    (0.8 ** 6 = 0.26 for a band, and 1 - 0.26 to the power of 20)."""
+
+    size: int = 5
+    similarity: float = 0.8
+    bands: int = 20
+    rows: int = 6
+    seed: int = 9
+
+
+def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles, repeats included, some at a time; of the whole sequence where it is shorter."""
     words = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
-    if len(words) < size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined = b" ".join(words)
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= size:
+        yield np.array([digest(joined, SEED)], np.uint64)
+        return
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths)
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     ends = (ends[size - 1 :] - 1).tolist()
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for i in range(0, len(starts), _CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > len(starts), bitorder="little")
-    return int(bits.view("<u8")[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _CHUNK], ends[i : i + _CHUNK])], np.uint64)
+
+
+def majority(parts: list[np.ndarray]) -> int:
+    """A bit is set if over half of the hashes have it."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        votes += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """A bit is set if over half of the shingles' hashes have it (repeats count)."""
+    return majority(list(shingle_hashes(text, size)))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +107,30 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, sum(SEGMENTS[:i])).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1))
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """Adds key and side for each whole segment (side null) and each segment with one wildcard bit (side: the bit)."""
+def variants(nodes: DataFrame, parts: bool = False) -> DataFrame:
+    """Adds key and side for each whole segment (side null) and each segment with one wildcard bit (side: the bit); with
+    ``parts``, once for each of ``PARTS`` parts of the other segments."""
     total, whole = sum(SEGMENTS), len(SEGMENTS)
     k = F.col("k")
-    clear = F.expr(f"fp & ~shiftleft(1L, k)")
-    segment, at = F.lit(None), 0
+    clear = F.expr("fp & ~shiftleft(1L, k)")
+    segment, rest, at = F.lit(None), F.lit(None), 0
     for i, width in enumerate(SEGMENTS):
-        segment = F.when(k.between(at, at + width - 1), _segment(clear, i)).when(k == total + i, _segment(F.col("fp"), i)).otherwise(segment)
+        own = k.between(at, at + width - 1) | (k == total + i)
+        segment = F.when(own, _segment(F.when(k < total, clear).otherwise(F.col("fp")), i)).otherwise(segment)
+        # the bits above the segment, then those below it
+        above = F.shiftrightunsigned("fp", at + width) if at + width < 64 else F.lit(0).cast("long")
+        rest = F.when(own, F.shiftleft(above, at).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << at) - 1)))).otherwise(rest)
         at += width
     out = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(total + whole - 1))))
     bit = F.expr("shiftrightunsigned(fp, k) & 1L").cast("int")
-    return out.withColumn("key", F.shiftleft(k.cast("long"), max(SEGMENTS)).bitwiseOR(segment)).withColumn("side", F.when(k < total, bit)).drop("k")
+    out = out.withColumn("key", F.shiftleft(k.cast("long"), max(SEGMENTS)).bitwiseOR(segment)).withColumn("side", F.when(k < total, bit))
+    if not parts:
+        return out.drop("k")
+    width = -(-(total - min(SEGMENTS)) // PARTS)
+    out = out.withColumn("rest", rest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    some = F.expr(f"shiftrightunsigned(rest, part * {width}) & {(1 << width) - 1}L")
+    key = F.shiftleft("key", width + 3).bitwiseOR(F.shiftleft(F.col("part").cast("long"), width)).bitwiseOR(some)
+    return out.withColumn("key", key).drop("k", "rest", "part")
 
 
 def _near(a: str, b: str) -> Column:
@@ -103,10 +150,10 @@ def chains(nodes: DataFrame) -> DataFrame:
     return links.select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
-def links(labelled: DataFrame) -> DataFrame:
-    """(a, b): every pair of linked fingerprints whose labels differ, through the variants; a pair may come up to
-    three times."""
-    every = variants(labelled)
+def links(labelled: DataFrame, parts: bool = False) -> DataFrame:
+    """(a, b): every pair of linked fingerprints whose labels differ, through the variants; a pair may come several
+    times."""
+    every = variants(labelled, parts)
     zero = every.where("side is null or side = 0").select("key", F.col("fp").alias("a"), F.col("label").alias("la"), F.col("side").isNull().alias("whole"))
     one = every.where("side is null or side = 1").select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
     return zero.join(one, (zero.key == one.key) & (F.col("la") != F.col("lb")) & _near("a", "b") & (~F.col("whole") | (F.col("a") < F.col("b")))).select("a", "b")
@@ -120,7 +167,7 @@ def _components(marked: DataFrame) -> DataFrame:
     labelled = stage(labelled, "simhash-labels")
     # links between the labels of the first grouping, then components of labels
     by = labelled.select("fp", "label")
-    found = links(labelled)
+    found = links(labelled, labelled.count() >= PARTS_FROM)
     pairs = found.join(by.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a").join(by.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
     second = connected(by.select(F.col("label").alias("node")).distinct(), pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")), "simhash-links")
     classes = labelled.join(second.select(F.col("node").alias("label"), F.col("label").alias("component")), "label")
@@ -134,16 +181,131 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(_components(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the smallest id (null last), of its texts the one with the least digest, of equal rows
-    any. Ids may be null or repeated."""
+# ---- near copies by similarity
+
+@cache
+def _odd(p: CopyParams) -> np.ndarray:
+    return np.random.default_rng(p.seed).integers(0, 1 << 63, p.bands * p.rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, p: CopyParams) -> list[int]:
+    """A key for each band: a hash of its minima, each over all hashes times an odd number."""
+    if not len(hashes):
+        return []
+    odd, least = _odd(p), np.full(p.bands * p.rows, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[i : i + 1024, None] * odd).min(axis=0))
+    key = np.arange(1, p.bands + 1, dtype=np.uint64)
+    for row in mix64(least).reshape(p.bands, p.rows).T:
+        key = mix64(key + row)
+    return key.view(np.int64).tolist()
+
+
+def _copy_marks(p: CopyParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = buffers(batch.column(1))
+            view, rows = memoryview(raw), []
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                parts = list(shingle_hashes(bytes(view[a:b]), p.size))
+                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                fp = majority(parts)
+                rows.append((xxhash.xxh3_128_hexdigest(own.astype("<u8").tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(own), band_keys(own, p)))
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "class", "fp", "n", "bands"])
+
+    return run
+
+
+def _copy_sets(p: CopyParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = buffers(batch.column(1))
+            view = memoryview(raw)
+            sets = [np.unique(np.concatenate(list(shingle_hashes(bytes(view[a:b]), p.size)))).view(np.int64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["class", "shingles"])
+
+    return run
+
+
+#: A class with more partners than this meets them in several tasks.
+_PARTNERS = 4096
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: CopyParams) -> DataFrame:
+    """The pairs (a, b) of classes whose sets of shingles are similar; sets are made of one text of each class that is in
+    a pair. The sides of a pair meet by the class with many partners in as many tasks as those ask for."""
+    pairs = stage(pairs.distinct(), "simhash-candidates")
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    named = nodes.join(wanted, "class", "left_semi").select("class", F.col("key").alias("_key"))
+    found = texts.join(named, texts["key"] == named["_key"]).dropDuplicates(["class"]).select("class", "text")
+    sets = stage(map_texts(found, _copy_sets(p), "class string, shingles array<long>"), "simhash-sets")
+    fan = pairs.groupBy("a").agg(F.floor(F.count("*") / _PARTNERS).cast("int").alias("most"))
+    one = sets.join(fan, sets["class"] == fan["a"]).select("a", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("most"))).alias("salt"))
+    two = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int"))
+    two = two.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("class")).select("a", "b", "salt", "y")
+    common = F.size(F.array_intersect("x", "y"))
+    return one.join(two, ["a", "salt"]).withColumn("common", common).where(F.col("common") >= p.similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def _sizes_allow(n: str, m: str, p: CopyParams) -> Column:
+    return F.least(n, m) >= p.similarity * F.greatest(n, m)
+
+
+def _first_pairs(nodes: DataFrame, buckets: DataFrame, p: CopyParams) -> DataFrame:
+    """Each class with the smallest one in each of its buckets, and with sorted neighbours: no group becomes its pairs."""
+    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("hub"), F.max("class").alias("last")).where("last <> hub.class")
+    stars = buckets.join(hubs, "bucket").where("class <> hub.class").where(_sizes_allow("n", "hub.n", p)).select(F.col("hub.class").alias("a"), F.col("class").alias("b"))
+    first = nodes.groupBy("fp").agg(F.min("class").alias("class"))
+    same = nodes.join(first.withColumnRenamed("class", "a"), "fp").where("class <> a").select("a", F.col("class").alias("b"))
+    near = chains(first).join(first.select(F.col("fp").alias("a"), F.col("class").alias("ca")), "a").join(first.select(F.col("fp").alias("b"), F.col("class").alias("cb")), "b")
+    return stars.unionByName(same).unionByName(near.select(F.greatest("ca", "cb").alias("b"), F.least("ca", "cb").alias("a")))
+
+
+def _other_pairs(labelled: DataFrame, buckets: DataFrame, p: CopyParams) -> DataFrame:
+    """All pairs of classes with different labels that share a bucket or have linked fingerprints. In a bucket, the
+    classes with its most frequent label stand on one side only: a dense group costs nothing but where others are."""
+    mixed = buckets.join(labelled.select("class", "label"), "class")
+    counts = mixed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("main"))
+    rows = mixed.join(main, "bucket")
+    few = rows.where("label <> main").select("bucket", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), "main")
+    every = rows.select("bucket", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
+    shared = few.join(every, "bucket").where("l_a <> l_b and (l_b = main or a < b)").where(_sizes_allow("n_a", "n_b", p)).select("a", "b")
+    by = labelled.select("fp", "label").distinct()
+    found = links(by, by.count() >= PARTS_FROM).distinct()
+    side = lambda x: labelled.select(F.col("fp").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"))
+    linked = found.join(side("a"), "a").join(side("b"), "b").where("l_a <> l_b").where(_sizes_allow("n_a", "n_b", p)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    return shared.unionByName(linked)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: CopyParams = CopyParams()) -> DataFrame:
+    """One row of each group of near copies: the smallest id (null last), of its texts the one with the least digest, of
+    equal rows any. Ids may be null or repeated."""
+    p = params
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")).alias("digest"))
     key = lambda r: F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), r["id"].cast("string")), F.lit("n")), r["digest"])
     texts = docs.select(row.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stage(map_texts(texts, _fingerprints, f"doc_id {dict(texts.dtypes)['doc_id']}, fp long"), "simhash-marks")
-    named = _components(marked).select(key(F.col("component_id")).alias("_key")).distinct()
+    marked = stage(map_texts(texts, _copy_marks(p), f"doc_id {dict(texts.dtypes)['doc_id']}, class string, fp long, n int, bands array<long>"), "simhash-marks")
+    nodes = marked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "bands"), "doc_id").alias("m"))
+    nodes = stage(nodes.select("class", "rep", "m.*").withColumn("key", key(F.col("rep"))), "simhash-classes")
+    keyed = texts.select(key(F.col("doc_id")).alias("key"), "text")
+    buckets = nodes.select("class", "n", F.explode("bands").alias("bucket"))
+
+    first = stage(_alike(_first_pairs(nodes, buckets, p), nodes, keyed, p), "simhash-first")
+    labels = connected(nodes.select(F.col("class").alias("node")), first, "simhash-groups")
+    labelled = stage(nodes.join(labels.withColumnRenamed("node", "class"), "class").select("class", "rep", "fp", "n", "label"), "simhash-labels")
+    more = _alike(_other_pairs(labelled, buckets, p), nodes, keyed, p)
+    by = labelled.select("class", "label")
+    met = more.join(by.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(by.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
+    last = connected(by.select(F.col("label").alias("node")).distinct(), met.select(F.col("la").alias("a"), F.col("lb").alias("b")), "simhash-links")
+    smallest = labelled.join(last.withColumnRenamed("label", "component").withColumnRenamed("node", "label"), "label").groupBy("component").agg(F.min("rep").alias("rep"))
+    named = stage(smallest.select(key(F.col("rep")).alias("_key")), "simhash-kept")
+
     # one shuffle serves the window and the join: both are by the key
     order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
     rows = docs.select(F.struct(*docs.columns).alias("_row"), key(row).alias("_key"), order.alias("_order"))
-    one = rows.withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy("_order"))).where("_at = 1")
-    return one.join(named, "_key", "left_semi").select("_row.*")
+    one = rows.join(named, "_key", "left_semi").withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy("_order"))).where("_at = 1")
+    return one.select("_row.*")

@@ -11,7 +11,7 @@ import corpus_pipeline
 from seglume.llm import mixing, quality, tokenfile
 from seglume.llm.registry import token_params
 from seglume.session import table
-from tests.llm.test_simhash import components, plain
+from tests.llm.test_simhash import similar_groups
 
 D = "/root/testdata/sf0.001"
 
@@ -44,9 +44,9 @@ def test_quality_stage_keeps_what_the_classifier_predicts(spark, kept):
     assert len(set(good) & set(ids(kept[0]))) >= 0.97 * len(good)
 
 
-def test_dedup_stage_keeps_the_least_id_of_each_component(kept):
+def test_dedup_stage_keeps_the_least_id_of_each_group(kept):
     rows = kept[0]
-    roots = components([plain(r["text"]) for r in rows])
+    roots = similar_groups([r["text"] for r in rows])
     assert ids(kept[1]) == sorted({min(r["doc_id"] for r, x in zip(rows, roots) if x == root) for root in set(roots)})
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
@@ -64,7 +65,8 @@ def test_components_equal_brute_force(spark):
     assert len(set(roots)) > 5
 
 
-def test_every_pair_within_the_distance_meets(spark):
+@pytest.mark.parametrize("parts", [False, True])
+def test_every_pair_within_the_distance_meets(spark, parts):
     rng = random.Random(5)
     fps = {0}
     for _ in range(40):
@@ -77,7 +79,7 @@ def test_every_pair_within_the_distance_meets(spark):
             fps.add(g)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f, f) for f in signed], "fp long, label long")
-    got = {tuple(sorted(r)) for r in simhash.links(nodes).collect()}
+    got = {tuple(sorted(r)) for r in simhash.links(nodes, parts).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
     assert got == want and want
 
@@ -97,3 +99,53 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     data = [(i, t, "", 0, "") for i, t in zip(ids, texts)] + [(None, texts[3], "", 0, ""), (None, texts[0], "", 0, ""), (3, texts[5], "", 0, "")]
     got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect()), key=str)
     assert got == sorted([*zip(ids[:5], texts[:5]), (3, texts[5])], key=str)
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar_groups(texts):
+    """Components of texts with a Jaccard similarity of 0.8 or more, by brute force: the first index of each text's."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one_of_near_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [[word() for _ in range(n)] for n in (30, 60, 120, 200, 200, 400)]
+    texts = [None, "", "one", "ONE", "one two three four", "x " * 300]
+    for words in base:
+        for _ in range(25):  # dense groups, chains among them, and copies that are too far
+            copy = list(words)
+            for _ in range(rng.choice((0, 1, len(words) // 100, len(words) // 50, len(words) // 40, len(words) // 12))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    data = [(i, texts[k], "", 0, "") for i, k in enumerate(order)]
+    roots = similar_groups([d[1] for d in data])
+    assert 12 < len(set(roots)) < len(data) / 2
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect())
+    assert got == sorted(set(roots))
+
+
+def test_a_class_with_many_partners_meets_them_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_PARTNERS", 4)
+    words = [f"w{i}" for i in range(300)]
+    data = [(i, " ".join(words[:i] + [f"new{i}"] + words[i + 1 :]), "", 0, "") for i in range(30)] + [(99, " ".join(words), "", 0, "")]
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect()] == [0]
