@@ -1,14 +1,15 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over tokens.
 
-Tokens are runs of letters, digits and ``+/_.-``; each has a shape, the gap that stands before it, the shapes of its
-neighbours, whether a naming word (password, token, key ...) stands up to two tokens before, and what kind of file it is
-in. The field has the tags begin, inside and outside: a token's features weigh "in a secret" against "outside", the
-transitions tell the three apart. It is trained here, by gradient ascent on sentences drawn from a seeded generator,
-and decoded by Viterbi.
+Tokens are runs of letters, digits and ``+/_.-``; features of a token are its shape, the gap that stands before it, the
+shapes of its neighbours, whether a naming word (password, token, key ...) stands up to two tokens before, what kind of
+file it is in, and which words it and its neighbours are (by hash, of those that training saw several times). The field
+has the tags begin, inside and outside; begin and inside weigh each feature on their own, against outside, and moves
+between tags have weights too. It is trained here, by gradient ascent on sentences drawn from a seeded generator, and
+decoded by Viterbi.
 
-Viterbi runs where it can matter: if a token's score for being in a secret is below all that the
-transitions could gain by it, any path through it gets better by stepping outside there, so that token is outside in
-the best path and cuts the chain. The result equals a full decoding.
+Viterbi runs where it can matter: if a token's better score for being in a secret is below all that the transitions, and
+the next token's tag, could gain by it, any path through it gets better by stepping outside there, so that token is
+outside in the best path and cuts the chain. The result equals a full decoding.
 
 Nulls: a null text is empty and has no spans; a null id stays null. Repeated rows stay. Texts are scanned whole,
 whatever their length. An empty table gives no rows. Other columns are ignored.
@@ -73,6 +74,7 @@ class Features:
     gap: np.ndarray
     named: np.ndarray  # 0 no, 1 the token before names, 2 the one before that
     file: np.ndarray  # per text: 0 prose, 1 a naming word, 2 many assignments
+    word: np.ndarray  # hash of the token in lower case
 
 
 @cache
@@ -137,63 +139,71 @@ def features(raw: np.ndarray, offs: np.ndarray) -> Features:
         file[np.unique(text[names])] = 1
         lines = np.bincount(text[(gap == 1) | (gap == 3)], minlength=len(file))
         file[lines * 8 > np.maximum(8, w.per_text())] = 2
-    return Features(w.starts, w.ends, w.first, shape, gap, named, file)
+    return Features(w.starts, w.ends, w.first, shape, gap, named, file, h)
 
 
 # ---- the field
 
 TAGS = ("O", "B", "I")
-#: Sizes of the weight tables: own shape, gap, naming, shape before, shape after, shape by naming, shape by gap, file.
-_SIZES = (len(SHAPES), len(GAPS), 3, len(SHAPES), len(SHAPES), 3 * len(SHAPES), len(GAPS) * len(SHAPES), 3)
+#: Sizes of the weight tables: own shape, gap, naming, shape before, shape after, shape by naming, shape by gap, file, own
+#: word, word before, word after (words by hash; number 0 is any other word and weighs nothing).
+_WORDS = 1 << 12
+_SIZES = (len(SHAPES), len(GAPS), 3, len(SHAPES), len(SHAPES), 3 * len(SHAPES), len(GAPS) * len(SHAPES), 3, _WORDS, _WORDS, _WORDS)
 _FORBIDDEN = -1e9
 
 
 @dataclass(frozen=True)
 class Field:
-    tables: tuple[np.ndarray, ...]
+    tables: tuple[np.ndarray, ...]  # values x (begin, inside)
     moves: np.ndarray  # [from, to] over O, B, I
 
     def scores(self, f: Features) -> np.ndarray:
-        """Of each token, for being in a secret against outside."""
-        out = np.zeros(len(f.shape), np.float32)
+        """Of each token, for beginning a secret and for being inside one, against outside."""
+        out = np.zeros((len(f.shape), 2), np.float32)
         for table, i in zip(self.tables, indices(f)):
             out += table[i]
         return out
 
-    def sure(self) -> float:
-        """A token scored below this is outside in the best path: what the transitions can gain by tagging it B or I
-        rather than O, with an I that follows turned into a B, is at most the opposite."""
+    def most(self) -> float:
+        """What the transitions can gain at most by tagging a token B or I rather than O, with an I that follows turned
+        into a B."""
         m, most = self.moves, -np.inf
         for before, own, after, last in itertools.product(range(3), (1, 2), range(3), range(3)):
             fixed = 1 if after == 2 else after
             had = m[before, own] + m[own, after] + m[after, last]
             if had > _FORBIDDEN / 2:
                 most = max(most, had - m[before, 0] - m[0, fixed] - m[fixed, last])
-        return -most - 1e-3
+        return most + 1e-3
 
 
 def indices(f: Features) -> list[np.ndarray]:
     n = len(f.shape)
-    prev, nxt = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if n > 1:
-        prev[1:], nxt[:-1] = f.shape[:-1], f.shape[1:]
-        heads = f.first[:-1][np.diff(f.first) > 0]
-        prev[heads] = S["end"]
-        nxt[heads[1:] - 1] = S["end"]
-    own = f.shape.astype(np.int64)
+    heads = f.first[:-1][np.diff(f.first) > 0]
+
+    def beside(x: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if n > 1:
+            before[1:], after[:-1] = x[:-1], x[1:]
+        before[heads] = end
+        after[heads[1:] - 1] = end
+        after[n - 1 :] = end
+        return before, after
+
+    own, word = f.shape.astype(np.int64), (f.word >> np.uint64(52)).astype(np.int64)
+    shapes, words_ = beside(own, S["end"]), beside(word, 0)
     file = np.repeat(f.file, np.diff(f.first))
-    return [own, f.gap, f.named, prev, nxt, f.named * len(SHAPES) + own, f.gap.astype(np.int64) * len(SHAPES) + own, file]
+    return [own, f.gap, f.named, *shapes, f.named * len(SHAPES) + own, f.gap.astype(np.int64) * len(SHAPES) + own, file, word, *words_]
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     """Best tags (0 O, 1 B, 2 I) of one chain; both ends stand next to an outside."""
     m = moves.tolist()
     at, back = [0.0, _FORBIDDEN, _FORBIDDEN], []
-    for s in scores.tolist():
+    for begin, inside in scores.tolist():
         new, ptr = [], []
-        for to in range(3):
+        for to, s in enumerate((0.0, begin, inside)):
             best = max(range(3), key=lambda a: at[a] + m[a][to])
-            new.append(at[best] + m[best][to] + (s if to else 0.0))
+            new.append(at[best] + m[best][to] + s)
             ptr.append(best)
         at = new
         back.append(ptr)
@@ -208,7 +218,9 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
 def decode(scores: np.ndarray, first: np.ndarray, field: Field) -> np.ndarray:
     """Tags of all tokens of many texts, each text a chain."""
     tags = np.zeros(len(scores), np.int8)
-    open_ = np.flatnonzero(scores > field.sure())
+    turned = np.zeros(len(scores))  # what turning the next token's I into a B costs at most
+    turned[:-1] = np.maximum(0, scores[1:, 1] - scores[1:, 0])
+    open_ = np.flatnonzero(scores.max(axis=1) > -(field.most() + turned)) if len(scores) else tags
     if len(open_):
         text = np.searchsorted(first, open_, "right")
         cut = np.flatnonzero((np.diff(open_) > 1) | (np.diff(text) > 0)) + 1
@@ -279,10 +291,17 @@ def trained(n: int = 600, seed: int = 11, rounds: int = 120, rate: float = 0.25,
     for k in range(n):
         grid[k, : length[k]] = np.arange(f.first[k], f.first[k + 1])
     idx, moves = indices(f), np.array([[0.0, 0.0, _FORBIDDEN], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    # words that are rare in the sentences would be learnt by heart; they and all unseen ones weigh nothing
+    known = np.bincount(idx[8], minlength=_WORDS) >= 5
+    known[0] = False
+    idx[8:] = [np.where(known[i], i, 0) for i in idx[8:]]
+    fixed = [np.ones(k, bool) for k in _SIZES]
+    for mask in fixed[8:]:
+        mask[0] = False
     allowed = moves > _FORBIDDEN / 2
-    params = [*(np.zeros(k) for k in _SIZES), moves]
+    params = [*(np.zeros((k, 2)) for k in _SIZES), moves]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    secret = (want > 0).astype(float)
+    tagged = np.stack([want == 1, want == 2], axis=1).astype(float)
     seen = np.zeros((3, 3))
     for k in range(n):
         path = [0, *want[f.first[k] : f.first[k + 1]], 0]
@@ -290,7 +309,8 @@ def trained(n: int = 600, seed: int = 11, rounds: int = 120, rate: float = 0.25,
     for step in range(1, rounds + 1):
         score = sum(t[i] for t, i in zip(params[:-1], idx))
         marginal, expected = _marginals(score, grid, params[-1])
-        grads = [np.bincount(i, secret - marginal, minlength=k) for i, k in zip(idx, _SIZES)] + [np.where(allowed, seen - expected, 0)]
+        miss = tagged - marginal
+        grads = [np.stack([np.bincount(i, miss[:, tag], minlength=k) for tag in range(2)], axis=1) * on[:, None] for i, k, on in zip(idx, _SIZES, fixed)] + [np.where(allowed, seen - expected, 0)]
         for j, g in enumerate(grads):
             g = g / n - decay * np.where(params[j] > _FORBIDDEN / 2, params[j], 0)
             first[j] = 0.9 * first[j] + 0.1 * g
@@ -302,10 +322,10 @@ def trained(n: int = 600, seed: int = 11, rounds: int = 120, rate: float = 0.25,
 
 
 def _marginals(score: np.ndarray, grid: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward over all chains at once: each token's chance of being in a secret, expected transitions."""
+    """Forward and backward over all chains at once: each token's chances of B and I, expected transitions."""
     n, length = grid.shape
     emit = np.zeros((n, length, 3))
-    emit[:, :, 1:] = np.where(grid >= 0, score[grid], 0)[:, :, None]
+    emit[:, :, 1:] = np.where((grid >= 0)[:, :, None], score[grid], 0)
     lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
     ahead = np.zeros((length + 1, n, 3))
     ahead[0] = [0, _FORBIDDEN, _FORBIDDEN]
@@ -318,11 +338,11 @@ def _marginals(score: np.ndarray, grid: np.ndarray, moves: np.ndarray) -> tuple[
         new = lse(moves[None] + (emit[:, t] + back[t + 1])[:, None, :], 2)
         back[t] = np.where(grid[:, t, None] >= 0, new, back[t + 1])
     total = lse(ahead[length] + moves[:, 0], 1)
-    chance, expected = np.zeros(len(score)), np.zeros((3, 3))
+    chance, expected = np.zeros(score.shape), np.zeros((3, 3))
     for t in range(length):
         on = grid[:, t] >= 0
         post = np.exp(ahead[t + 1] + back[t + 1] - total[:, None])
-        chance[grid[on, t]] = post[on, 1:].sum(axis=1)
+        chance[grid[on, t]] = post[on, 1:]
         pair = np.exp(ahead[t][:, :, None] + moves[None] + (emit[:, t] + back[t + 1])[:, None, :] - total[:, None, None])
         expected += pair[on].sum(axis=0)
     expected[:, 0] += np.exp(ahead[length] + moves[:, 0] - total[:, None]).sum(axis=0)
