@@ -1,10 +1,11 @@
 """License scans by ordered signature rules.
 
 A text becomes lower-case words (letters, digits and what is not ASCII). Rules are regexes over the words joined by
-spaces, each gated by a keyword that must be in the text first; a text without any keyword costs one pass. Families of
-licenses times forms of mention (identifier tag, address, full title, grant, bare name) make some hundreds of rules,
-ordered by priority. Where detections overlap, one that lies within the interval of a kept one of higher priority (then
-longer, then earlier) is suppressed; others stand beside each other.
+single spaces, each gated by a keyword that must stand there first; a text without any gate's words costs one pass.
+Hand-written signatures (``license_texts``) tell licenses by sentences of their own; beside them, names of licenses are
+told in their forms of mention (identifier tag, address, full title, grant, bare name). All are ordered by priority.
+Where detections overlap, one that lies within the interval of a kept one of higher priority (then longer, then earlier)
+is suppressed; others stand beside each other. Time grows with the text and its detections, not with their square.
 
 Base phrases are kept whatever else is found. Their places are counted separately.
 
@@ -15,13 +16,16 @@ are scanned whole. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seglume.llm.license_texts import SIGNATURES
 from seglume.llm.textbytes import MARKS, buffers, map_texts
 
 #: Phrases whose places are counted, and their labels.
@@ -91,21 +95,6 @@ VERSION_OF_COMMONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 GRANT = r"(?:licen[sc]ed|released|distributed|published|available|provided|covered|relicensed)(?: \w+){0,2} under(?: the)?(?: terms of)?(?: the)? "
 #: Words of an address before the part that names the license.
 SITES = {"apache": "apache org licenses", "gpl": "gnu org licenses", "lgpl": "gnu org licenses", "agpl": "gnu org licenses", "gfdl": "gnu org licenses", "mpl": "mozilla org mpl", "mit": "opensource org licenses", "epl": "eclipse org legal"}
-#: Texts that grant or reserve without a name.
-PLAIN = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 60),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 60),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 60),
-    ("public-domain", "domain", "(?:released|dedicated|placed)(?: in| into| to)* the public domain", 50),
-    ("public-domain", "domain", "this is free and unencumbered software released into the public domain", 60),
-    ("all-rights-reserved", "reserved", "all rights reserved", 20),
-    ("proprietary", "proprietary", "proprietary and confidential", 40),
-    ("no-warranty", "warranty", "as is without warranty of any kind", 10),
-    ("cc0", "cc0", "cc0(?: 1 0)?", 70),
-    ("cc0", "creative", "creative commons zero", 70),
-)
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -147,7 +136,7 @@ def rules() -> tuple[Rule, ...]:
             rule(label, "cc", f"cc {words}{number}", 50 + more + longer, 0.8)
             rule(label, "commons", f"creative commons (?:{title})(?: licen[sc]e)?{number}", 60 + more + longer, 0.9)
             rule(label, "creativecommons", f"creativecommons org licenses {words}{number}", 80 + more + longer, 0.95)
-    for label, keyword, body, priority in PLAIN:
+    for label, keyword, body, priority in SIGNATURES:
         rule(label, keyword, body, priority, priority / 100)
     return tuple(sorted(made, key=lambda r: -r.priority))
 
@@ -160,8 +149,18 @@ def keywords() -> dict[bytes, tuple[int, ...]]:
     return {k: tuple(v) for k, v in found.items()}
 
 
-#: One of these is in every text that a rule or a base phrase can match, so most texts stop here.
-GATES = (b"licen", b"spdx", b" cc ", b"cc0", b"commons", b"gpl", b"public domain", b"permission", b"redistribution", b"reserved", b"proprietary", b" under ", b"warranty", b"mozilla org", b"eclipse org")
+#: One of these is in every text that the name of a license or a base phrase can match.
+NAME_GATES = (b"licen", b"spdx", b" cc ", b"creative commons", b"creativecommons org", b"gpl", b" under ", b"mozilla org", b"eclipse org", b"gnu org")
+
+
+@cache
+def gates() -> tuple[bytes, ...]:
+    """One of these stands in the joined words wherever a rule or base phrase can match, so most texts stop here: the gates
+    of names, and the words of those signatures that have none of them."""
+    own = {keyword.encode() for _, keyword, _, _ in SIGNATURES}
+    return (*NAME_GATES, *sorted(k for k in own if not any(g in b" " + k + b" " for g in NAME_GATES)))
+
+
 _WORDS = bytes(32 if i in MARKS else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -173,6 +172,23 @@ def places(joined: bytes, phrase: str) -> list[int]:
     return out
 
 
+def uncovered(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (start, end, rule), best first: those that lie in no kept interval before them. Kept intervals that no other kept
+    one covers have starts and ends in the same order, so the last that begins no later has the furthest end."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = []
+    for a, b, i in hits:
+        k = bisect_right(starts, a)
+        if k and ends[k - 1] >= b:
+            continue
+        kept.append((a, b, i))
+        # what this interval covers no longer matters
+        low, high = bisect_left(starts, a), bisect_right(ends, b)
+        starts[low:high], ends[low:high] = [a], [b]
+    return kept
+
+
 def detect(joined: bytes) -> list[tuple[int, int, Rule]]:
     """Kept detections (start, end, rule) in bytes of the joined words, highest priority first."""
     hits = []
@@ -180,26 +196,23 @@ def detect(joined: bytes) -> list[tuple[int, int, Rule]]:
         if keyword in joined:
             for i in which:
                 hits += [(m.start(), m.end(), i) for m in rules()[i].pattern.finditer(joined)]
-    kept: list[tuple[int, int, Rule]] = []
-    for a, b, i in sorted(hits, key=lambda h: (-rules()[h[2]].priority, h[0] - h[1], h[0], h[2])):
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rules()[i]))
-    return kept
+    hits.sort(key=lambda h: (-rules()[h[2]].priority, h[0] - h[1], h[0], h[2]))
+    return [(a, b, rules()[i]) for a, b, i in uncovered(hits)]
 
 
 def scan_text(text: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, int, float]]]:
     """Number of words; base places and detections as (first word, words, label, ...)."""
-    spaced = text.translate(_WORDS)
-    words = spaced.split()
-    if not any(g in spaced for g in GATES):
-        padded = b" " + spaced[:8] + b" " + spaced[-8:] + b" "  # " cc " and " under " at the ends
-        if b" cc " not in padded and b" under " not in padded:
-            return len(words), [], []
+    words = text.translate(_WORDS).split()
     joined = b" " + b" ".join(words) + b" "
-    at = lambda i: joined.count(b" ", 0, i) - 1
-    base = [(at(i), len(p.split()), label) for p, label in BASE.items() for i in places(joined, p)]
-    found = [(at(a), joined.count(b" ", a, b) + 1, r.label, r.priority, r.weight) for a, b, r in detect(joined)]
-    return len(words), base, found
+    if not any(g in joined for g in gates()):
+        return len(words), [], []
+    base = [(i, len(p.split()), label) for p, label in BASE.items() for i in places(joined, p)]
+    found = detect(joined)
+    if not base and not found:
+        return len(words), [], []
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    at = lambda i: int(np.searchsorted(spaces, i)) - 1
+    return len(words), [(at(i), n, label) for i, n, label in base], [(at(a), at(b) - at(a) + 1, r.label, r.priority, r.weight) for a, b, r in found]
 
 
 SCHEMA = (
