@@ -35,7 +35,6 @@ class MixParams:
     max_repeats: int = 2
     block_words: int = 32
     rows_per_shard: int = 2000
-    max_shards: int = 4096
     seed: str = "mix-1"
 
 
@@ -157,7 +156,7 @@ def _takes(rows: DataFrame, cells: DataFrame, p: MixParams) -> tuple[DataFrame,
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: MixParams) -> tuple[DataFrame, DataFrame, int]:
     sizes = stage(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-    n_shards = max(1, min(p.max_shards, -(-sizes.count() // p.rows_per_shard)))
+    n_shards = max(1, -(-sizes.count() // p.rows_per_shard))
     sizes = _drawn(sizes, n_shards, p)
     return sizes, quotas(sizes, p), n_shards
 
@@ -195,7 +194,7 @@ _SL = """{n}_l AS (SELECT *, CASE WHEN group_seats > group_cells / 2 THEN CAST(f
 def mix_sql() -> str:
     """The same in DuckDB SQL over the view ``documents``, with the default parameters."""
     p = MixParams()
-    return f"""WITH n AS (SELECT greatest(1, least({p.max_shards}, (count(*) + {p.rows_per_shard - 1}) // {p.rows_per_shard})) AS shards FROM documents),
+    return f"""WITH n AS (SELECT greatest(1, (count(*) + {p.rows_per_shard - 1}) // {p.rows_per_shard}) AS shards FROM documents),
 z AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
      md5('{p.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
 sizes AS (SELECT z.*, CAST('0x' || draw[1:8] AS BIGINT) % shards AS shard FROM z, n),

@@ -196,12 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = map_texts(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), run, "doc_id long, y double, x array<float>").collect()
-    seen, sample = set(), []
-    for r in sorted(rows, key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.x)):
-        if r.doc_id not in seen:  # of repeated ids the first counts
-            seen.add(r.doc_id)
-            sample.append(r)
+    rows = map_texts(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), run, "doc_id long, y double, x array<float>")
+    # of repeated ids the least row counts, so no more rows than ids reach the driver
+    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).collect()
+    sample = sorted(rows, key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id))
     return fit(np.array([r.x for r in sample], np.float32).reshape(-1, width(p)), np.array([r.y >= 0.5 for r in sample], float), p)
 
 

@@ -8,6 +8,8 @@ The global position is exact without one global sort: a cell of the curve gets a
 ``rows_per_salt`` of its rows, counts of (cell, salt) are summed along the curve, and rows are numbered within
 (cell, salt) only. A cell that holds a third of all rows so spreads over many tasks.
 
+Source and language are ordered by the seven bytes that follow the beginning common to all values.
+
 Nulls: a null text has 8 bytes of size and the checksum of no bytes; null source, language or id order first.
 Repeated rows get positions of their own. An empty table gives no rows. Other columns are ignored.
 """
@@ -62,25 +64,43 @@ def curve_table(spark: SparkSession, bits: int) -> DataFrame:
     return spark.sql(f"SELECT CAST(col1 AS INT) AS cell, CAST(col2 AS LONG) AS h FROM VALUES {','.join(rows)}")
 
 
-def order_key(text: Column) -> Column:
-    """The first seven bytes of a string as a number in the same order."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(text.cast("binary")), 1, 14), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+def common_bytes(least: str | None, most: str | None) -> int:
+    """How many bytes all strings from the least to the most begin with."""
+    a, b = ((x or "").encode() for x in (least, most))
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def order_key(text: Column, skip: int = 0) -> Column:
+    """Seven bytes of a string, after some that all strings share, as a number in the same order."""
+    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(text.cast("binary")), 1 + 2 * skip, 14), 14, "0"), 16, 10).cast("long"), F.lit(-1))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", params: ShardParams = ShardParams()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, h (curve index); one row a document."""
+    return _placed(docs, id_col, text_col, source_col, lang_col, params).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "h"
+    )
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, params: ShardParams, *more: Column) -> DataFrame:
+    """doc_id, size, text_crc32, h, shard, slot and columns that are carried along."""
     p, spark = params, docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = stage(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            order_key(F.col(source_col)).alias("d0"),
-            order_key(F.col(lang_col)).alias("d1"),
+            F.col(source_col).cast("string").alias("source"),
+            F.col(lang_col).cast("string").alias("lang"),
             (F.octet_length(body) + 8).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
+            *more,
         ),
         "shard-rows",
     )
+    ends = rows.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("source", "lang") for f in (F.min, F.max)]).first()
+    for name, c in (("d0", "source"), ("d1", "lang")):
+        rows = rows.withColumn(name, order_key(F.col(c), common_bytes(ends[f"min_{c}"], ends[f"max_{c}"])))
+    rows = rows.drop("source", "lang")
     side = 1 << p.bits
     cuts = [i / side for i in range(1, side)]
     marks = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(c, cuts, 10_000).alias(c) for c in ("d0", "d1", "size")]).first()
@@ -99,35 +119,27 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).join(F.broadcast(curve_table(spark, p.bits)), "cell").select("cell", "h", F.ceil(F.col("n") / p.rows_per_salt).cast("int").alias("salts")),
         "shard-curve",
     )  # at most one row a cell: a size that no data changes
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("salts")).cast("int")
     rows = rows.withColumn("cell", cell).join(F.broadcast(curve), "cell").withColumn("salt", salt).drop("cell", "d0", "d1", "salts")
 
     counts = stage(rows.groupBy("h", "salt").agg(F.count("*").alias("rows")), "shard-counts")
-    along = W.partitionBy(F.lit(1)).orderBy("h", "salt").rowsBetween(W.unboundedPreceding, -1)
-    starts = stage(counts.select("h", "salt", F.coalesce(F.sum("rows").over(along), F.lit(0)).alias("start")), "shard-starts")
+    cells = counts.groupBy("h").agg(F.sum("rows").alias("all"))  # at most one row a cell: the only window over them all
+    cells = cells.select("h", (F.sum("all").over(W.orderBy("h")) - F.col("all")).alias("cell_start"))
+    inner = F.sum("rows").over(W.partitionBy("h").orderBy("salt")) - F.col("rows")
+    starts = counts.select("h", "salt", inner.alias("inner")).join(F.broadcast(cells), "h")
+    starts = stage(starts.select("h", "salt", (F.col("cell_start") + F.col("inner")).alias("start")), "shard-starts")
 
     within = F.row_number().over(W.partitionBy("h", "salt").orderBy("doc_id", "size", "text_crc32")) - 1
     total = marks["n"]
     at = rows.withColumn("within", within).join(starts, ["h", "salt"]).withColumn("at", F.col("start") + F.col("within"))
     at = at.withColumn("shard", F.expr(f"at * {p.shards} div {total}").cast("int"))
     first = F.expr(f"(shard * {total}L + {p.shards - 1}) div {p.shards}")
-    return at.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        (F.col("at") - first).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "h",
-    )
-
+    return at.withColumn("slot", F.col("at") - first).drop("within", "start", "at", "salt")
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **kwargs) -> None:
-    """The documents themselves, one folder a shard and rows in curve order, for readers that prune by min and max.
 
-    Documents with equal ids must be equal rows or they take each other's places.
-    """
-    placed = shard(docs, id_col=id_col, **kwargs).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    one = placed.groupBy("_id").agg(F.min_by("_shard", F.struct("_shard", "_slot")).alias("_shard"), F.min("_slot").alias("_slot"))
-    docs.join(one, docs[id_col].eqNullSafe(one["_id"])).drop("_id").repartition("_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", params: ShardParams = ShardParams()) -> None:
+    """The documents themselves, one folder a shard and rows in curve order, for readers that prune by min and max. Each
+    row goes where ``shard`` puts it, whatever ids are null or repeated."""
+    placed = _placed(docs, id_col, text_col, source_col, lang_col, params, F.struct(*docs.columns).alias("_row"))
+    rows = placed.select("_row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows.repartition(params.shards, "_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)

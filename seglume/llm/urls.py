@@ -50,7 +50,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
         F.sort_array(F.collect_list(F.struct(F.length("key").alias("specific"), "valid_from", "valid_to", "key")), asc=False).alias("rules")
     )
     hit = F.get(F.filter("rules", lambda r: (r["valid_from"] <= F.col("fetched_at")) & (F.col("fetched_at") < r["valid_to"])), F.lit(0))
-    out = seen.join(active, "host", "left").withColumn("hit", hit)
+    # captures without a host meet nothing; a key of their own spreads them
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("page_id", "fetched_at"), F.lit(4096)).cast("string"))
+    out = seen.withColumn("_key", F.coalesce("host", spread)).join(active.withColumnRenamed("host", "_key"), "_key", "left").withColumn("hit", hit)
     return out.select("page_id", "host", "fetched_at", F.col("hit").isNotNull().alias("blocked"), F.col("hit.key").alias("rule"), F.col("hit.valid_from").alias("valid_from"))
 
 

@@ -79,3 +79,39 @@ def test_a_small_source_among_many_shards_meets_its_target(spark):
         target[r.source_size] = r.target
     assert target[1600] == 3200 and len({r.shard for r in got}) > 100
     assert all(abs(taken[s] - target[s]) <= 32 for s in target)
+
+
+def test_dimensions_see_past_what_all_values_begin_with(spark):
+    data = [(i, "w", f"https://www.site{i % 8}.org", "en", "", "", 0) for i in range(400)]
+    got = sharding.shard(spark.createDataFrame(data, DOCS)).collect()
+    cells = {data[r.doc_id][2]: r.h for r in got}
+    assert len(set(cells.values())) == 8
+    assert sharding.common_bytes("abc", "abd") == 2 and sharding.common_bytes(None, "x") == sharding.common_bytes(None, None) == 0
+
+
+def test_written_shards_hold_the_rows_that_shard_puts_there(spark, tmp_path):
+    texts = ["same", "other " * 9, None, "é"]
+    data = [(None if i % 3 == 0 else i % 5, texts[i % 4], "s" + str(i % 2), None, str(i), "k", i) for i in range(240)]
+    docs = spark.createDataFrame(data, DOCS)
+    path = f"file://{tmp_path}/shards"
+    sharding.write_shards(docs, path)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, (tuple(r)[:7] for r in back.select(*docs.columns).collect()))) == sorted(map(str, data))
+    want = Counter((r.shard, r.doc_id, r.text_crc32) for r in sharding.shard(docs).collect())
+    assert Counter((r._shard, r.doc_id, zlib.crc32((r.text or "").encode())) for r in back.collect()) == want
+
+
+def test_mixed_with_nulls_no_rows_and_clashing_columns(spark):
+    kind = "doc_id long, text string, source string, size string, key string, shard int, draw string, at int, take int, row string, n_chars long"
+    data = [(None, "a b c d e f", None, "x", "y", 1, "z", 2, 3, "r", 11), (4, None, "s", None, None, None, None, None, None, None, None), (5, "", None, "", "", 0, "", 0, 0, "", 0), (6, "w " * 50_000, "s", "", "", 0, "", 0, 0, "", 100_000), (6, "w " * 40, "s", "", "", 0, "", 0, 0, "", 80)]
+    docs = spark.createDataFrame(data, kind)
+    got = mixing.mixed(docs).collect()
+    assert got and set(got[0].asDict()) == set(docs.columns) and all(r.text for r in got)
+    took = Counter()
+    for r in got:
+        took[r.source] += len(r.text.split())
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.source_size, r.target] = want.get((r.source_size, r.target), 0) + r.taken
+    assert sorted(took.values()) == sorted(v for v in want.values() if v)
+    assert mixing.mixed(docs.limit(0)).count() == 0
