@@ -210,8 +210,8 @@ def _copy_marks(p: CopyParams):
                 parts = list(shingle_hashes(bytes(view[a:b]), p.size))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 fp = majority(parts)
-                rows.append((xxhash.xxh3_128_hexdigest(own.astype("<u8").tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(own), band_keys(own, p)))
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                rows.append((xxhash.xxh3_128_digest(own.astype("<u8").tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(own), band_keys(own, p)))
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "class", "fp", "n", "bands"])
 
@@ -241,7 +241,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: CopyParams)
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     named = nodes.join(wanted, "class", "left_semi").select("class", F.col("key").alias("_key"))
     found = texts.join(named, texts["key"] == named["_key"]).dropDuplicates(["class"]).select("class", "text")
-    sets = stage(map_texts(found, _copy_sets(p), "class string, shingles array<long>"), "simhash-sets")
+    sets = stage(map_texts(found, _copy_sets(p), "class binary, shingles array<long>"), "simhash-sets")
     fan = pairs.groupBy("a").agg(F.floor(F.count("*") / _PARTNERS).cast("int").alias("most"))
     one = sets.join(fan, sets["class"] == fan["a"]).select("a", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("most"))).alias("salt"))
     two = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int"))
@@ -254,9 +254,19 @@ def _sizes_allow(n: str, m: str, p: CopyParams) -> Column:
     return F.least(n, m) >= p.similarity * F.greatest(n, m)
 
 
+def _shared_buckets(nodes: DataFrame) -> DataFrame:
+    """class, n, bucket, c (classes in the bucket) of the buckets with two classes or more; one shuffle serves both sides."""
+    buckets = nodes.select("class", "n", F.explode("bands").alias("bucket")).repartition("bucket")
+    return stage(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket"), "simhash-shared")
+
+
 def _first_pairs(nodes: DataFrame, buckets: DataFrame, p: CopyParams) -> DataFrame:
-    """Each class with the smallest one in each of its buckets, and with sorted neighbours: no group becomes its pairs."""
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("hub"), F.max("class").alias("last")).where("last <> hub.class")
+    """Each class with the hub of each of its buckets, and with sorted neighbours: no group becomes its pairs. The hub is
+    the class that meets most others: copies with changes of their own are nearer to what they are copies of than to each
+    other."""
+    degree = buckets.groupBy("class").agg(F.sum("c").alias("degree"))
+    met = buckets.join(degree, "class").select("class", "n", "bucket", "degree")
+    hubs = met.groupBy("bucket").agg(F.max(F.struct("degree", "class", "n")).alias("hub"))
     stars = buckets.join(hubs, "bucket").where("class <> hub.class").where(_sizes_allow("n", "hub.n", p)).select(F.col("hub.class").alias("a"), F.col("class").alias("b"))
     first = nodes.groupBy("fp").agg(F.min("class").alias("class"))
     same = nodes.join(first.withColumnRenamed("class", "a"), "fp").where("class <> a").select("a", F.col("class").alias("b"))
@@ -288,11 +298,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")).alias("digest"))
     key = lambda r: F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), r["id"].cast("string")), F.lit("n")), r["digest"])
     texts = docs.select(row.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stage(map_texts(texts, _copy_marks(p), f"doc_id {dict(texts.dtypes)['doc_id']}, class string, fp long, n int, bands array<long>"), "simhash-marks")
+    marked = stage(map_texts(texts, _copy_marks(p), f"doc_id {dict(texts.dtypes)['doc_id']}, class binary, fp long, n int, bands array<long>"), "simhash-marks")
     nodes = marked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "bands"), "doc_id").alias("m"))
     nodes = stage(nodes.select("class", "rep", "m.*").withColumn("key", key(F.col("rep"))), "simhash-classes")
     keyed = texts.select(key(F.col("doc_id")).alias("key"), "text")
-    buckets = nodes.select("class", "n", F.explode("bands").alias("bucket"))
+    buckets = _shared_buckets(nodes)
 
     first = stage(_alike(_first_pairs(nodes, buckets, p), nodes, keyed, p), "simhash-first")
     labels = connected(nodes.select(F.col("class").alias("node")), first, "simhash-groups")
