@@ -28,7 +28,7 @@ def chars(spark: SparkSession, d: str) -> DataFrame:
 def words(spark: SparkSession, d: str) -> DataFrame:
     """The words of a conversation, one after another, with a pause after each by its length."""
     split = F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("k", "text")
-    rows = s.talk(spark, d).select("project", (F.col("seq") * 1000).alias("base"), split).withColumn("seq", F.col("base") + F.col("k")).withColumn("len", F.expr("200 + length(text) * 90 % 1100"))
+    rows = s.talk(spark, d).select("project", (F.col("seq").cast("long") * 10_000_000).alias("base"), split).withColumn("seq", F.col("base") + F.col("k")).withColumn("len", F.expr("200 + length(text) * 90 % 1100"))
     rows = tl.offsets(rows, "len", "start_ms")
     return rows.withColumn("end_ms", F.expr("start_ms + 200"))
 
@@ -62,8 +62,8 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
 def _stitched(spark: SparkSession, d: str) -> DataFrame:
     rows = s.timed(spark, d).select("project", "seq", "start_ms", "end_ms", F.col("speaker").alias("text"))
     chunk = F.explode(F.array_distinct(F.array(F.expr("start_ms div 20000"), F.expr("greatest(0, start_ms - 3000) div 20000")))).alias("chunk")
-    rows = rows.select("*", chunk).withColumn("window_end", F.expr("chunk * 20000 + 3000")).withColumn("order", F.expr("chunk * 1000000 + seq"))
-    return folds.fold(rows, folds.stitch(), "seq long, start_ms long, end_ms long, text string", order=("order",))
+    rows = rows.select("*", chunk).withColumn("window_end", F.expr("chunk * 20000 + 3000"))
+    return folds.fold(rows, folds.stitch(), "seq long, start_ms long, end_ms long, text string", order=("chunk", "seq"))
 
 
 def _broken_json(spark: SparkSession, d: str) -> DataFrame:
