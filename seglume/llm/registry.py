@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import audio, decontaminate, licenses, merkle, mixing, quality, secrets, sharding, simhash, tokenfile, urls
+from seglume.llm import audio, decontaminate, licenses, merkle, mixing, quality, secrets, sharding, simhash, spelling, tokenfile, urls
 from seglume.session import table
 
 
@@ -60,6 +60,10 @@ def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
     return merkle.manifest(table(spark, d, "documents"))
 
 
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,8 +73,8 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline  # noqa: F401  absent together with this folder
 
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, op10_audio_fingerprints, op11_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, op10_audio_fingerprints, op11_merkle, op12_spelling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.mix_sql(), "op9_url_filter": urls.judge_sql(), "op11_merkle": merkle.manifest_sql()}
+    return {"op4_source_mix": mixing.mix_sql(), "op9_url_filter": urls.judge_sql(), "op11_merkle": merkle.manifest_sql(), "op12_spelling": spelling.variants_sql()}
