@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seglume.llm import audio, decontaminate, licenses, merkle, mixing, quality, secrets, sharding, simhash, spelling, tokenfile, urls
+from seglume.llm import audio, decontaminate, licenses, merkle, mixing, quality, repeats, secrets, sharding, simhash, spelling, tokenfile, urls
 from seglume.session import table
 
 
@@ -64,6 +64,10 @@ def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
     return spelling.variants(table(spark, d, "documents"))
 
 
+def op13_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.dedup(table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline  # noqa: F401  absent together with this folder
 
-    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, op10_audio_fingerprints, op11_merkle, op12_spelling, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_decontamination, op4_source_mix, op5_tokens, op6_hilbert_shards, op7_secrets, op8_quality, op9_url_filter, op10_audio_fingerprints, op11_merkle, op12_spelling, op13_repeats, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -128,6 +128,17 @@ def hashes(raw: np.ndarray, w: Words, folded: np.ndarray) -> np.ndarray:
     return mix64((sums[w.ends] - sums[w.starts]) * down[w.starts])
 
 
+def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """``hashes`` of the ``size`` bytes at each place."""
+    n = len(raw)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    up, down = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return mix64((sums[size:] - sums[:-size]) * down[: n - size + 1])
+
+
 def hash_words(words_: list[str]) -> np.ndarray:
     """``hashes`` of given words, already in the wanted case."""
     col = pa.array(words_, pa.string())
