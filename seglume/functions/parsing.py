@@ -152,14 +152,49 @@ def arabic_numerals(text: str | None) -> str:
 
 # ---- splitting
 
-#: Abbreviations whose dot ends no sentence, and the spelled one with spaces.
-ABBREVIATIONS = "tp mr mrs ms dr gs pgs ts ths ks bs".split()
-AND_SO_ON = r"v\s*\.\s*v\s*\."
-
-_LETTER = "[A-Za-zÀ-ỹ]"
-#: What holds dots without ending a sentence; stands before the marks in the scanner, so these dots are never marks.
-_WHOLE = rf"(?i:\b{AND_SO_ON})|(?:\b{_LETTER}\.){{2,}}|(?<=\d)\.(?=\d)|(?i:\b(?:{'|'.join(ABBREVIATIONS)}))\.(?=\s?(?:{_LETTER}|[0-9]))"
-_SCAN = re.compile(rf"(?P<whole>{_WHOLE})|(?P<end>[.!?\n]+|…+)|(?P<mid>[;,:—–]+)")
+#: Abbreviations whose dot ends no sentence; the letter of one that may be spelled with spaces.
+ABBREVIATIONS = set("tp mr mrs ms dr gs pgs ts ths ks bs".split())
+SPACED_LETTER = "v"
+
+_SCAN = re.compile(r"(?P<end>[.!?\n]+|…+)|(?P<mid>[;,:—–]+)")
+
+
+def _initial(text: str, dot: int) -> tuple[int, str]:
+    """(where it stands, letter) of the single letter that a dot belongs to; (dot, "") without one."""
+    at = dot - 1
+    while at >= 0 and text[at].isspace():
+        at -= 1
+    alone = at >= 0 and text[at].isalpha() and not (at and text[at - 1].isalnum())
+    if not alone or (at < dot - 1 and text[at].lower() != SPACED_LETTER):
+        return dot, ""
+    return at, text[at].lower()
+
+
+def _chained(text: str, dot: int) -> bool:
+    """Whether a dot and the one after it are those of two initials; only the spelled abbreviation has spaces in it."""
+    _, letter = _initial(text, dot)
+    other = text.find(".", dot + 1, dot + 12)
+    if not letter or other < 0:
+        return False
+    at, follower = _initial(text, other)
+    gap = text[dot + 1 : at]
+    return bool(follower) and (not gap or (gap.isspace() and letter == follower == SPACED_LETTER))
+
+
+def within_word(text: str, dot: int) -> bool:
+    """Whether a dot ends no sentence, by what stands beside it: digits on both sides, another initial before or after its
+    own, an abbreviation before it and a word after it."""
+    before, after = text[dot - 1 : dot] if dot else "", text[dot + 1 : dot + 2]
+    if before.isdigit() and after.isdigit():
+        return True
+    earlier = text.rfind(".", 0, dot)
+    if _chained(text, dot) or (earlier >= 0 and _chained(text, earlier) and _initial(text, dot)[1]):
+        return True
+    begin = dot
+    while begin and text[begin - 1].isalpha():
+        begin -= 1
+    word_after = text[dot + 2 : dot + 3] if after.isspace() else after
+    return text[begin:dot].lower() in ABBREVIATIONS and word_after.isalnum()
 
 
 def _packed(parts: Iterable[str], joins: Callable[[list[str], str], bool]) -> list[str]:
@@ -179,7 +214,7 @@ def _sentences(text: str) -> Iterator[tuple[str, list[str]]]:
     spaced = lambda a, b: f"{a.strip()} {b.strip()}".strip()
     opened, begin, at, clauses, goes_on = "", 0, 0, [], False
     for m in (*_SCAN.finditer(text), None):
-        if m and m.lastgroup == "whole":
+        if m and m[0] == "." and within_word(text, m.start()):
             continue
         stop, mark = (m.start(), m[0].strip()) if m else (len(text), "")
         if opened.endswith(mark) and not text[begin:stop].strip():
@@ -251,7 +286,7 @@ def text_chunks(text: str) -> list[tuple[str, int]]:
     return [(piece, level) for piece, level in pieces if piece]
 
 
-#: The cost of dealing chunks to segments: a weight of the squared relative error in words, and what it costs to let a
+#: The cost of dealing chunks to segments: a weight of the squared relative error in words, and what it costs to let a
 #: segment go on over the end of a chunk, by the level of its mark.
 ERROR_WEIGHT = 10.0
 OVER_MARK = {SENTENCE: 1000.0, MIDDLE: 2.0, NO_MARK: 20.0}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -130,49 +129,33 @@ def similarity_bound(a: str, b: str) -> float:
 
 #: Common characters that alone say nothing.
 STOP_CHARACTERS = set("的了是我你他她它们在不有就也都这那啊吗呢吧")
-#: Lengths of source and text at which a short match is tried, and how much better the source after it
-#: must fit to win.
-SHORT_SOURCE, SHORT_TEXT, SOURCE_OF_SHORT_TEXT, CLEARLY = 5, 4, 7, 0.2
-
-
-@dataclass(frozen=True)
-class Shared:
-    """What a text has in common with a source, and with the source after it."""
-
-    row: int
-    order: int
-    later: int
-    telling: bool
-    edge: bool
-    longest: int
-
-    @classmethod
-    def of(cls, text: str, source: str, following: str | None) -> Shared:
-        common = set(text) & set(source)
-        later = subsequence(text, following) if following else 0
-        edge = text[0] == source[0] or text[-1] == source[-1]
-        return cls(stretch(text, source), subsequence(text, source), later, bool(common - STOP_CHARACTERS), edge, max(len(text), len(source)))
-
-
-#: Any of these lets a short text stand for its source.
-SIGNS = (
-    lambda s: s.row >= 2,
-    lambda s: s.order >= 2 and (s.telling or s.longest <= 3),
-    lambda s: s.order == 1 and s.longest <= 3 and s.later <= 1 and (s.telling or s.edge),
-)
+#: Lengths of source and text at which a short match is tried.
+SHORT_SOURCE, SHORT_TEXT, SOURCE_OF_SHORT_TEXT = 5, 4, 7
+#: What two short texts must show, by the longer one's length: (up to this length, bar).
+BARS = ((3, 1.5), (float("inf"), 2.5))
+#: How much more the source after it must show to take a text away.
+RIVAL = 1.5
+
+
+def evidence(text: str, source: str) -> float:
+    """What speaks for a text being its source: a point for each character in order, one more for each that follows its
+    neighbour directly, half a point for a character that means something (of tiny texts also for equal ends)."""
+    points = subsequence(text, source) + max(0, stretch(text, source) - 1)
+    if not points:
+        return 0.0
+    telling = not STOP_CHARACTERS.issuperset(set(text) & set(source))
+    ends = max(len(text), len(source)) <= BARS[0][0] and (text[0] == source[0] or text[-1] == source[-1])
+    return points + 0.5 * (telling or ends)
 
 
 def short_match(text: str, source: str, following: str | None = None, short: int = SHORT_SOURCE) -> bool:
-    """Whether a short text may stand for the source that is its turn: by two characters in a row or in order, or by one
-    that means something; not if the source after it fits clearly better."""
-    tried = text and source and (len(source) <= short or (len(text) <= SHORT_TEXT and len(source) <= SOURCE_OF_SHORT_TEXT))
-    if not tried:
-        return False
-    shared = Shared.of(text, source, following)
-    if not any(sign(shared) for sign in SIGNS):
+    """Whether a short text may stand for the source that is its turn: enough ``evidence`` for their length, and not much
+    more for the source after it."""
+    if not text or not source or not (len(source) <= short or (len(text) <= SHORT_TEXT and len(source) <= SOURCE_OF_SHORT_TEXT)):
         return False
-    rival = shared.later >= 2 and shared.later > shared.order
-    return not (rival and piece_similarity(text, following) - piece_similarity(text, source) > CLEARLY)
+    own, longest = evidence(text, source), max(len(text), len(source))
+    bar = next(bar for most, bar in BARS if longest <= most)
+    return own >= bar and evidence(text, following or "") < own + RIVAL
 
 
 def partial_ratio(a: str, b: str) -> float:

@@ -117,11 +117,16 @@ def role(text: str | Column) -> Column:
     return F.when(F.lower(t).isin(*NARRATOR) | (t == ""), F.lit("NARRATOR")).when(t.rlike(r"^[A-Za-z]$"), F.concat(F.lit("Vai "), F.upper(t))).otherwise(t)
 
 
+#: Marks after which a clause ends.
+CLAUSE_ENDS = ",;:.!?…—–"
+
+
 def clauses(text: str | Column) -> Column:
-    """Clauses with their marks, in order."""
-    found = F.transform(F.regexp_extract_all(_col(text), F.lit(r"([^,;:.!?…—–]+(?:[,;:.!?…—–]+|$))"), 1), lambda x: F.trim(x))
-    found = F.filter(found, lambda x: x != "")
-    return F.when(F.size(found) > 0, found).when(F.trim(_col(text)) == "", F.array().cast("array<string>")).otherwise(F.array(F.trim(_col(text))))
+    """Clauses with their marks, in order: a cut after each run of marks; marks before any word go, unless they are all
+    there is."""
+    marks = f"[{CLAUSE_ENDS}]"
+    bare = F.regexp_replace(_col(text), rf"^{marks}+(?=[^{CLAUSE_ENDS}])", "")
+    return F.filter(F.transform(F.split(bare, rf"(?<={marks})(?!{marks})"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def drop_boilerplate(text: str | Column, patterns: tuple[str, ...]) -> Column:
@@ -201,7 +206,7 @@ def safe_title(text: str | Column) -> Column:
     return F.trim(replace_all(text, (r"(?U)[^\w \-]", "")))
 
 
-#: A video's key in an address.
+#: A video's hosts and page; the patterns of its keys and parts in ``video_url`` are fixed, too.
 VIDEO_HOSTS = r"(?i)bilibili\.com|b23\.tv"
 VIDEO_PAGE = "https://www.bilibili.com/video/"
 

@@ -73,3 +73,17 @@ def test_items_take_their_sources():
     texts = [f"đây là câu số {i} của một truyện dài và câu này nói về {w}" for i, w in enumerate("mưa nắng gió biển núi rừng sông hồ".split())]
     items = [(i, texts[2 * i] + texts[2 * i + 1]) for i in range(4)]
     assert [r.src for r in align.align_batch(items, list(enumerate(texts)))] == [[0, 1], [2, 3], [4, 5], [6, 7]]
+
+
+def test_dots_within_words():
+    split = parsing.split_sentences
+    assert split("U.S.A. is big. Yes") == ["U.S.A. is big .", "Yes"]
+    assert split("Gặp v. v. rồi. Xong!") == ["Gặp v. v. rồi .", "Xong !"] and split("Việc v . v . khác. x") == ["Việc v . v . khác .", "x"]
+    assert split("A. Nguyễn đi. B") == ["A .", "Nguyễn đi .", "B"] and split("3.14. Next. e.g. this") == ["3.14 .", "Next .", "e.g. this"]
+    assert split("Gặp Dr. Xong") == ["Gặp Dr. Xong"] and split("Gặp Dr.") == ["Gặp Dr ."]
+
+
+def test_evidence_of_short_texts():
+    assert similarity.evidence("ab", "ab") > similarity.evidence("ab", "axb") > similarity.evidence("ab", "xxa") > similarity.evidence("ab", "xy") == 0
+    assert similarity.short_match("走了吧", "走了没") and not similarity.short_match("的吗", "的啊吧x") and not similarity.short_match("", "a")
+    assert not similarity.short_match("abcdefgh", "abcdefgh")  # not short
