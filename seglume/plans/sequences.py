@@ -46,12 +46,36 @@ def script(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def readings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Timed segments with a made-up line each, and three readings of shifted blocks, some of them misread."""
-    rows = s.timed(spark, d).withColumn("text", F.concat("speaker", F.lit("x"), (F.col("seg_id") % 50).cast("string"), F.lit("yz")))
-    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
-    blocks = rows.where("seg_id % 5 <> 0").select("project", F.col("seg_id").alias("block_id"), (F.col("start_ms") + 20).alias("block_start"), (F.col("end_ms") + 20).alias("block_end"), "text", "seg_id", k)
-    read = F.when((F.col("seg_id") + F.col("k")) % 4 == 0, F.translate("text", "xy", "vw")).otherwise(F.col("text"))
-    return rows.select("project", "seq", "start_ms", "end_ms", "text"), blocks.withColumn("reading", read).drop("text", "seg_id")
+    """Timed segments with a made-up line each, and three readings of a block over every two of them, some misread; every
+    fifth block is missing, and some of its lines are misheard."""
+    rows = s.timed(spark, d).withColumn("said", F.concat("speaker", F.lit("x"), (F.col("seg_id") % 50).cast("string"), F.lit("yz"))).withColumn("block_id", F.expr("(seq + 1) div 2"))
+    lost = (F.col("block_id") + F.col("project")) % 5 == 0
+    shown = rows.where(~lost).groupBy("project", "block_id").agg(F.min("start_ms").alias("block_start"), F.max("end_ms").alias("block_end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "said"))), lambda x: x["said"]), "").alias("shown"))
+    blocks = shown.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    read = F.when((F.col("block_id") + F.col("k")) % 4 == 0, F.translate("shown", "xy", "vw")).otherwise(F.col("shown"))
+    heard = F.when(lost & (F.col("seg_id") % 2 == 0), F.translate("said", "y", "q")).when(F.col("seg_id") % 7 == 0, F.regexp_replace("said", "(.{4}).", "$1")).otherwise(F.col("said"))
+    return rows.select("project", "seq", "start_ms", "end_ms", heard.alias("text")), blocks.select("project", "block_id", "block_start", "block_end", read.alias("reading"))
+
+
+def sounds(spark: SparkSession) -> DataFrame:
+    """Characters that sound alike."""
+    return spark.createDataFrame([("y", "i"), ("q", "i"), ("x", "s"), ("v", "s")], "char string, sound string")
+
+
+def _refined(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.refine(*readings(spark, d), sounds(spark))
+
+
+def _two_readings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns that were heard with characters lost and seen with characters misread; counts over what was said."""
+    rows = s.talk(spark, d)
+    seen = F.when(F.col("seq") % 3 == 0, F.translate("text", "ae", "eo")).otherwise(F.regexp_replace("text", "(.{6}).", "$1e"))
+    pairs = rows.select("project", "seq", F.regexp_replace("text", "(.{8}).", "$1").alias("heard"), seen.alias("seen")).withColumn("witnesses", F.array("seen"))
+    return pairs, fusion.ngrams(rows, "text", (2,))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.choose_spans(*_two_readings(spark, d), ["project", "seq"])
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
@@ -197,9 +221,21 @@ QUERIES = {
         None,
     ),
     "f5_blocks_of_frames": (
-        lambda spark, d: fusion.blocks_of_frames(s.timed(spark, d).select("project", F.col("start_ms").alias("at_ms"), F.col("speaker").alias("text")).dropDuplicates(["project", "at_ms"]), 600).groupBy("project").agg(F.sum("frames").alias("frames")),
-        f"{_T} SELECT project, count(DISTINCT start_ms) AS frames FROM timed GROUP BY 1",
-    ),
-    "f5_refine": (lambda spark, d: fusion.refine(*readings(spark, d)).select("project", "seq", "seen", "kind", "fused"), None),
-    "f5_breaker": (lambda spark, d: fusion.breaker(fusion.refine(*readings(spark, d))), None),
+        lambda spark, d: fusion.blocks_of_frames(s.timed(spark, d).groupBy("project", F.col("start_ms").alias("at_ms")).agg(F.min("speaker").alias("text")), 600),
+        f"""{_T}, f AS (SELECT project, start_ms AS at_ms, min(speaker) AS text FROM timed GROUP BY 1, 2),
+        n AS (SELECT *, CASE WHEN lag(at_ms) OVER w IS NULL OR lag(text) OVER w <> text OR at_ms - lag(at_ms) OVER w > 600 THEN 1 ELSE 0 END AS fresh FROM f WINDOW w AS (PARTITION BY project ORDER BY at_ms)),
+        b AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY project ORDER BY at_ms) AS BIGINT) AS block FROM n)
+        SELECT project, block, min(at_ms) AS block_start, max(at_ms) AS block_end, min(text) AS text, count(*) AS frames FROM b GROUP BY 1, 2""",
+    ),
+    "a10_preempted": (
+        lambda spark, d: fusion.vote(s.timed(spark, d).withColumn("batch", F.expr("(seq - 1) div 5")).withColumn("heard", F.when(F.col("batch") % 2 == 0, F.lit("a click, then")).otherwise("none")), ["project", "batch"], "speaker", "seq", heard="heard").select("project", "batch", "speaker", "votes", "readings"),
+        f"""{_T}, n AS (SELECT project, (seq - 1) // 5 AS batch, speaker, count(*) AS votes, min(seq) AS first FROM timed GROUP BY 1, 2, 3),
+        k AS (SELECT *, CAST(sum(votes) OVER (PARTITION BY project, batch) AS BIGINT) AS readings, batch % 2 = 0 AND contains('a click, then', speaker) AS inside FROM n)
+        SELECT project, batch, speaker, votes, readings FROM (SELECT *, row_number() OVER (PARTITION BY project, batch ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE -votes END, first) AS place FROM k) WHERE place = 1""",
+    ),
+    "t27_spans": (_spans, None),
+    "t27_fused": (lambda spark, d: fusion.fuse_spans(_spans(spark, d), ["project", "seq"]), None),
+    "f5_groups": (lambda spark, d: _refined(spark, d).where("last_seq > unit").select("project", "unit", "last_seq", "heard", "seen"), None),
+    "f5_refine": (_refined, None),
+    "f5_breaker": (lambda spark, d: fusion.breaker(_refined(spark, d)), None),
 }

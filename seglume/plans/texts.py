@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seglume.functions import text as t
+from seglume.operators import fusion
 from seglume.plans import surrogate as s
 from seglume.session import table
 
@@ -138,7 +139,7 @@ QUERIES = {
         f"WITH {s.TALK_SQL}, f AS (SELECT project, speaker, min(seq) AS at FROM talk GROUP BY 1, 2) SELECT project, string_agg(speaker, ',' ORDER BY at) AS speakers FROM f GROUP BY 1".replace("AS at", "AS first").replace("ORDER BY at", "ORDER BY first"),
     ),
     "a9_character_ngrams": (
-        lambda spark, d: table(spark, d, "benchmark").select(F.explode(F.array(F.lit(2), F.lit(3))).alias("n"), F.replace("text", F.lit(" "), F.lit("")).alias("x")).where("length(x) >= n").select("n", F.explode(F.sequence(F.lit(1), F.expr("length(x) - n + 1"))).alias("i"), "x").groupBy("n", F.expr("substring(x, i, n)").alias("gram")).agg(F.count("*").alias("count")),
+        lambda spark, d: fusion.ngrams(table(spark, d, "benchmark").select(F.replace("text", F.lit(" "), F.lit("")).alias("x")), "x").select(F.length("gram").alias("n"), "gram", F.col("n").alias("count")),
         "WITH a AS (SELECT n, replace(text, ' ', '') AS x FROM benchmark, (VALUES (2), (3)) v(n)) SELECT n, substring(x, CAST(i AS INT), n) AS gram, count(*) AS count FROM (SELECT n, x, unnest(range(1, length(x) - n + 2)) AS i FROM a) GROUP BY 1, 2",
     ),
     "tl16_karaoke": (
