@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seglume.functions import parsing, similarity
 from seglume.operators import align as al
-from seglume.operators import folds, fusion
+from seglume.operators import dictionary, folds, fusion
 from seglume.operators import lineage as ln
 from seglume.operators import timeline as tl
 from seglume.plans import lineages, surrogate as s
@@ -106,11 +106,14 @@ def _demerge(text: pd.Series, durations: pd.Series) -> pd.Series:
     return pd.Series([parsing.demerge(x or "", list(d)) for x, d in zip(text, durations)], dtype=object)
 
 
-def _matches(text: str) -> list[dict]:
-    return [{"start": a, "end": b, "text": x, "value": v} for a, b, x, v in WORDS.find(text)]
+#: Phrases with their categories, and one that is none of them.
+PHRASES = {"the": ["article"], "what": ["question"], "what is": ["question", "phrase"], "in": ["place"]}
+SAFE = ["what is the"]
 
 
-WORDS = parsing.Matcher.of({"the": "article", "what": "question", "what is": "question phrase", "in": "place"})
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    rows = dictionary.matches(table(spark, d, "benchmark"), "text", PHRASES, SAFE)
+    return rows.select("item_id", F.explode("matches").alias("m")).select("item_id", "m.start", "m.end", "m.text", F.array_join("m.categories", ",").alias("categories"))
 
 
 SCRIPT = "struct<n:int,role:string,src:array<long>,text:string>"
@@ -182,9 +185,11 @@ QUERIES = {
         lambda spark, d: table(spark, d, "part").select("p_partkey", parsing.texts(lambda x: parsing.replace_once(x, [("STEEL", "COPPER"), ("COPPER", "STEEL"), ("ECONOMY", "CHEAP")]))("p_type").alias("out")),
         "SELECT p_partkey, replace(replace(replace(replace(p_type, 'STEEL', chr(1)), 'COPPER', 'STEEL'), chr(1), 'COPPER'), 'ECONOMY', 'CHEAP') AS out FROM part",
     ),
-    "t20_longest_matches": (
-        lambda spark, d: table(spark, d, "benchmark").select("item_id", F.explode(parsing.arrays(_matches, "struct<start:int,end:int,text:string,value:string>")("text")).alias("m")).select("item_id", "m.*"),
-        None,
+    "t20_longest_matches": (_matched, None),
+    "t20_match_counts": (
+        lambda spark, d: _matched(spark, d).groupBy("item_id", F.lower("text").alias("phrase"), "categories").agg(F.count("*").alias("n")),
+        r"""WITH m AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '\b(what is the|what is|what|the|in)\b'), lambda x: x <> 'what is the')) AS phrase FROM benchmark)
+        SELECT item_id, phrase, CASE phrase WHEN 'the' THEN 'article' WHEN 'what' THEN 'question' WHEN 'in' THEN 'place' ELSE 'phrase,question' END AS categories, count(*) AS n FROM m GROUP BY 1, 2, 3""",
     ),
     "t29_repaired_json": (
         lambda spark, d: _cut_json(spark, d).select("project", "n", F.size(parsing.arrays(parsing.parse_script, SCRIPT)("raw")).alias("rows")).select("project", (F.col("rows") >= F.col("n") - 1).alias("kept")),
