@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seglume.plans import surrogate as s
 from seglume.plans.relations import SEGS_SQL, segs
-from seglume.sources import files
+from seglume.sources import files, project_files
+from seglume.storage import shared_file
 from seglume.streaming import events as ev
 from seglume.session import table
 
@@ -46,6 +47,46 @@ def _srt(spark: SparkSession, d: str) -> DataFrame:
 
 _T = f"WITH {s.TIMED_SQL}"
 
+
+def _tenths(x: str) -> str:
+    """Milliseconds as hundredths of a second keep them."""
+    return f"({x}) // 1000 * 1000 + least(99, (({x}) % 1000 + 5) // 10) * 10"
+
+
+def _centi(x: str) -> str:
+    return f"printf('%d:%02d:%02d.%02d', ({x}) // 3600000, ({x}) // 60000 % 60, ({x}) // 1000 % 60, least(99, (({x}) % 1000 + 5) // 10))"
+
+
+def _seconds(x: str) -> str:
+    return f"printf('%d.%02d', ({x} + 5) // 1000, ({x} + 5) // 10 % 100)"
+
+
+def _captions(spark: SparkSession, d: str) -> DataFrame:
+    """Translated lines with numbers and stray characters before and in them; every fifth has none."""
+    text = F.when(F.col("seq") % 5 != 0, F.concat(F.lit("[3] "), "speaker", F.lit("水 one. 火 two")))
+    return s.timed(spark, d).withColumn("translated_text", text)
+
+
+def _karaoke_back(spark: SparkSession, d: str) -> DataFrame:
+    """Written as subtitle files and read again, in a folder of this call."""
+    path = shared_file(spark, "karaoke")
+    files.write_karaoke(_captions(spark, d), path, tags=False)
+    return project_files.read(spark, path, "ass").select("project", "seq", "start_ms", "end_ms", "text")
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    length = F.expr("end_ms - start_ms")
+    cut = F.expr("seg_id % 3 * 40")
+    return s.timed(spark, d).select(
+        "project", "seq", "start_ms", "end_ms", length.alias("target_ms"), (length * 2).alias("raw_ms"), (length * 2 - cut).alias("trimmed_ms"), length.alias("voice_ms"), (F.col("seg_id") % 60 + 100).alias("speed_pct"), cut.alias("cut_head_ms"), F.lit(0).alias("cut_tail_ms")
+    )
+
+
+def _audit_back(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_file(spark, "audit")
+    files.write_audit(_audited(spark, d), path)
+    return project_files.read(spark, path, "lines", "json").groupBy("project").agg(F.count("*").alias("lines"))
+
 QUERIES = {
     "src1_stage_scan": (
         lambda spark, d: segs(spark, d).where("stage = 'RAW_ASR'").orderBy("project", "seq").select("project", "seq", "status"),
@@ -94,10 +135,27 @@ QUERIES = {
         f"{_T} SELECT project, seq, '[' || speaker || '] (' || printf('%d.%02d', (start_ms + 5) // 1000, (start_ms + 5) // 10 % 100) || ' - ' || printf('%d.%02d', (end_ms + 5) // 1000, (end_ms + 5) // 10 % 100) || '): ' || speaker AS line FROM timed",
     ),
     "snk5_json_rows": (
-        lambda spark, d: s.timed(spark, d).groupBy("project").agg(F.to_json(F.sort_array(F.collect_list(F.struct("seq", "speaker")))).alias("rows")).select("project", F.length("rows").cast("long").alias("length")),
-        f"{_T} SELECT project, CAST(sum(length(CAST(seq AS VARCHAR)) + length(speaker)) + count(*) * length('{{\"seq\":,\"speaker\":\"\"}},') + 1 AS BIGINT) AS length FROM timed GROUP BY 1",
-    ),
-    "snk6_ass_lines": (lambda spark, d: s.timed(spark, d).select("project", "seq", files.ass_text(text="speaker").alias("line"), files.mask_text().alias("mask")), None),
+        lambda spark, d: s.timed(spark, d).groupBy("project").agg(F.to_json(F.sort_array(F.collect_list(F.struct("seq", "speaker")))).alias("rows")),
+        f"{_T} SELECT project, CAST(to_json(list({{'seq': seq, 'speaker': speaker}} ORDER BY seq)) AS VARCHAR) AS rows FROM timed GROUP BY 1",
+    ),
+    "snk6_ass_lines": (
+        lambda spark, d: s.timed(spark, d).select("project", "seq", files.ass_text(text="speaker").alias("line"), files.mask_text("speaker").alias("mask")),
+        f"""{_T}, m AS (SELECT *, greatest(end_ms, start_ms + 200) AS mask_end, least(1920, length(speaker) * 96 + 72) AS wide FROM timed), b AS (SELECT *, (1920 - wide) // 2 AS x FROM m)
+        SELECT project, seq, 'Dialogue: 0,' || {_centi('start_ms')} || ',' || {_centi('end_ms')} || ',Main,' || speaker || ',0,0,0,,' || speaker AS line,
+          'Dialogue: 0,' || {_centi('start_ms')} || ',' || {_centi('mask_end')} || ',Main,,0,0,0,,{{\\p1}}m ' || x || ' 826 l ' || (x + wide) || ' 826 l ' || (x + wide) || ' 994 l ' || x || ' 994{{\\p0}}' AS mask FROM b""",
+    ),
+    "snk6_karaoke_lines": (
+        lambda spark, d: _captions(spark, d).select("project", "seq", files.karaoke_line(tags=False).alias("line")).where("line is not null"),
+        f"""{_T} SELECT project, seq, 'Dialogue: 0,' || {_centi('start_ms')} || ',' || {_centi('greatest(end_ms, start_ms + 300)')} || ',Main,,0,0,0,,' || speaker || ' one. two' AS line FROM timed WHERE seq % 5 <> 0""",
+    ),
+    "snk6_karaoke_read_back": (_karaoke_back, f"{_T} SELECT CAST(project AS VARCHAR) AS project, row_number() OVER (PARTITION BY project ORDER BY seq) AS seq, {_tenths('start_ms')} AS start_ms, {_tenths('greatest(end_ms, start_ms + 300)')} AS end_ms, speaker || ' one. two' AS text FROM timed WHERE seq % 5 <> 0"),
+    "snk9_audit_records": (
+        lambda spark, d: _audited(spark, d).select("project", "seq", files.audit_record().alias("record")),
+        f"""{_T} SELECT project, seq, '{{"tts_index": ' || seq || ', "start": ' || {_seconds('start_ms')} || ', "end": ' || {_seconds('end_ms')} || ', "target": ' || {_seconds('end_ms - start_ms')} || ', "raw": ' || {_seconds('(end_ms - start_ms) * 2')}
+          || ', "trimmed": ' || {_seconds('(end_ms - start_ms) * 2 - seg_id % 3 * 40')} || ', "voice": ' || {_seconds('end_ms - start_ms')} || ', "speed": ' || printf('%d.%02d', (100 + seg_id % 60) // 100, (100 + seg_id % 60) % 100)
+          || ', "trimmed_voice": ' || CASE WHEN seg_id % 3 > 0 THEN 'true' ELSE 'false' END || ', "cut_head_ms": ' || seg_id % 3 * 40 || ', "cut_tail_ms": 0}}' AS record FROM timed""",
+    ),
+    "snk9_audit_read_back": (_audit_back, f"{_T} SELECT CAST(project AS VARCHAR) AS project, count(*) + 2 AS lines FROM timed GROUP BY 1"),
     "snk7_finished_only": (
         lambda spark, d: files.finished_only(segs(spark, d), F.col("status") == "TRANSLATED").select("project", "seq"),
         f"WITH {SEGS_SQL} SELECT project, seq FROM segs WHERE status = 'TRANSLATED'",

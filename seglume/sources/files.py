@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from seglume.functions.text import clock, clock_centi, ms_of_clock
+from seglume.functions.text import clock, clock_centi, karaoke, ms_of_clock, replace_all, strip_han, strip_numbering
+from seglume.sources import project_files
 
 # ---- readers
 
@@ -118,10 +119,78 @@ def ass_text(start: str = "start_ms", end: str = "end_ms", speaker: str = "speak
     return F.format_string("Dialogue: 0,%s,%s,Main,%s,0,0,0,,%s", clock_centi(start), clock_centi(end), F.regexp_replace(F.coalesce(speaker, F.lit("")), ",", " "), body)
 
 
-def mask_text(start: str = "start_ms", end: str = "end_ms", box: tuple[int, int, int, int] = (0, 900, 1920, 1080)) -> Column:
-    """A filled box over the source's subtitles for as long as a line stands."""
-    x0, y0, x1, y1 = box
-    return F.format_string(f"Dialogue: 0,%s,%s,Main,,0,0,0,,{{\\p1}}m {x0} {y0} l {x1} {y0} l {x1} {y1} l {x0} {y1}{{\\p0}}", clock_centi(start), clock_centi(end))
+#: The height for which sizes of letters are given, and least sizes in pixels.
+REFERENCE_HEIGHT = 360
+LEAST_FONT, LEAST_MASK_FONT, LEAST_PADDING, LEAST_MARGIN = 16, 18, 12, 2
+
+
+def karaoke_style(width: int, height: int, font: int = 14, band_bottom_pct: float = 0.0, band_pct: float = 14.0) -> dict[str, int]:
+    """Size and margin of a caption whose middle lies in the middle of a band above the lower edge: width, height, size,
+    margin, for ``ASS_HEAD``."""
+    size = max(LEAST_FONT, round(font * max(1.0, height / REFERENCE_HEIGHT)))
+    middle = height * (band_bottom_pct + band_pct / 2) / 100
+    return {"width": width, "height": height, "size": size, "margin": max(LEAST_MARGIN, round(middle - size / 2))}
+
+
+#: How long a caption and a mask stand at least.
+LEAST_CAPTION_MS, LEAST_MASK_MS = 300, 200
+
+
+def caption(text: str | Column) -> Column:
+    """A translated line as a caption: no Han characters, numbering or doubled marks; null where no letter or digit is
+    left."""
+    bare = replace_all(strip_han(text), (r"\s+([,.!?;:])", "$1"), (r"\s{2,}", " "))
+    out = replace_all(strip_numbering(bare), (r"[,.]+,", ","), (r"[,.]+\.", "."))
+    return F.when(out.rlike(r"[\p{L}\p{N}]"), out)
+
+
+def karaoke_line(text: str = "translated_text", start: str = "start_ms", end: str = "end_ms", tags: bool = True) -> Column:
+    """An event with a time tag for each word (or the plain caption); null for rows without a caption."""
+    said = caption(text)
+    last = F.greatest(F.col(end), F.col(start) + LEAST_CAPTION_MS)
+    words = karaoke(said, F.floor((last - F.col(start)) / 10).cast("int")) if tags else said
+    return F.when(said.isNotNull(), F.format_string("Dialogue: 0,%s,%s,Main,,0,0,0,,%s", clock_centi(start), clock_centi(last), words))
+
+
+def mask_text(text: str = "text", start: str = "start_ms", end: str = "end_ms", width: int = 1920, height: int = 1080, font: int = 32, margin_pct: float = 8.0) -> Column:
+    """A filled box over the source's subtitle for as long as it stands, as wide as its characters and no wider than the
+    picture; null for rows without text (tags in braces are none)."""
+    scale = max(1.0, height / REFERENCE_HEIGHT)
+    size, pad, margin = max(LEAST_MASK_FONT, round(font * scale)), max(LEAST_PADDING, round(LEAST_PADDING * scale)), max(4, round(height * margin_pct / 100))
+    shown = F.trim(replace_all(text, (r"\{[^}]*\}", "")))
+    wide = F.least(F.lit(width), F.length(shown) * size + 2 * pad).cast("int")
+    left = F.floor((F.lit(width) - wide) / 2).cast("int")
+    top, bottom = height - margin - size - 2 * pad, height - margin
+    box = F.format_string(f"m %d {top} l %d {top} l %d {bottom} l %d {bottom}", left, left + wide, left + wide, left)
+    last = F.greatest(F.col(end), F.col(start) + LEAST_MASK_MS)
+    return F.when(shown != "", F.format_string("Dialogue: 0,%s,%s,Main,,0,0,0,,{\\p1}%s{\\p0}", clock_centi(start), clock_centi(last), box))
+
+
+#: Durations of an audit record, in milliseconds; seconds with two digits in the file.
+AUDIT_TIMES = ("start", "end", "target", "raw", "trimmed", "voice")
+
+
+def audit_record(index: str = "seq", cut_head: str = "cut_head_ms", cut_tail: str = "cut_tail_ms", speed_pct: str = "speed_pct") -> Column:
+    """What was done to a line's voice, as a JSON object: from columns <name>_ms of ``AUDIT_TIMES``."""
+    seconds = lambda c: F.format_string("%d.%02d", F.floor((F.col(c) + 5) / 1000).cast("long"), (F.floor((F.col(c) + 5) / 10) % 100).cast("long"))
+    times = [x for name in AUDIT_TIMES for x in (F.lit(f', "{name}": '), seconds(f"{name}_ms"))]
+    trimmed = F.when((F.col(cut_head) > 0) | (F.col(cut_tail) > 0), "true").otherwise("false")
+    speed = F.format_string("%d.%02d", F.floor(F.col(speed_pct) / 100).cast("long"), (F.col(speed_pct) % 100).cast("long"))
+    return F.concat(
+        F.lit('{"tts_index": '), F.col(index).cast("string"), *times, F.lit(', "speed": '), speed, F.lit(', "trimmed_voice": '), trimmed,
+        F.lit(', "cut_head_ms": '), F.col(cut_head).cast("string"), F.lit(', "cut_tail_ms": '), F.col(cut_tail).cast("string"), F.lit("}"),
+    )
+
+
+def write_audit(rows: DataFrame, path: str) -> None:
+    """``<project>.json``: a list of the records of each project in order."""
+    project_files.write(rows, audit_record(), path, "json", head="[", joint=",", tail="]")
+
+
+def write_karaoke(segs: DataFrame, path: str, width: int = 1920, height: int = 1080, tags: bool = True) -> None:
+    """``<project>.ass`` with a head and an event for each translated line, in order."""
+    rows = segs.withColumn("_line", karaoke_line(tags=tags)).where("_line is not null")
+    project_files.write(rows, F.col("_line"), path, "ass", head=ASS_HEAD.format(**karaoke_style(width, height)))
 
 
 def write_lines(segs: DataFrame, line: Column, path: str, head: str | None = None, key: str = "project", order: str = "seq") -> None:

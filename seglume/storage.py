@@ -23,8 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_file(spark: SparkSession, label: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark)}/seglume/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seglume/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = shared_file(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
