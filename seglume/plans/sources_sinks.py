@@ -45,6 +45,25 @@ def _srt(spark: SparkSession, d: str) -> DataFrame:
     return files.srt_blocks(whole)
 
 
+def _at_ms(spark: SparkSession, d: str) -> DataFrame:
+    return tasks(spark, d).select("task", F.unix_millis("at").alias("at_ms"), "event_id", "status")
+
+
+def _mail(spark: SparkSession, d: str) -> DataFrame:
+    """Events of nine topics for two subscribers each; every 97th event of a topic is a poll of its subscribers."""
+    rows = tasks(spark, d).select(F.col("project").alias("topic"), "at", "event_id", F.col("status").alias("payload"))
+    subscribers = rows.select("topic").distinct().select("topic", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("s")).select("topic", F.concat("s", F.col("topic").cast("string")).alias("subscriber"))
+    return ev.subscriptions(rows, subscribers).withColumn("poll", F.col("event_id") % F.when(F.col("subscriber").startswith("a"), 97).otherwise(31) == 0)
+
+
+def _mail_sql(order: str) -> str:
+    return f"""WITH {_TASKS}, m AS (SELECT s || project AS subscriber, at_ts, event_id, event_id % CASE s WHEN 'a' THEN 97 ELSE 31 END = 0 AS poll FROM tasks, (VALUES ('a'), ('b')) v(s)),
+    t AS (SELECT *, count(*) FILTER (poll) OVER (PARTITION BY subscriber ORDER BY at_ts, event_id) - CAST(poll AS INT) AS turn FROM m),
+    k AS (SELECT *, row_number() OVER (PARTITION BY subscriber, turn, poll ORDER BY at_ts {order}, event_id {order}) AS place FROM t)
+    SELECT subscriber, max(event_id) FILTER (poll) AS poll_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY at_ts, event_id) FILTER (NOT poll AND place <= 20), '') AS events, greatest(0, count(*) FILTER (NOT poll) - 20) AS dropped
+    FROM k GROUP BY subscriber, turn HAVING count(*) FILTER (poll) > 0"""
+
+
 _T = f"WITH {s.TIMED_SQL}"
 
 
@@ -191,6 +210,21 @@ QUERIES = {
         lambda spark, d: ev.paced(s.timed(spark, d)).select("project", "seq", "run_ms"),
         f"""WITH RECURSIVE {s.TIMED_SQL}, r AS (SELECT project, seq, start_ms AS run_ms FROM timed WHERE seq = 1 UNION ALL SELECT t.project, t.seq, greatest(t.start_ms, run_ms + 4100) FROM r JOIN timed t ON t.project = r.project AND t.seq = r.seq + 1) SELECT * FROM r""",
     ),
+    "st8_gate": (
+        lambda spark, d: ev.gate(_at_ms(spark, d), 2, 3_600_000).select("task", "event_id", "failures", "until_ms", "blocked"),
+        f"""WITH {_TASKS}, e AS (SELECT task, epoch_us(at_ts) // 1000 AS at_ms, event_id, status FROM tasks), i AS (SELECT *, count(*) FILTER (status = 'completed') OVER w AS island FROM e WINDOW w AS (PARTITION BY task ORDER BY at_ms, event_id)),
+        f AS (SELECT *, count(*) FILTER (status = 'failed') OVER (PARTITION BY task, island ORDER BY at_ms, event_id) AS failures FROM i),
+        u AS (SELECT *, coalesce(max(CASE WHEN status = 'failed' AND failures >= 2 THEN at_ms + 3600000 END) OVER (PARTITION BY task, island ORDER BY at_ms, event_id), 0) AS until_ms FROM f)
+        SELECT task, event_id, failures, until_ms, coalesce(at_ms < lag(until_ms) OVER (PARTITION BY task ORDER BY at_ms, event_id), false) AS blocked FROM u""",
+    ),
+    "st1_deliveries": (
+        lambda spark, d: ev.deliveries(_mail(spark, d), 20).select("subscriber", "poll_id", F.array_join("event_ids", ",").alias("events"), "dropped"),
+        _mail_sql("DESC"),
+    ),
+    "st1_deliveries_when_full": (
+        lambda spark, d: ev.deliveries(_mail(spark, d), 20, "oldest").select("subscriber", "poll_id", F.array_join("event_ids", ",").alias("events"), "dropped"),
+        _mail_sql("ASC"),
+    ),
     "st9_progress": (
         lambda spark, d: s.timed(spark, d).select("seg_id", ev.progress(F.col("seg_id") % 101, 20, 60).alias("pct")),
         f"{_T} SELECT seg_id, least(60.0, greatest(20.0, 20 + seg_id % 101 * 40 / 100)) AS pct FROM timed",

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 FINISHED = ("completed", "cancelled", "failed")
 
@@ -90,11 +91,11 @@ def log_stream(lines: DataFrame, most: int = 150, drop: int = 30, idle_ms: int =
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            for line in rows.sort_values(["at", "line_id"])["line"]:
-                held.append(line)
-                if len(held) > most:
-                    del held[:drop]
+        # a task's lines of one micro-batch may come in several Arrow batches: their order is that of all of them
+        for line in pd.concat(list(batches)).sort_values(["at", "line_id"])["line"]:
+            held.append(line)
+            if len(held) > most:
+                del held[:drop]
         state.update((held,))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"task": [key[0]], "lines": [held]})
@@ -102,28 +103,137 @@ def log_stream(lines: DataFrame, most: int = 150, drop: int = 30, idle_ms: int =
     return lines.groupBy("task").applyInPandasWithState(step, _LOG, "lines array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-_GATE = "task string, blocked boolean, failures int, until_ms long"
+# ---- a gate that closes after failures
 
+def gate(events: DataFrame, failures: int = 3, wait_ms: int = 60_000) -> DataFrame:
+    """Each event (task, at_ms, event_id, status) with what the gate of its task says: failures (in a row, this event
+    included), until_ms (how long the gate stays closed after it; 0: open), blocked (whether the gate was closed when the
+    event came). It closes for ``wait_ms`` at each failure from some in a row on, and opens with a success."""
+    order = W.partitionBy("task").orderBy("at_ms", "event_id")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = events.withColumn("_island", F.count_if(F.col("status") == "completed").over(so_far))
+    own = W.partitionBy("task", "_island").orderBy("at_ms", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("failures", F.count_if(F.col("status") == "failed").over(own))
+    closes = F.when((F.col("status") == "failed") & (F.col("failures") >= failures), F.col("at_ms") + wait_ms)
+    rows = rows.withColumn("until_ms", F.coalesce(F.max(closes).over(own), F.lit(0)))
+    return rows.withColumn("blocked", F.coalesce(F.col("at_ms") < F.lag("until_ms").over(order), F.lit(False))).drop("_island")
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """The state store that timers, lists and expiry need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+_GATE = "task string, at_ms long, event_id long, failures int, until_ms long, blocked boolean, opened boolean"
+
+
+class Gate(StatefulProcessor):
+    """``gate`` as a stream; a timer opens a closed gate when its wait is over, without an event, and an idle task's state
+    expires."""
 
-def cooldown_gate(events: DataFrame, failures: int = 3, wait_ms: int = 60_000) -> DataFrame:
-    """A gate by task: closed for a while after some failures in a row, open again after a success or the wait."""
+    def __init__(self, failures: int, wait_ms: int, idle_ms: int) -> None:
+        self.failures, self.wait_ms, self.idle_ms = failures, wait_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gate", "failures int, until_ms long", self.idle_ms)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bad, until = state.get if state.exists else (0, 0)
-        now = 0
-        for rows in batches:
-            for at, status in rows.sort_values(["at_ms"])[["at_ms", "status"]].itertuples(index=False):
-                now = int(at)
-                if status == "failed":
-                    bad += 1
-                    if bad >= failures:
-                        until = now + wait_ms
-                elif status == "completed":
-                    bad, until = 0, 0
-        state.update((bad, until))
-        yield pd.DataFrame({"task": [key[0]], "blocked": [now < until], "failures": [bad], "until_ms": [until]})
-
-    return events.groupBy("task").applyInPandasWithState(step, _GATE, "failures int, until_ms long", "update", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+        bad, until = self.state.get() if self.state.exists() else (0, 0)
+        at = 0
+        for row in sorted(rows, key=lambda r: (r.at_ms, r.event_id)):
+            at, blocked = row.at_ms, row.at_ms < until
+            if row.status == "failed":
+                bad += 1
+                until = at + self.wait_ms if bad >= self.failures else until
+            elif row.status == "completed":
+                bad, until = 0, 0
+            yield Row(task=key[0], at_ms=at, event_id=row.event_id, failures=bad, until_ms=until, blocked=blocked, opened=False)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until > at:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + until - at)
+        self.state.update((bad, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        bad, until = self.state.get() if self.state.exists() else (0, 0)
+        self.state.update((bad, 0))
+        yield Row(task=key[0], at_ms=until, event_id=None, failures=bad, until_ms=0, blocked=False, opened=True)
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_gate(events: DataFrame, failures: int = 3, wait_ms: int = 60_000, idle_ms: int = 7_200_000) -> DataFrame:
+    """``gate`` over a stream, with a row (opened) for each gate that opens by itself."""
+    keyed_state(events.sparkSession)
+    return events.groupBy("task").transformWithState(Gate(failures, wait_ms, idle_ms), _GATE, "Append", "ProcessingTime")
+
+
+# ---- events for subscribers that may lag
+
+def subscriptions(events: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """A row for each event (topic, at, event_id, payload) and subscriber (subscriber, topic) of its topic; polls are rows of
+    the same kind, with ``poll``."""
+    return events.join(subscribers, "topic").select("subscriber", "at", "event_id", "payload", F.lit(False).alias("poll"))
+
+
+def deliveries(rows: DataFrame, most: int = 100, keep: str = "newest") -> DataFrame:
+    """What each poll of a subscriber gets: subscriber, poll_id, event_ids (in order), dropped. Rows are events and polls
+    (subscriber, at, event_id, poll). Between two polls a mailbox holds ``most`` events, the newest (older ones make room)
+    or the ``oldest`` (full, it takes no more)."""
+    order = W.partitionBy("subscriber").orderBy("at", "event_id")
+    turn = F.count_if("poll").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("poll").cast("int")
+    rows = rows.withColumn("_turn", turn)
+    by = (F.col("at").desc(), F.col("event_id").desc()) if keep == "newest" else ("at", "event_id")
+    # numbered among the events only: the poll that ends a turn stands apart
+    place = F.row_number().over(W.partitionBy("subscriber", "_turn", "poll").orderBy(*by))
+    kept = rows.withColumn("_place", place)
+    took = F.sort_array(F.collect_list(F.when(~F.col("poll") & (F.col("_place") <= most), F.struct("at", "event_id"))))
+    out = kept.groupBy("subscriber", "_turn").agg(F.max(F.when(F.col("poll"), F.col("event_id"))).alias("poll_id"), took.alias("_took"), F.greatest(F.lit(0), F.count_if(~F.col("poll")) - most).alias("dropped"))
+    return out.where("poll_id is not null").select("subscriber", "poll_id", F.transform("_took", lambda x: x["event_id"]).alias("event_ids"), "dropped")
+
+
+_DELIVERY = "subscriber string, poll_id long, event_ids array<long>, dropped long"
+
+
+class Mailbox(StatefulProcessor):
+    """``deliveries`` as a stream: the held events as a map from their number modulo the mailbox's size, so that an event
+    writes one entry."""
+
+    def __init__(self, most: int, keep: str, idle_ms: int) -> None:
+        self.most, self.keep, self.idle_ms = most, keep, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getMapState("ring", "slot int", "event_id long", self.idle_ms)
+        self.count = handle.getValueState("count", "n long", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        n = self.count.get()[0] if self.count.exists() else 0
+        for row in sorted(rows, key=lambda r: (r.at, r.event_id)):
+            if not row.poll:
+                if n < self.most or self.keep == "newest":
+                    self.ring.updateValue((n % self.most,), (row.event_id,))
+                n += 1
+                continue
+            first = max(0, n - self.most) if self.keep == "newest" else 0
+            took = [self.ring.getValue((i % self.most,))[0] for i in range(first, min(n, first + self.most))]
+            yield Row(subscriber=key[0], poll_id=row.event_id, event_ids=took, dropped=max(0, n - self.most))
+            self.ring.clear()
+            n = 0
+        self.count.update((n,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def mailboxes(rows: DataFrame, most: int = 100, keep: str = "newest", idle_ms: int = 7_200_000) -> DataFrame:
+    """``deliveries`` over a stream of events and polls."""
+    keyed_state(rows.sparkSession)
+    return rows.groupBy("subscriber").transformWithState(Mailbox(most, keep, idle_ms), _DELIVERY, "Append", "ProcessingTime")
 
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
@@ -136,9 +246,11 @@ def fan_out(events: DataFrame, sinks: list[Callable[[DataFrame], None]], checkpo
     must take a batch twice."""
 
     def send(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        for sink in sinks:
-            sink(batch)
-        batch.unpersist()
+        batch.persist()  # or each sink reads the sources again
+        try:
+            for sink in sinks:
+                sink(batch)
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
