@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seglume.plans import audits, lineages, progress, relations, sequences, sources_sinks, texts, timelines
+from seglume.plans import audits, likeness, lineages, progress, relations, sequences, sources_sinks, texts, timelines
 
-MODULES = (progress, relations, timelines, lineages, texts, sequences, sources_sinks, audits)
+MODULES = (progress, relations, timelines, lineages, texts, sequences, sources_sinks, audits, likeness)
 
 
 def queries() -> dict:

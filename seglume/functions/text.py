@@ -6,7 +6,9 @@ function says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _col(text: str | Column) -> Column:
@@ -136,6 +138,45 @@ def drop_boilerplate(text: str | Column, patterns: tuple[str, ...]) -> Column:
     return F.array_join(kept, "\n")
 
 
+#: Whole lines that are advertisement.
+AD_LINES = (
+    r"https?://\S+",
+    r"www\.\S+",
+    r"m\.[a-zA-Z0-9.-]+\.[a-zA-Z]+",
+    r"请记住本书首发域名：.*",
+    r"最新章节txt下载：.*",
+    r"本书域名：.*",
+    r"手机用户请浏览.*阅读.*",
+    r"一秒记住【.*】.*",
+    r"百度搜索【.*】.*",
+    r"【\s*推荐下.*换源.*】",
+    r"p\s*s\s*[：:].*求.*",
+    r"\(?笔趣阁\)?",
+    r"\(?UU看书\)?",
+    r"\(?全本小说网\)?",
+    r"\(?起点中文网\)?",
+    r"\(?看书神站\)?",
+    r"\(?飞卢小说网\)?",
+)
+#: Lines that a crawler adds (counts of words, times), and those that end a chapter.
+CRAWLER_LINES = (r"\d+\s*(?:字|Chữ|từ)", r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}", r"(?:本章完|全书完|全剧终)")
+#: What authors ask for in brackets.
+PLEAS = ("求追读", "求月票", "求推荐", "求收藏", "求花", "求鲜花", "求订", "求打赏", "求订阅", "本章完", "全书完", "全剧终")
+#: Variant characters in chapters, and the usual ones.
+CHAPTER_VARIANTS = (("杓子", "勺子"), ("握杓", "握勺"), ("裏面", "里面"), ("這裏", "这里"), ("那裏", "那里"), ("麼", "么"))
+
+
+def chapter(text: str | Column, lines: tuple[str, ...] = AD_LINES + CRAWLER_LINES, variants: tuple[tuple[str, str], ...] = CHAPTER_VARIANTS) -> Column:
+    """(title, body) of a raw chapter: the first line that is left, and the others without line ends between them. Lines of
+    advertisement and of the crawler go, so do a chapter number before the text and pleas in brackets; variant characters
+    become usual ones."""
+    t = replace_all(text, (r"(?iu)^\s*Chương\s*\d+\s*[:\-–]\s*", ""), (rf"[（(]\s*(?:{'|'.join(PLEAS)})[!！]?\s*[）)]", ""), (r"(?<=[一-鿿])著", "着"))
+    for old, new in variants:
+        t = F.replace(t, F.lit(old), F.lit(new))
+    kept = F.split(drop_boilerplate(t, lines), "\n")
+    return F.struct(F.get(kept, F.lit(0)).alias("title"), F.array_join(F.slice(kept, 2, F.greatest(F.lit(0), F.size(kept) - 1)), "").alias("body"))
+
+
 #: Lines that say nothing, by what is wrong with them: music marks only, one character over and over (four at least), a
 #: period of two to four characters at least four times.
 EMPTY_SHAPES = {
@@ -190,6 +231,27 @@ def transliterate(text: str | Column, names: Column | None = None) -> Column:
     return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.initcap(F.coalesce(F.element_at(names, c), c)) if names is not None else c), " ")
 
 
+def reading_of_name(text: str | Column, readings: Column, special: Column | None = None) -> Column:
+    """A name as its special form, where it has one; else each Han character by its reading, capitalised and spaced, and
+    all else as it is."""
+    t = F.trim(_col(text))
+    chars = F.filter(F.split(t, ""), lambda c: c != "")
+    spelled = F.transform(chars, lambda c: F.coalesce(F.when(c.rlike(HAN), F.concat(F.lit(" "), F.initcap(F.element_at(readings, c)), F.lit(" "))), c))
+    out = squeeze(F.array_join(spelled, ""))
+    return out if special is None else F.coalesce(F.element_at(special, t), out)
+
+
+def fallback_readings(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(char, reading) of characters without a known reading (char, reading), from names (name, reading) of two to four
+    characters that are read word by word; the reading found most often, of equal ones the first."""
+    words = F.split(F.trim(F.split("reading", "/")[0]), r"\s+")
+    chars = F.filter(F.split(F.trim("name"), ""), lambda c: c != "")
+    pairs = names.select(chars.alias("c"), words.alias("w")).where("size(c) between 2 and 4 and size(c) = size(w)")
+    each = pairs.select(F.explode(F.arrays_zip("c", "w")).alias("x")).select(F.col("x.c").alias("char"), F.lower("x.w").alias("reading"))
+    n = each.join(known.select("char"), "char", "left_anti").groupBy("char", "reading").agg(F.count("*").alias("n"))
+    return n.groupBy("char").agg(F.min_by("reading", F.struct(-F.col("n"), "reading")).alias("reading"))
+
+
 def mask_secret(text: str | Column) -> Column:
     """The first and last four characters of a key; stars only where it is short."""
     t = _col(text)
@@ -375,6 +437,15 @@ def genre(text: str | Column, kinds: tuple = GENRES, default: str = DEFAULT_GENR
     return F.coalesce(out, F.lit(default))
 
 
+def genre_by_weight(text: str | Column, kinds: tuple, default: str = DEFAULT_GENRE) -> Column:
+    """The kind whose words in the text weigh most: kinds are (name, ((word, weight), ...)); of equal ones the first, and
+    the default where nothing is found. A word counts each time."""
+    low = F.lower(_col(text))
+    weighed = [F.struct(sum((F.regexp_count(low, F.lit(re.escape(word))) * weight for word, weight in words), F.lit(0)).alias("w"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(kinds)]
+    best = F.array_max(F.array(*weighed))
+    return F.when(best["w"] > 0, best["name"]).otherwise(F.lit(default))
+
+
 #: Beginnings that a name must not have.
 NAME_JUNK = r"(?iu)^(?:tên|tên là|gọi là|nhân vật|ông|bà|name|called)\s*[:\-]?\s+"
 
