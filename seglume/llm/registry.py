@@ -81,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.mix_sql(), "op9_url_filter": urls.judge_sql(), "op11_merkle": merkle.manifest_sql(), "op12_spelling": spelling.variants_sql()}
+    return {"op4_source_mix": mixing.mix_sql(), "op6_hilbert_shards": sharding.shard_sql(), "op9_url_filter": urls.judge_sql(), "op11_merkle": merkle.manifest_sql(), "op12_spelling": spelling.variants_sql()}

@@ -8,7 +8,8 @@ The global position is exact without one global sort: a cell of the curve gets a
 ``rows_per_salt`` of its rows, counts of (cell, salt) are summed along the curve, and rows are numbered within
 (cell, salt) only. A cell that holds a third of all rows so spreads over many tasks.
 
-Source and language are ordered by the seven bytes that follow the beginning common to all values.
+Source and language count by the place of their value among all distinct values in order, so one odd value changes
+nothing for the others.
 
 Nulls: a null text has 8 bytes of size and the checksum of no bytes; null source, language or id order first.
 Repeated rows get positions of their own. An empty table gives no rows. Other columns are ignored.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from seglume.llm.ranks import numbered
 from seglume.storage import stage
 
 
@@ -64,15 +66,11 @@ def curve_table(spark: SparkSession, bits: int) -> DataFrame:
     return spark.sql(f"SELECT CAST(col1 AS INT) AS cell, CAST(col2 AS LONG) AS h FROM VALUES {','.join(rows)}")
 
 
-def common_bytes(least: str | None, most: str | None) -> int:
-    """How many bytes all strings from the least to the most begin with."""
-    a, b = ((x or "").encode() for x in (least, most))
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def order_key(text: Column, skip: int = 0) -> Column:
-    """Seven bytes of a string, after some that all strings share, as a number in the same order."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(text.cast("binary")), 1 + 2 * skip, 14), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the place of each value among the distinct ones in order, -1 for null."""
+    values = rows.select(F.lit(0).alias("_all"), column).where(F.col(column).isNotNull()).distinct()
+    places = numbered(values, "_all", [column], f"shard-{column}")[0].select(column, F.col("at").alias(name))
+    return rows.join(places, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", params: ShardParams = ShardParams()) -> DataFrame:
@@ -93,14 +91,12 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
             F.col(lang_col).cast("string").alias("lang"),
             (F.octet_length(body) + 8).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("_own"),
             *more,
         ),
         "shard-rows",
     )
-    ends = rows.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("source", "lang") for f in (F.min, F.max)]).first()
-    for name, c in (("d0", "source"), ("d1", "lang")):
-        rows = rows.withColumn(name, order_key(F.col(c), common_bytes(ends[f"min_{c}"], ends[f"max_{c}"])))
-    rows = rows.drop("source", "lang")
+    rows = ranked(ranked(rows, "source", "d0"), "lang", "d1").drop("source", "lang")
     side = 1 << p.bits
     cuts = [i / side for i in range(1, side)]
     marks = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(c, cuts, 10_000).alias(c) for c in ("d0", "d1", "size")]).first()
@@ -119,8 +115,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_c
         rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).join(F.broadcast(curve_table(spark, p.bits)), "cell").select("cell", "h", F.ceil(F.col("n") / p.rows_per_salt).cast("int").alias("salts")),
         "shard-curve",
     )  # at most one row a cell: a size that no data changes
-    salt = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("salts")).cast("int")
-    rows = rows.withColumn("cell", cell).join(F.broadcast(curve), "cell").withColumn("salt", salt).drop("cell", "d0", "d1", "salts")
+    # equal rows are told apart, or they would share a salt
+    salt = F.pmod(F.xxhash64("doc_id", "text_crc32", "_own"), F.col("salts")).cast("int")
+    rows = rows.withColumn("cell", cell).join(F.broadcast(curve), "cell").withColumn("salt", salt).drop("cell", "d0", "d1", "salts", "_own")
 
     counts = stage(rows.groupBy("h", "salt").agg(F.count("*").alias("rows")), "shard-counts")
     cells = counts.groupBy("h").agg(F.sum("rows").alias("all"))  # at most one row a cell: the only window over them all
@@ -143,3 +140,25 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     placed = _placed(docs, id_col, text_col, source_col, lang_col, params, F.struct(*docs.columns).alias("_row"))
     rows = placed.select("_row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     rows.repartition(params.shards, "_shard").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+
+
+def shard_sql(params: ShardParams = ShardParams()) -> str:
+    """``shard`` over ``documents`` while no cell of the curve holds more than ``rows_per_salt`` rows."""
+    p, side = params, 1 << params.bits
+    curve = ", ".join(f"({(a * side + b) * side + c}, {hilbert_index((a, b, c), p.bits)})" for a in range(side) for b in range(side) for c in range(side))
+    table = "SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+    codes = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    cuts = ", ".join(f"{i / side!r}" for i in range(1, side))
+    # a value's band: how many distinct cuts lie below it; a cut is the least value that enough rows do not exceed
+    below = lambda c: f"len(list_filter(list_distinct(quantile_disc_{c}), lambda q: q < {c}))"
+    place = lambda c: f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c} NULLS FIRST) - 1 - CAST((SELECT count(*) > 0 FROM documents WHERE {c} IS NULL) AS INT) END"
+    return (
+        f"WITH crc AS ({table}), curve(cell, h) AS (VALUES {curve}), "
+        f"rows_ AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {crc} AS text_crc32, {place('source')} AS d0, {place('lang')} AS d1 FROM documents, crc), "
+        f"marks AS (SELECT count(*) AS total, {', '.join(f'quantile_disc({c}, [{cuts}]) AS quantile_disc_{c}' for c in ('d0', 'd1', 'size'))} FROM rows_), "
+        f"cells AS (SELECT doc_id, size, text_crc32, total, ({below('d0')} * {side} + {below('d1')}) * {side} + {below('size')} AS cell FROM rows_, marks), "
+        "placed AS (SELECT doc_id, size, text_crc32, total, h, row_number() OVER (ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos FROM cells JOIN curve USING (cell)), "
+        f"sharded AS (SELECT *, CAST(pos * {p.shards} // total AS INT) AS shard FROM placed) "
+        f"SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard, pos - (CAST(shard AS BIGINT) * total + {p.shards - 1}) // {p.shards} AS slot, CAST(NULL AS INT) AS grown_shard, CAST(h AS BIGINT) AS h FROM sharded"
+    )

@@ -86,7 +86,18 @@ def test_dimensions_see_past_what_all_values_begin_with(spark):
     got = sharding.shard(spark.createDataFrame(data, DOCS)).collect()
     cells = {data[r.doc_id][2]: r.h for r in got}
     assert len(set(cells.values())) == 8
-    assert sharding.common_bytes("abc", "abd") == 2 and sharding.common_bytes(None, "x") == sharding.common_bytes(None, None) == 0
+    # one odd value more changes nothing for the others
+    odd = sharding.shard(spark.createDataFrame([*data, (900, "w", "aaa", "en", "", "", 0)], DOCS)).collect()
+    assert len({r.h for r in odd if r.doc_id != 900}) == 8
+    # values that differ at their ends only
+    deep = [(i, "w", "s" * 40 + str(i % 8), "en", "", "", 0) for i in range(400)] + [(900, "w", "b", "en", "", "", 0)]
+    assert len({r.h for r in sharding.shard(spark.createDataFrame(deep, DOCS)).collect() if r.doc_id != 900}) == 8
+
+
+def test_equal_rows_of_one_cell_spread_over_its_salts(spark):
+    docs = spark.createDataFrame([(None, "same", "s", "en", "", "", 0)] * 300, DOCS).repartition(3)
+    got = sharding.shard(docs, params=sharding.ShardParams(rows_per_salt=20)).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range(len([r for r in got if r.shard == s]))] and len(got) == 300
 
 
 def test_written_shards_hold_the_rows_that_shard_puts_there(spark, tmp_path):
