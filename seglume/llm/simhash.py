@@ -14,7 +14,8 @@ copies does not become all its pairs, and no link that connects different labels
 ``keep_one`` is the stage of a pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
 are near copies. At that similarity fingerprints differ by some 10 bits of 64 (measured: 4 bits or fewer for none of 259
 pairs between 0.80 and 0.85), and deletion variants that reach so far would need several hundred rows a text. So beside
-the variants, bands of minima of the same shingle hashes give candidates, and the sets themselves decide on all of them.
+the variants, bands of minima of the same shingle hashes give candidates; a byte of each minimum drops those that are far
+from it, and the sets themselves decide on all others.
 
 Nulls: a null text counts as empty; its fingerprint is zero and links like any other. A null id takes part, but never
 names a component of which another member has an id. Repeated rows stay. An empty table gives no rows. Other columns
@@ -57,6 +58,9 @@ class CopyParams:
     bands: int = 20
     rows: int = 6
     seed: int = 9
+    #: Least share of equal bytes in two sketches (the last byte of each minimum): four deviations below the threshold, so
+    #: that a pair at the threshold falls short once in some 50,000 times.
+    estimate: float = 0.65
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -188,15 +192,22 @@ def _odd(p: CopyParams) -> np.ndarray:
     return np.random.default_rng(p.seed).integers(0, 1 << 63, p.bands * p.rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray, p: CopyParams) -> list[int]:
-    """A key for each band: a hash of its minima, each over all hashes times an odd number."""
+def minima(hashes: np.ndarray, p: CopyParams) -> np.ndarray:
+    """Of each of the bands' rows the least hash, each row over all hashes times an odd number; none of an empty text."""
     if not len(hashes):
-        return []
+        return np.zeros(0, np.uint64)
     odd, least = _odd(p), np.full(p.bands * p.rows, 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), 1024):
         least = np.minimum(least, (hashes[i : i + 1024, None] * odd).min(axis=0))
+    return mix64(least)
+
+
+def band_keys(least: np.ndarray, p: CopyParams) -> list[int]:
+    """A key for each band: a hash of its minima."""
+    if not len(least):
+        return []
     key = np.arange(1, p.bands + 1, dtype=np.uint64)
-    for row in mix64(least).reshape(p.bands, p.rows).T:
+    for row in least.reshape(p.bands, p.rows).T:
         key = mix64(key + row)
     return key.view(np.int64).tolist()
 
@@ -209,11 +220,11 @@ def _copy_marks(p: CopyParams):
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
                 parts = list(shingle_hashes(bytes(view[a:b]), p.size))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                fp = majority(parts)
-                rows.append((xxhash.xxh3_128_digest(own.astype("<u8").tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(own), band_keys(own, p)))
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                fp, least = majority(parts), minima(own, p)
+                rows.append((xxhash.xxh3_128_digest(own.astype("<u8").tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(own), band_keys(least, p), least.astype(np.uint8).tobytes()))
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "class", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "class", "fp", "n", "bands", "sketch"])
 
     return run
 
@@ -234,6 +245,18 @@ def _copy_sets(p: CopyParams):
 _PARTNERS = 4096
 
 
+def _likely(p: CopyParams):
+    """The pairs (a, b) whose sketches agree in a share of their bytes that copies do not fall short of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (buffers(batch.column(i))[0].reshape(len(batch), p.bands * p.rows) for i in (2, 3))
+            keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= p.estimate * p.bands * p.rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return run
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: CopyParams) -> DataFrame:
     """The pairs (a, b) of classes whose sets of shingles are similar; sets are made of one text of each class that is in
     a pair. The sides of a pair meet by the class with many partners in as many tasks as those ask for."""
@@ -298,8 +321,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")).alias("digest"))
     key = lambda r: F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), r["id"].cast("string")), F.lit("n")), r["digest"])
     texts = docs.select(row.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stage(map_texts(texts, _copy_marks(p), f"doc_id {dict(texts.dtypes)['doc_id']}, class binary, fp long, n int, bands array<long>"), "simhash-marks")
-    nodes = marked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "bands"), "doc_id").alias("m"))
+    marked = stage(map_texts(texts, _copy_marks(p), f"doc_id {dict(texts.dtypes)['doc_id']}, class binary, fp long, n int, bands array<long>, sketch binary"), "simhash-marks")
+    nodes = marked.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("fp", "n", "bands", "sketch"), "doc_id").alias("m"))
     nodes = stage(nodes.select("class", "rep", "m.*").withColumn("key", key(F.col("rep"))), "simhash-classes")
     keyed = texts.select(key(F.col("doc_id")).alias("key"), "text")
     buckets = _shared_buckets(nodes)

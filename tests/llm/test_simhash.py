@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -149,3 +150,21 @@ def test_a_class_with_many_partners_meets_them_in_several_tasks(spark, monkeypat
     words = [f"w{i}" for i in range(300)]
     data = [(i, " ".join(words[:i] + [f"new{i}"] + words[i + 1 :]), "", 0, "") for i in range(30)] + [(99, " ".join(words), "", 0, "")]
     assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect()] == [0]
+
+
+def test_sketches_keep_the_pairs_of_copies_and_drop_others(spark):
+    """Of pairs between 0.80 and 0.85 at least 0.99 pass, of those under 0.5 none."""
+    rng, p = random.Random(4), simhash.CopyParams()
+    kept = []
+    for i in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        copy = list(words)
+        for k in range(0, 120, 40 if i % 2 else 6):  # each change turns five shingles
+            copy[k + rng.randrange(6 if i % 2 == 0 else 40)] = "x"
+        sets = [np.unique(np.concatenate(list(simhash.shingle_hashes(" ".join(w).encode(), p.size)))) for w in (words, copy)]
+        x, y = (simhash.minima(s, p).astype(np.uint8) for s in sets)
+        common = len(np.intersect1d(*sets))
+        kept.append((common / (len(sets[0]) + len(sets[1]) - common), (x == y).mean() >= p.estimate))
+    near = [k for j, k in kept if 0.75 <= j <= 0.9]
+    far = [k for j, k in kept if j < 0.5]
+    assert len(near) > 100 and np.mean(near) >= 0.99 and len(far) > 100 and not any(far)
