@@ -9,8 +9,8 @@
 3. In a shard, documents lie end to end in an order drawn from ``seed``; the quota takes blocks from its front, and
    goes around again for repeats.
 
-A shard is drawn from the document's id, so that a source with a third of all rows falls into as many windows as the
-table needs. No step sees more than the numbers of a source, of its shards, or of a shard's documents.
+A shard is drawn from the document's id and text, so that a source or a null id with a third of all rows falls into as
+many windows as the table needs. No step sees more than the numbers of a source, of its shards, or of a shard's documents.
 
 Nulls: a null text or one without words has size 0 and is never taken; a null source is a source of its own, last in
 order; a null id orders as the empty string. Repeated rows are separate documents. An empty table gives no rows. Other
@@ -92,12 +92,13 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more:
         F.col(source_col).cast("string").alias("source"),
         source_key(source_col).alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("mark"),
         *more,
     )
 
 
 def _drawn(sizes: DataFrame, n_shards: int, p: MixParams) -> DataFrame:
-    draw = F.md5(F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    draw = F.md5(F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mark"))
     return sizes.withColumn("draw", draw).withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % n_shards)
 
 
@@ -191,12 +192,12 @@ _SL = """{n}_l AS (SELECT *, CASE WHEN group_seats > group_cells / 2 THEN CAST(f
 {n}_s AS (SELECT h.*, low + coalesce(won, 0) AS seats FROM {n}_h h LEFT JOIN {n}_w w ON h.{g} = w.{g} AND h.{c} = w.{c})"""
 
 
-def mix_sql() -> str:
-    """The same in DuckDB SQL over the view ``documents``, with the default parameters."""
-    p = MixParams()
+def mix_sql(params: MixParams = MixParams()) -> str:
+    """The same in DuckDB SQL over the view ``documents``."""
+    p = params
     return f"""WITH n AS (SELECT greatest(1, (count(*) + {p.rows_per_shard - 1}) // {p.rows_per_shard}) AS shards FROM documents),
 z AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-     md5('{p.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+     md5('{p.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 sizes AS (SELECT z.*, CAST('0x' || draw[1:8] AS BIGINT) % shards AS shard FROM z, n),
 s1 AS (SELECT key, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN {p.weights[0]} WHEN 1 THEN {p.weights[1]} ELSE {p.weights[2]} END AS weight,
      row_number() OVER (ORDER BY source NULLS LAST) AS rank, CAST(sum(source_size) OVER () AS BIGINT) AS total_words, count(*) OVER () AS sources
@@ -210,7 +211,11 @@ cell0 AS (SELECT key, shard, CAST(sum(size) AS BIGINT) AS cell_size FROM sizes G
 cell AS (SELECT c.key, shard, cell_size, CAST(cell_size AS DOUBLE) AS votes, CAST(source_size AS DOUBLE) AS group_votes, seats AS group_seats, count(*) OVER (PARTITION BY c.key) AS group_cells,
      source_size, s.votes AS target FROM cell0 c JOIN src_s s ON c.key = s.key),
 {_SL.format(n="cell", g="key", c="shard")},
-q AS (SELECT key, shard, cell_size, source_size, target, group_seats, least(seats * {p.block_words}, cell_size * {p.max_repeats}) AS quota FROM cell_s),
+own AS (SELECT *, CAST(least(seats * {p.block_words}, cell_size * {p.max_repeats}) AS HUGEINT) AS own FROM cell_s),
+room AS (SELECT *, seats * {p.block_words} - own AS over_, cell_size * {p.max_repeats} - own AS room FROM own),
+again AS (SELECT *, CAST(sum(room) OVER (PARTITION BY key) AS HUGEINT) AS all_room, least(CAST(sum(over_) OVER (PARTITION BY key) AS HUGEINT), CAST(sum(room) OVER (PARTITION BY key) AS HUGEINT)) AS again,
+     CAST(sum(room) OVER (PARTITION BY key ORDER BY shard) AS HUGEINT) AS upto FROM room),
+q AS (SELECT key, shard, cell_size, source_size, target, group_seats, CAST(own + coalesce(again * upto // nullif(all_room, 0) - again * (upto - room) // nullif(all_room, 0), 0) AS BIGINT) AS quota FROM again),
 laid AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM sizes)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - cell_size - pos)) AS BIGINT) AS taken,
      l.shard AS shard, CAST(group_seats AS BIGINT) AS source_blocks FROM laid l JOIN q ON l.key = q.key AND l.shard = q.shard"""

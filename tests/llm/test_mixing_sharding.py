@@ -126,3 +126,19 @@ def test_mixed_with_nulls_no_rows_and_clashing_columns(spark):
         want[r.source_size, r.target] = want.get((r.source_size, r.target), 0) + r.taken
     assert sorted(took.values()) == sorted(v for v in want.values() if v)
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_mix_equals_its_sql_at_many_shards(spark):
+    """With seats above caps that are dealt again, and null ids that spread by their texts."""
+    import duckdb
+
+    d, p = "/root/testdata/sf0.001", mixing.MixParams(rows_per_shard=10)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id END AS doc_id, text, source FROM '{d}/documents.parquet'")
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("CASE WHEN doc_id % 3 > 0 THEN doc_id END AS doc_id", "text", "source")
+    found = con.execute(mixing.mix_sql(p))
+    want = Counter(tuple(map(str, r)) for r in found.fetchall())
+    names = [c[0] for c in found.description]
+    got = mixing.mix(docs, params=p)
+    assert Counter(tuple(str(r[c]) for c in names) for r in got.collect()) == want
+    assert len({r.shard for r in got.where("doc_id is null").collect()}) > 10
