@@ -22,7 +22,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more), the one with the smallest
+    id; candidates come from deletion variants of fingerprints and from bands of minima."""
     return simhash.keep_one(docs)
 
 
