@@ -10,6 +10,7 @@ from seglume.operators import align as al
 from seglume.operators import dictionary, folds, fusion
 from seglume.operators import lineage as ln
 from seglume.operators import timeline as tl
+from seglume.operators import turns
 from seglume.plans import lineages, surrogate as s
 from seglume.session import table
 
@@ -130,7 +131,7 @@ QUERIES = {
     ),
     "tl5_stitch": (_stitched, None),
     "tl6_split_overlaps": (
-        lambda spark, d: folds.fold(s.timed(spark, d), folds.split_overlaps(), "seq long, start_ms long, end_ms long"),
+        lambda spark, d: turns.split_overlaps(s.timed(spark, d)),
         f"""{_T}, f AS (SELECT project, seq, start_ms, CASE WHEN end_ms <= start_ms THEN start_ms + 500 ELSE end_ms END AS end_ms FROM timed),
         r AS (SELECT project, seq, start_ms AS s, end_ms AS e, NULL::BIGINT AS ps, NULL::BIGINT AS pe FROM f WHERE seq = 1
           UNION ALL SELECT f.project, f.seq, CASE WHEN f.start_ms < r.e THEN least(f.end_ms - 300, (r.e + f.start_ms) // 2 + 10) ELSE f.start_ms END, f.end_ms,
@@ -146,7 +147,7 @@ QUERIES = {
     ),
     "tl10_pause_chunks": (lambda spark, d: folds.fold(s.timed(spark, d), folds.pause_chunks(folds.PauseCuts(20_000, 20, 10)), "chunk long, first_seq long, last_seq long"), None),
     "tl12_speaker_turns": (
-        lambda spark, d: folds.fold(voiced(spark, d), folds.speaker_turns(), "seq long, turn long, offset_ms long"),
+        lambda spark, d: turns.speaker_turns(voiced(spark, d)).select("project", "seq", "turn", "offset_ms"),
         f"""{_T}, v0 AS (SELECT *, CASE WHEN seg_id % 11 <> 0 THEN (end_ms - start_ms) * (8 + seg_id % 9) // 10 + 40 END AS raw_ms FROM timed),
         v AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq) AS k FROM v0 WHERE raw_ms IS NOT NULL OR seq = 1),
         r AS (SELECT project, k, seq, speaker, end_ms AS e, 1::BIGINT AS turn, 0::BIGINT AS at_ms, coalesce(raw_ms, 0) AS raw FROM v WHERE k = 1
@@ -164,12 +165,20 @@ QUERIES = {
         None,
     ),
     "tl17_borrow": (lambda spark, d: folds.fold(voiced(spark, d), folds.borrow(), "seq long, from_before long, from_after long"), None),
+    "tl12_turn_texts": (
+        lambda spark, d: turns.turn_texts(turns.speaker_turns(voiced(spark, d))).select("project", "turn", "speaker", "first_seq", "last_seq", "text"),
+        f"""{_T}, v AS (SELECT project, seq, speaker, start_ms, end_ms, CASE WHEN seg_id % 11 <> 0 THEN 1 END AS raw FROM timed), k AS (SELECT * FROM v WHERE raw IS NOT NULL OR seq = 1),
+        o AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker THEN 0 ELSE 1 END AS other FROM k WINDOW w AS (PARTITION BY project ORDER BY seq)),
+        r AS (SELECT *, sum(other) OVER (PARTITION BY project ORDER BY seq) AS run FROM o),
+        c AS (SELECT *, CASE WHEN other = 1 OR start_ms - max(end_ms) OVER (PARTITION BY project, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 850 THEN 1 ELSE 0 END AS cut FROM r),
+        t AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY project ORDER BY seq) AS BIGINT) AS turn FROM c)
+        SELECT project, turn, min(speaker) AS speaker, min(seq) AS first_seq, max(seq) AS last_seq, string_agg(speaker, ' ' ORDER BY seq) AS text FROM t GROUP BY 1, 2""",
+    ),
     "tl22_sync_to_waveform": (
-        lambda spark, d: folds.fold(
-            s.timed(spark, d).select("project", "seq", F.expr("seq * 400 % 4000").alias("part_start"), F.expr("seq * 400 % 4000 + 350").alias("part_end"), F.lit(120).alias("cut_ms"), F.lit(118).alias("speed_pct"), F.col("start_ms").alias("slot_start")),
-            folds.sync_to_waveform(), "seq long, start_ms long, end_ms long",
-        ),
-        None,
+        lambda spark, d: turns.sync_to_waveform(s.timed(spark, d).select("project", "seq", F.expr("seq * 400 % 4000").alias("part_start"), F.expr("seq * 400 % 4000 + 350").alias("part_end"), F.lit(120).alias("cut_ms"), F.lit(118).alias("speed_pct"), F.col("start_ms").alias("slot_start"))),
+        f"""WITH RECURSIVE {s.TIMED_SQL}, p AS (SELECT project, seq, start_ms + greatest(0, seq * 400 % 4000 - 120) * 100 // 118 AS s, start_ms + greatest(0, seq * 400 % 4000 + 230) * 100 // 118 AS e FROM timed),
+        r AS (SELECT project, seq, s AS start_ms, greatest(s + 300, e) AS end_ms FROM p WHERE seq = 1
+          UNION ALL SELECT p.project, p.seq, greatest(r.end_ms, p.s), greatest(greatest(r.end_ms, p.s) + 300, p.e) FROM r JOIN p ON p.project = r.project AND p.seq = r.seq + 1) SELECT * FROM r""",
     ),
     "tl25_split_at_gaps": (lambda spark, d: al.split_at_gaps(lineages.items(spark, d).withColumn("text", F.lit("one two, three. four five six")), s.timed(spark, d).withColumn("text", F.col("speaker")), 300), None),
     "tl31_look_ahead": (
