@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seglume.functions import parsing, similarity, text as t, unicode as u
-from seglume.operators import forward, fusion, similar
+from seglume.operators import forward, fusion, similar, sounds
 from seglume.plans import surrogate as s
 from seglume.plans.sequences import _broken_json
 from seglume.session import table
@@ -41,7 +41,22 @@ def _chapters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", t.chapter(lines).alias("c")).select("n_nationkey", "c.title", "c.body")
 
 
+def _sounds(spark: SparkSession, d: str) -> DataFrame:
+    """Short names spelled by letters, some of which have two sounds."""
+    table_ = spark.createDataFrame([("c", "ka"), ("c", "sa"), ("k", "ka"), ("s", "sa"), ("g", "ga"), ("g", "ja"), ("j", "ja"), ("i", "i"), ("y", "i"), ("y", "ya")], "char string, syllable string")
+    names = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 4)).alias("text")).unionByName(table(spark, d, "part").select(F.lower(F.substring("p_type", 1, 4)).alias("text")).distinct())
+    return sounds.sounded(names.distinct().select(F.xxhash64("text").alias("id"), "text"), table_)
+
+
+def _sound_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each name against the one after it in order."""
+    rows = _sounds(spark, d).selectExpr("text as a", "sounds as x", "lead(text) over (partition by length(text) order by text) as b", "lead(sounds) over (partition by length(text) order by text) as y")
+    return rows.where("b is not null").select("a", "b", sounds.sound_likeness("x", "y").alias("likeness"))
+
+
 QUERIES = {
+    "t25_homophones": (lambda spark, d: sounds.homophones(_sounds(spark, d)), None),
+    "t25_sound_likeness": (_sound_pairs, None),
     "j15_forward_window": (
         _window,
         f"""{_T}, r AS (SELECT project, seq - 1 AS pos, seg_id % 3 = 0 AS junk, seg_id % 5 = 0 AS taken FROM timed),
