@@ -86,3 +86,12 @@ def test_token_stage_reads_back_what_the_tokenizer_says(kept):
 def test_run_equals_the_stages(spark, kept):
     got = sorted(tuple(r)[:4] for r in corpus_pipeline.run(spark, D).collect())
     assert got == sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in kept[4])
+
+
+def test_run_on_no_documents(spark, tmp_path):
+    """An empty table goes through all stages, whatever labels and benchmark hold."""
+    for name in ("documents", "labels", "benchmark"):
+        rows = table(spark, D, name)
+        (rows.limit(0) if name == "documents" else rows).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert got.count() == 0 and "ids_crc32" in got.columns
