@@ -31,14 +31,17 @@ def _diagonals(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return i[at], j[at], np.diff(np.append(at, len(i))) + _GRAM - 1
 
 
-def matched(a: str, b: str) -> int:
-    """Characters that match in order: the longest common stretch (the first of several), then the same on both sides of
-    it. The count that ``SequenceMatcher`` without junk finds, from all diagonals at once instead of place by place."""
-    library = lambda s, t: sum(m.size for m in SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks())
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """(i, j, length) of what matches in order: the longest common stretch (the first of several), then the same on both
+    sides of it. The blocks of ``SequenceMatcher`` without junk, from all diagonals at once instead of place by place."""
+
+    def library(i: int, s: str, j: int, t: str) -> list[tuple[int, int, int]]:
+        return [(i + m.a, j + m.b, m.size) for m in SequenceMatcher(None, s, t, autojunk=False).get_matching_blocks() if m.size]
+
     if len(a) * len(b) <= SMALL or min(len(a), len(b)) < _GRAM:
-        return library(a, b)
+        return library(0, a, 0, b)
     x, y = (np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for v in (a, b))
-    total, open_ = 0, [(0, len(a), 0, len(b), *_diagonals(x, y))]
+    found, open_ = [], [(0, len(a), 0, len(b), *_diagonals(x, y))]
     while open_:
         alo, ahi, blo, bhi, i, j, n = open_.pop()
         cut = np.maximum(0, np.maximum(alo - i, blo - j))
@@ -47,14 +50,19 @@ def matched(a: str, b: str) -> int:
         keep = n >= _GRAM
         i, j, n = i[keep], j[keep], n[keep]
         if not len(n):
-            total += library(a[alo:ahi], b[blo:bhi]) if alo < ahi and blo < bhi else 0
+            found += library(alo, a[alo:ahi], blo, b[blo:bhi]) if alo < ahi and blo < bhi else []
             continue
         top = np.lexsort((j, i, -n))[0] if len(n) > 1 else 0
         p, q, size = int(i[top]), int(j[top]), int(n[top])
-        total += size
+        found.append((p, q, size))
         before, after = (i < p) & (j < q), (i + n > p + size) & (j + n > q + size)
         open_ += [(alo, p, blo, q, i[before], j[before], n[before]), (p + size, ahi, q + size, bhi, i[after], j[after], n[after])]
-    return total
+    return sorted(found)
+
+
+def matched(a: str, b: str) -> int:
+    """Characters that match in order."""
+    return sum(n for _, _, n in matching_blocks(a, b))
 
 
 def ratio(a: str, b: str) -> float:

@@ -42,9 +42,9 @@ def _chapters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sounds(spark: SparkSession, d: str) -> DataFrame:
-    """Short names spelled by letters, some of which have two sounds."""
-    table_ = spark.createDataFrame([("c", "ka"), ("c", "sa"), ("k", "ka"), ("s", "sa"), ("g", "ga"), ("g", "ja"), ("j", "ja"), ("i", "i"), ("y", "i"), ("y", "ya")], "char string, syllable string")
-    names = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 4)).alias("text")).unionByName(table(spark, d, "part").select(F.lower(F.substring("p_type", 1, 4)).alias("text")).distinct())
+    """Short words spelled by letters, some of which have two sounds."""
+    table_ = spark.createDataFrame([("c", "ka"), ("c", "sa"), ("k", "ka"), ("s", "sa"), ("g", "ga"), ("g", "ja"), ("j", "ja"), ("i", "i"), ("y", "i"), ("y", "ya"), ("d", "ta"), ("t", "ta"), ("e", "e"), ("a", "e")], "char string, syllable string")
+    names = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("text")).where("length(text) between 3 and 5")
     return sounds.sounded(names.distinct().select(F.xxhash64("text").alias("id"), "text"), table_)
 
 
