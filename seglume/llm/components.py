@@ -14,19 +14,22 @@ def connected(nodes: DataFrame, links: DataFrame, label: str, most_rounds: int =
     smallest of them (small star), until nothing moves: about log2 of the longest chain. A round aggregates with
     map-side partial minima and joins on the node; the links' number never grows.
     """
+    def mark(x: DataFrame):
+        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     pairs = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    before = mark(pairs)
     for _ in range(most_rounds):
-        if pairs.isEmpty():
+        if not before[0]:
             break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        moved = stage(rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (pairs, moved)]
-        pairs = moved
-        if sums[0] == sums[1]:
+        pairs = stage(rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        last, before = before, mark(pairs)  # each round's rows are counted once
+        if last == before:
             break
     else:
         raise RuntimeError(f"components of {label} did not settle in {most_rounds} rounds")

@@ -14,8 +14,8 @@ copies does not become all its pairs, and no link that connects different labels
 ``keep_one`` is the stage of a pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
 are near copies. At that similarity fingerprints differ by some 10 bits of 64 (measured: 4 bits or fewer for none of 259
 pairs between 0.80 and 0.85), and deletion variants that reach so far would need several hundred rows a text. So beside
-the variants, bands of minima of the same shingle hashes give candidates; a byte of each minimum drops those that are far
-from it, and the sets themselves decide on all others.
+the variants, bands of minima of the same shingle hashes bring classes together: each with the hub of its buckets first,
+then those that still differ by the prefixes of their sets (rarest shingles first), and the sets themselves decide.
 
 Nulls: a null text counts as empty; its fingerprint is zero and links like any other. A null id takes part, but never
 names a component of which another member has an id. Repeated rows stay. An empty table gives no rows. Other columns
@@ -297,20 +297,48 @@ def _first_pairs(nodes: DataFrame, buckets: DataFrame, p: CopyParams) -> DataFra
     return stars.unionByName(same).unionByName(near.select(F.greatest("ca", "cb").alias("b"), F.least("ca", "cb").alias("a")))
 
 
-def _other_pairs(labelled: DataFrame, buckets: DataFrame, p: CopyParams) -> DataFrame:
-    """All pairs of classes with different labels that share a bucket or have linked fingerprints. In a bucket, the
-    classes with its most frequent label stand on one side only: a dense group costs nothing but where others are."""
-    mixed = buckets.join(labelled.select("class", "label"), "class")
-    counts = mixed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("m.label").alias("main"))
-    rows = mixed.join(main, "bucket")
-    few = rows.where("label <> main").select("bucket", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"), "main")
-    every = rows.select("bucket", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    shared = few.join(every, "bucket").where("l_a <> l_b and (l_b = main or a < b)").where(_sizes_allow("n_a", "n_b", p)).select("a", "b")
+def _prefixes(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, p: CopyParams) -> DataFrame:
+    """token, id, class, label, n, at, own for the shingles with which each of the classes ``mixed`` begins when its own
+    are sorted by how many of the classes have them: of two sets that are similar enough the first common shingle is in
+    the prefix of both, and among the ``own`` rows of the one that is not larger. What a class has alone sorts first, so
+    copies with changes of their own too many to be similar have no common row, however many they are."""
+    named = nodes.join(mixed, "class", "left_semi").select("class", F.col("key").alias("_key"))
+    found = texts.join(named, texts["key"] == named["_key"]).dropDuplicates(["class"]).select("class", "text")
+    sets = map_texts(found, _copy_sets(p), "class binary, shingles array<long>").join(mixed, "class").withColumn("id", F.monotonically_increasing_id())
+    sets = stage(sets.select("id", "class", "label", F.size("shingles").alias("n"), "shingles"), "simhash-mixed")
+    tokens = sets.select("id", F.explode("shingles").alias("token")).repartition("token")
+    common = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token")
+    order = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("order"))
+    out = sets.drop("shingles").join(order, "id").select("id", "class", "label", "n", F.size("order").alias("k"), F.posexplode("order").alias("i", "t"))
+    out = out.select(F.col("t.token").alias("token"), "id", "class", "label", "n", (F.col("n") - F.col("k") + F.col("i")).alias("at"))
+    first = lambda share: F.col("at") <= F.col("n") - F.ceil(share * F.col("n") - 1e-6)
+    return out.where(first(p.similarity)).withColumn("own", first(2 * p.similarity / (1 + p.similarity)))
+
+
+def _other_pairs(labelled: DataFrame, buckets: DataFrame, nodes: DataFrame, texts: DataFrame, p: CopyParams) -> DataFrame:
+    """All pairs of classes with different labels that may be similar, among the classes that share a bucket with another
+    label, and those with linked fingerprints. Shared prefixes stand for the buckets here: no such pair is lost, and a
+    group that is not similar makes no pairs. Of a prefix's shingle, the classes with its most frequent label stand on one
+    side only: a dense group costs nothing but where others are."""
+    met = buckets.join(labelled.select("class", "label"), "class")
+    several = met.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("last")).where("one <> last").select("bucket")
+    mixed = stage(met.join(several, "bucket", "left_semi").select("class", "label").distinct(), "simhash-met")
+    rows = stage(_prefixes(mixed, nodes, texts, p), "simhash-prefixes")
+    counts = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("m.label").alias("main"))
+    here = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "class", "label", "n", "at", "own")]
+    few = rows.join(main, "token").where("label <> main").select("token", "main", *here("a"))
+    every = rows.join(main.select("token"), "token", "left_semi").select("token", *here("b"))
+    once = "label_a <> label_b and (label_b = main or id_a < id_b)"
+    smaller = F.expr("(own_a and (n_a < n_b or (n_a = n_b and id_a < id_b))) or (own_b and (n_b < n_a or (n_a = n_b and id_b < id_a)))")
+    # what is left of both sets from here on bounds what they have in common
+    enough = F.expr("least(n_a - at_a, n_b - at_b)") >= p.similarity / (1 + p.similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    shared = few.join(every, "token").where(once).where(smaller & enough).where(_sizes_allow("n_a", "n_b", p))
+    shared = shared.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
     by = labelled.select("fp", "label").distinct()
     found = links(by, by.count() >= PARTS_FROM).distinct()
     side = lambda x: labelled.select(F.col("fp").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"l_{x}"))
-    linked = found.join(side("a"), "a").join(side("b"), "b").where("l_a <> l_b").where(_sizes_allow("n_a", "n_b", p)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    linked = found.join(side("a"), "a").join(side("b"), "b").where("l_a <> l_b").where(_sizes_allow("n_a", "n_b", p)).select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
     return shared.unionByName(linked)
 
 
@@ -330,7 +358,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     first = stage(_alike(_first_pairs(nodes, buckets, p), nodes, keyed, p), "simhash-first")
     labels = connected(nodes.select(F.col("class").alias("node")), first, "simhash-groups")
     labelled = stage(nodes.join(labels.withColumnRenamed("node", "class"), "class").select("class", "rep", "fp", "n", "label"), "simhash-labels")
-    more = _alike(_other_pairs(labelled, buckets, p), nodes, keyed, p)
+    more = _alike(_other_pairs(labelled, buckets, nodes, keyed, p), nodes, keyed, p)
     by = labelled.select("class", "label")
     met = more.join(by.select(F.col("class").alias("a"), F.col("label").alias("la")), "a").join(by.select(F.col("class").alias("b"), F.col("label").alias("lb")), "b")
     last = connected(by.select(F.col("label").alias("node")).distinct(), met.select(F.col("la").alias("a"), F.col("lb").alias("b")), "simhash-links")

@@ -168,3 +168,29 @@ def test_sketches_keep_the_pairs_of_copies_and_drop_others(spark):
     near = [k for j, k in kept if 0.75 <= j <= 0.9]
     far = [k for j, k in kept if j < 0.5]
     assert len(near) > 100 and np.mean(near) >= 0.99 and len(far) > 100 and not any(far)
+
+
+def test_copies_that_are_not_similar_make_no_pairs(spark, monkeypatch):
+    """A large group of copies with changes of their own, each some 0.7 like the next: shared buckets alone made nearly all
+    pairs of them, of which none is similar. What is similar among them is found all the same."""
+    rng, seen = random.Random(3), []
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for k in range(3):
+            copy[20 + 40 * k + rng.randrange(12)] = f"new{i}x{k}"
+        texts.append(" ".join(copy))
+        if i % 10 == 0:  # one word more at the end
+            texts.append(" ".join([*copy, "more"]))
+    alike = simhash._alike
+
+    def counted(pairs, *rest):
+        seen.append(pairs.distinct().count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    data = [(i, t, "", 0, "") for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect())
+    assert got == sorted(set(similar_groups(texts)))
+    assert len(got) == 150 and seen[1] < 10 * len(texts)
