@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words are counted over the whole table (``bins`` numbers in the end).
-2. The latent space: passages of 64 words, of documents (drawn by a hash of the text, about ``fit_passages`` of them in
-   all) and of the benchmark, are the rows of one TF-IDF table. Its leading ``rank`` right singular vectors come from a
-   distributed randomised SVD: a seeded random projection, two power iterations and the small problem at the end are each
-   one pass over the table, in which every task multiplies its rows and the products (bins x rank) are added up; only
-   they reach the driver. Words that stand in the same passages get alike vectors there, so a passage in other words is
+2. The latent space: passages of 64 words, of all documents and of the benchmark, are the rows of one TF-IDF table. Its
+   leading ``rank`` right singular vectors come from a distributed randomised SVD: power iterations, in which every task
+   multiplies its rows and the products (bins x rank) are added up; only they reach the driver. The first iterations, from
+   a seeded random projection, need not see all rows (about ``fit_passages``, drawn by a hash of the text, and as many of
+   the benchmark): they say where the last one begins, which goes over all rows and gives the vectors. Words that stand in the same passages get alike vectors there, so a passage in other words is
    near the item that it paraphrases. Every row of the table is searched in that space.
 3. Benchmark items are cut into passages of at most 64 words and dealt to blocks of about ``block`` passages. All
    documents are cut into overlapping windows of 16, 32 and 64 words, folded into the latent space, and compared by
@@ -54,7 +54,7 @@ class LeakParams:
     block: int = 256
     rank: int = 48
     oversample: int = 8
-    #: The space is fitted on about so many passages of documents, and of the benchmark; all rows are searched in it.
+    #: The fit over all rows begins where one over about so many passages of documents, and of the benchmark, ended.
     fit_passages: int = 20_000
     fit_tasks: int = 4
     cosine: float = 0.9
@@ -118,27 +118,33 @@ def _bins(h: np.ndarray, p: LeakParams) -> np.ndarray:
     return (h % np.uint64(p.bins)).astype(np.int64)
 
 
+def _passage_rows(raw: np.ndarray, offs: np.ndarray, idf: np.ndarray, p: LeakParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins, weights, sizes): the TF-IDF rows of length one of the passages of a slice's texts, one after another."""
+    h, first = _words(raw, offs)
+    n = np.diff(first)
+    place = np.arange(len(h)) - np.repeat(first[:-1], n)
+    row = np.repeat(np.cumsum(-(-n // SCALES[-1])) + n // -SCALES[-1], n) + place // SCALES[-1]
+    key, times = np.unique(row * p.bins + _bins(h, p), return_counts=True)
+    bin_, row = key % p.bins, key // p.bins
+    w = times * idf[bin_]
+    on = w > 0
+    bin_, row, w = bin_[on], row[on], w[on]
+    starts = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(row)))
+    length = np.sqrt(np.add.reduceat(w**2, starts)) if len(row) else np.zeros(0)
+    return bin_.astype(np.int32), (w / np.repeat(length, sizes)).astype(np.float32), sizes
+
+
 def _fit_rows(idf: np.ndarray, p: LeakParams):
-    """The TF-IDF rows of length one of a text's passages, as (bins, weights)."""
+    """The TF-IDF rows of a text's passages, as (bins, weights)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, weights, ends = [], [], [0]
-            for a, b, raw, offs in slices(batch.column(0)):
-                h, first = _words(raw, offs)
-                n = np.diff(first)
-                place = np.arange(len(h)) - np.repeat(first[:-1], n)
-                row = np.repeat(np.cumsum(-(-n // SCALES[-1])) + n // -SCALES[-1], n) + place // SCALES[-1]
-                key, times = np.unique(row * p.bins + _bins(h, p), return_counts=True)
-                bin_, row = key % p.bins, key // p.bins
-                w = times * idf[bin_]
-                on = w > 0
-                bin_, row, w = bin_[on], row[on], w[on]
-                starts = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(starts, len(row)))
-                length = np.sqrt(np.add.reduceat(w**2, starts)) if len(row) else np.zeros(0)
-                bins.append(bin_.astype(np.int32))
-                weights.append((w / np.repeat(length, sizes)).astype(np.float32))
+            for _, _, raw, offs in slices(batch.column(0)):
+                own, w, sizes = _passage_rows(raw, offs, idf, p)
+                bins.append(own)
+                weights.append(w)
                 ends.extend((ends[-1] + np.cumsum(sizes)).tolist())
             flat = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((bins, np.int32), (weights, np.float32))]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat], names=["bins", "weights"])
@@ -146,6 +152,30 @@ def _fit_rows(idf: np.ndarray, p: LeakParams):
     return run
 
 
+#: Rows that ``_whole`` multiplies at once, by the bins that they have.
+_ROWS = 64
+
+
+def _whole(q: np.ndarray, idf: np.ndarray, p: LeakParams):
+    """As ``_product``, of the texts themselves: no table of all passages is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(q.shape, np.float32)
+        for batch in batches:
+            for _, _, raw, offs in slices(batch.column(0)):
+                bins, weights, sizes = _passage_rows(raw, offs, idf, p)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for i in range(0, len(sizes), _ROWS):
+                    x, y = ends[i], ends[min(i + _ROWS, len(sizes))]
+                    own, at = np.unique(bins[x:y], return_inverse=True)
+                    rows = np.zeros((min(_ROWS, len(sizes) - i), len(own)), np.float32)
+                    rows[np.repeat(np.arange(len(rows)), sizes[i : i + _ROWS]), at] = weights[x:y]
+                    total[own] += rows.T @ (rows @ q[own])
+        yield _chunks(total)
+
+    return run
+
+
 _CHUNK = 4096
 
 
@@ -167,36 +197,61 @@ def _product(q: np.ndarray):
                 order = np.argsort(bins, kind="stable")
                 heads = np.flatnonzero(np.diff(bins[order], prepend=-1))
                 total[bins[order][heads]] += np.add.reduceat(y[row[order]] * weights[order, None], heads, axis=0)
-        parts = range(0, len(total), _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(parts))], pa.int32()), pa.array([total[i : i + _CHUNK].tobytes() for i in parts], pa.binary())], names=["chunk", "data"])
+        yield _chunks(total)
 
     return run
 
 
+def _chunks(total: np.ndarray) -> pa.RecordBatch:
+    parts = range(0, len(total), _CHUNK)
+    return pa.RecordBatch.from_arrays([pa.array([*range(len(parts))], pa.int32()), pa.array([total[i : i + _CHUNK].tobytes() for i in parts], pa.binary())], names=["chunk", "data"])
+
+
 def _added(table: pa.Table) -> pa.Table:
     data = sum(np.frombuffer(x.as_buffer(), np.float32) for x in table.column("data"))
     return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
 
-def latent_space(rows: DataFrame, params: LeakParams = LeakParams()) -> np.ndarray:
-    """(bins, rank): the leading right singular vectors of the table of TF-IDF rows, by a randomised SVD in three passes."""
-    p = params
+def _sum(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    for chunk, data in parts.groupBy("chunk").applyInArrow(_added, "chunk int, data binary").collect():
+        own = np.frombuffer(bytes(data), np.float32).reshape(-1, shape[1])
+        out[chunk * _CHUNK : chunk * _CHUNK + len(own)] = own
+    return out
 
-    def times(q: np.ndarray) -> np.ndarray:
-        parts = rows.mapInArrow(_product(q), "chunk int, data binary").groupBy("chunk").applyInArrow(_added, "chunk int, data binary").collect()
-        out = np.zeros(q.shape)
-        for chunk, data in parts:
-            own = np.frombuffer(bytes(data), np.float32).reshape(-1, q.shape[1])
-            out[chunk * _CHUNK : chunk * _CHUNK + len(own)] = own
-        return out
 
+def _leading(rows: DataFrame, p: LeakParams) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, values): the leading right singular vectors of a table of TF-IDF rows, ``oversample`` more than the rank,
+    and the squares of their values, by a randomised SVD in three passes."""
+    times = lambda q: _sum(rows.mapInArrow(_product(q), "chunk int, data binary"), q.shape)
     q = np.random.default_rng(p.seed).standard_normal((p.bins, min(p.rank + p.oversample, p.bins))).astype(np.float32)
     for _ in range(2):
         q = np.linalg.qr(times(q))[0].astype(np.float32)
     small = q.T @ times(q)
     value, vector = np.linalg.eigh((small + small.T) / 2)
-    keep = np.argsort(-value)[: p.rank]
-    return (q @ vector[:, keep] * (value[keep] > 1e-6)).astype(np.float32)
+    order = np.argsort(-value)
+    return (q @ vector[:, order]).astype(np.float32), value[order]
+
+
+def latent_space(rows: DataFrame, params: LeakParams = LeakParams()) -> np.ndarray:
+    """(bins, rank): the leading right singular vectors of the table of TF-IDF rows."""
+    vectors, value = _leading(rows, params)
+    return (vectors * (value > 1e-6))[:, : params.rank].astype(np.float32)
+
+
+def whole_space(texts: DataFrame, start: np.ndarray, idf: np.ndarray, params: LeakParams = LeakParams()) -> np.ndarray:
+    """(bins, rank): the leading right singular vectors of the TF-IDF rows of all passages of ``texts``, from the product
+    of all of them with the orthonormal columns ``start`` (one more power iteration, and the small problem of Nystroem)."""
+    p = params
+    z = _sum(map_texts(texts.select("text"), _whole(start, idf, p), "chunk int, data binary"), start.shape)
+    small = start.T.astype(np.float64) @ z
+    value, vector = np.linalg.eigh((small + small.T) / 2)
+    on = value > max(1e-6, 1e-7 * value.max(initial=0))
+    u, s, _ = np.linalg.svd(z @ (vector[:, on] / np.sqrt(value[on])), full_matrices=False)
+    out = np.zeros((p.bins, p.rank), np.float32)
+    n = min(p.rank, int((s**2 > 1e-6).sum()))
+    out[:, :n] = u[:, :n]
+    return out
 
 
 # ---- the benchmark's passages
@@ -285,12 +340,18 @@ class Search:
         self.known[(self.words >> np.uint64(46)).astype(np.int64)] = True
         self.need = np.where(lengths < self.p.least_words, lengths, np.ceil(self.p.loose * lengths - 1e-9)).astype(np.int64)
         self.repeats = [2 * len(np.unique(h)) < len(h) for _, h in b.passages]
-        self.classes = []  # (size, passages, how often each word is in each of them)
+        self.placed = np.array(self.repeats) | (lengths < self.p.least_words)  # these must agree place by place
+        # (size, passages, the words in any of them, which of them have each word, as often as they do: heads by word, passages)
+        self.classes = []
         # which words each passage has, its weight, and what of a stretch must be in it
         self.has = np.zeros((len(lengths), len(self.words)), bool)
         for i, (_, h) in enumerate(b.passages):
             self.has[i, np.searchsorted(self.words, h)] = True
+        own = [(i * len(self.words) + int(np.searchsorted(self.words, np.uint64(w))), mask) for i, m in enumerate(self.masks) for w, mask in m.items()]
+        own = np.array(sorted(own), np.uint64)
+        self.bits = own[:, 0].astype(np.int64), own[:, 1].copy()  # by passage and word, where in the passage it stands
         self.weight = self.idf[_bins(self.words, self.p)]
+        self.weighted = self.space * self.idf[:, None]
         self.total = np.array([self.weight[np.searchsorted(self.words, h)].sum() for _, h in b.passages])
         self.lengths = lengths
         size = np.array(SIZES)[np.searchsorted(SIZES, lengths)]
@@ -299,7 +360,9 @@ class Search:
             counts = np.zeros((len(self.words), len(mine)), np.uint8)
             for k, i in enumerate(mine.tolist()):
                 np.add.at(counts[:, k], np.searchsorted(self.words, b.passages[i][1]), 1)
-            self.classes.append((s, mine, counts))
+            w, c = np.nonzero(counts)
+            w, c = np.repeat(w, counts[w, c]), np.repeat(c, counts[w, c])
+            self.classes.append((s, mine, counts.any(axis=1), (np.searchsorted(w, np.arange(len(self.words) + 1)), c)))
 
     def looked_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that any passage has, and which words they are."""
@@ -321,30 +384,29 @@ class Search:
         before = np.full(len(at), -1)
         again = key[order[1:]] == key[order[:-1]]
         before[order[1:][again]] = at[order[:-1][again]]
-        for size, mine, counts in self.classes:
-            used = counts.any(axis=1)[word]
-            here, what, last = at[used], word[used], before[used]
+        for size, mine, used, (heads, of_passage) in self.classes:
+            mark = used[word]
+            here, what, last = at[mark], word[mark], before[mark]
             need, step = self.need[mine], size // 4
-            least = need.min()
             k = -(-n // step)
             of = np.repeat(np.arange(len(n)), k)
             start = first[:-1][of] + (np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)) * step
             end = np.minimum(start + size + 2 * (size // 5 + 2) + step, first[1:][of])
-            lo, hi = np.searchsorted(here, start), np.searchsorted(here, end)
-            # a passage with repeated words needs fewer places than words
-            most = counts.max(initial=1)
-            go = np.flatnonzero((hi - lo) * int(most) >= least)
-            go = go[hi[go] > lo[go]]
-            for i in range(0, len(go), 1024):
-                g = go[i : i + 1024]
-                m = hi[g] - lo[g]
-                rows = np.repeat(lo[g] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                window = np.repeat(np.arange(len(g)), m)
-                new = last[rows] < start[g][window]
-                rows, m = rows[new], np.bincount(window[new], minlength=len(g))
-                sums = np.add.reduceat(counts[what[rows]], np.cumsum(m) - m, axis=0, dtype=np.uint8)
-                for r, c in zip(*np.nonzero(sums >= need)):
-                    out.append((int(of[g[r]]), int(start[g[r]]), int(end[g[r]]), int(mine[c])))
+            # the windows that count a place: those it is in, but for those with its word before; starts and ends ascend
+            enter = np.maximum(np.searchsorted(end, here, "right"), np.searchsorted(start, last, "right"))
+            leave = np.maximum(np.searchsorted(start, here, "right"), enter)
+            for i in range(0, len(start), 8192):
+                size_ = min(8192, len(start) - i)
+                x, y = np.searchsorted(here, start[i]), np.searchsorted(here, end[i + size_ - 1])
+                w = what[x:y]
+                m = heads[w + 1] - heads[w]
+                each = np.repeat(heads[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                col = of_passage[each]
+                # what a window counts is what enters up to it less what has left
+                cells = [np.bincount(np.repeat(np.clip(v[x:y] - i, 0, size_) * len(mine), m) + col, minlength=(size_ + 1) * len(mine)) for v in (enter, leave)]
+                sums = np.cumsum((cells[0] - cells[1]).reshape(-1, len(mine))[:size_], axis=0)
+                for r, c in zip(*(v.tolist() for v in np.nonzero(sums >= need))):
+                    out.append((int(of[i + r]), int(start[i + r]), int(end[i + r]), int(mine[c])))
         return out
 
     def cosine(self, h: np.ndarray, passage: int) -> float:
@@ -381,8 +443,12 @@ class Search:
         begin = first[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)) * step
         sums = np.zeros((len(text) + 1, self.space.shape[1]))
         if len(text):
-            at = _bins(h, self.p)
-            np.cumsum(np.add.reduceat(self.space[at] * self.idf[at, None], begin, axis=0), axis=0, out=sums[1:])
+            at, until = _bins(h, self.p), np.minimum(begin + step, first[1:][text])
+            own = self.weighted[at[begin]]
+            for j in range(1, step):
+                there = np.flatnonzero(begin + j < until)
+                own[there] += self.weighted[at[begin[there] + j]]
+            np.cumsum(own, axis=0, out=sums[1:])
         return sums, text, begin
 
     def candidates(self, first: np.ndarray, at: np.ndarray, word: np.ndarray, folds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, float]]:
@@ -422,6 +488,29 @@ class Search:
                         out.append((int(text[w[r[x]]]), int(start[x]), int(mine[c[x]]), float(cos[r[x], c[x]])))
         return out
 
+    def longest(self, at: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """``lcs`` of many stretches, each with its passage, at once: a word of each after another."""
+        out = np.zeros(len(passage), np.int64)
+        for i in range(0, len(passage), 2048):
+            k = slice(i, i + 2048)
+            lo, hi = np.searchsorted(at, start[k]), np.searchsorted(at, end[k])
+            m = hi - lo
+            rows = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            of = np.repeat(np.arange(len(m)), m)
+            key = word[rows]
+            on = self.has[passage[k][of], key]
+            of, key = of[on], passage[k][of[on]] * len(self.words) + key[on]
+            m = np.bincount(of, minlength=len(lo))
+            masks = np.zeros((m.max(initial=0), len(lo)), np.uint64)
+            masks[np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m), of] = self.bits[1][np.searchsorted(self.bits[0], key)]
+            v = np.full(len(lo), 2**64 - 1, np.uint64)
+            for row in masks:
+                u = v & row
+                v = (v + u) | (v - u)
+            n = self.lengths[passage[k]]
+            out[k] = n - np.bitwise_count(v & np.uint64(2**64 - 1) >> (64 - n).astype(np.uint64))
+        return out
+
     def told(self, h: np.ndarray, passage: int) -> float:
         """The share of a passage's weight on words that are in a stretch."""
         own = self.basis.passages[passage][1]
@@ -433,13 +522,11 @@ class Search:
         words_ = self.basis.passages[passage][1]
         n = len(words_)
         lo, hi = max(a, start - n), min(b, start + int(self.basis.scale[passage]) + n)
-        if n < self.p.least_words or self.repeats[passage]:
+        if self.placed[passage]:
             share, answer, x, y = self.in_place(h[lo:hi], passage)
             return share, answer, lo + x - a, lo + y - a
         masks, places, p = self.masks[passage], self.places[passage], self.p
         region = h[lo:hi].tolist()
-        if lcs(masks, n, region) < p.told * n - 1e-9:
-            return 0.0, 0.0, 0, 0
         votes: dict[int, int] = {}
         held = np.zeros(len(region) + 1, np.int64)
         for j, w in enumerate(region):
@@ -447,6 +534,7 @@ class Search:
                 votes[j - i] = votes.get(j - i, 0) + 1
             held[j + 1] = w in places
         held = np.cumsum(held)
+        kept = [w for w in region if w in places]
         slack, tail = n // 5 + 2, max(3, n // 5)
         # no stretch has a longer common subsequence than it has words of the passage
         offsets = np.arange(-n, len(region) + 1)
@@ -456,7 +544,7 @@ class Search:
         for k in np.lexsort((offsets, -np.array([votes.get(o, 0) for o in offsets.tolist()]), -most)).tolist():
             if most[k] < max(top[0], p.told * n - 1e-9):
                 break
-            same = lcs(masks, n, region[x[k] : y[k]])
+            same = lcs(masks, n, kept[held[x[k]] : held[y[k]]])
             own = (same, votes.get(int(offsets[k]), 0))
             if own > top:
                 top, best = own, (same / n, 0.0, int(x[k]), int(y[k]))
@@ -474,11 +562,16 @@ class Search:
         found, done = {}, {}
         at, word = self.looked_up(h)
         tried: list = self.candidates(first, at, word, self.folded(h, first))
-        for text, start, end, passage in self.counted(h, first, at, word):
-            n = len(self.basis.passages[passage][1])
+        counted = self.counted(h, first, at, word)
+        if counted:
+            _, start, end, passage = np.array(counted).T
             # no stretch in the window has a longer common subsequence than the window
-            if lcs(self.masks[passage], n, h[start:end].tolist()) >= self.need[passage]:
-                tried.append((text, start, passage, None))
+            tried += [(*counted[i][:2], counted[i][3], None) for i in np.flatnonzero(self.longest(at, word, start, end, passage) >= self.need[passage]).tolist()]
+        if tried:
+            text, start, passage = np.array([x[:3] for x in tried]).T
+            n = self.lengths[passage]
+            same = self.longest(at, word, np.maximum(first[text], start - n), np.minimum(first[text + 1], start + self.basis.scale[passage] + n), passage)
+            tried = [tried[i] for i in np.flatnonzero(self.placed[passage] | (same >= p.told * n - 1e-9)).tolist()]
         for text, start, passage, cos in tried:
             a = int(first[text])
             share, answer, x, y = self.verify(h, a, int(first[text + 1]), start, passage)
@@ -516,7 +609,10 @@ def _found(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
         return spark.createDataFrame([], schema)
     drawn = lambda rows, k: rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-k // p.fit_passages)))) == 0).select("text")
     sample = drawn(texts, n).unionByName(drawn(items, count)).repartition(p.fit_tasks, F.xxhash64("text"))
-    space = latent_space(stage(map_texts(sample, _fit_rows(idf, p), "bins array<int>, weights array<float>"), "leak-fit"), p)
+    start, value = _leading(stage(map_texts(sample, _fit_rows(idf, p), "bins array<int>, weights array<float>"), "leak-fit"), p)
+    # what the start has no direction for begins anywhere
+    start = np.where(value > 1e-6, start, np.random.default_rng(p.seed).standard_normal(start.shape))
+    space = whole_space(texts.select("text").unionByName(items.select("text")), np.linalg.qr(start)[0].astype(np.float32), idf, p)
     blocks = max(1, -(-count // p.block))
     passages = passages.withColumn("block", F.pmod(F.xxhash64("item", "part", "words"), F.lit(blocks)))
     fitted = stage(passages.groupBy("block").applyInArrow(_fit(idf, space, p), "block long, bytes long, basis binary"), "leak-bases")

@@ -196,3 +196,28 @@ def test_repeated_rows_match_each_whatever_the_blocks(spark):
     assert len(want) == 5
     assert ask(leaks.LeakParams(block=4)) == want
     assert ask(leaks.LeakParams(block=4, broadcast_bytes=30_000)) == want
+
+
+def test_the_latent_space_is_of_all_rows_whatever_begins_it(spark, monkeypatch):
+    """Words that none of the rows have with which the fit begins make the leading directions all the same."""
+    rng, p = random.Random(6), leaks.LeakParams(bins=512, rank=4, oversample=4, fit_passages=20)
+    said = lambda t: " ".join(f"{t}{rng.randrange(12)}" for _ in range(64))
+    texts = [said("abcd"[i % 4]) for i in range(400)]
+    idf = np.ones(p.bins, np.float32)
+    rows = [leaks._passage_rows(*buffers(pa.array([t])), idf, p)[:2] for t in texts]
+    table = np.zeros((len(texts), p.bins))
+    for i, (bins, weights) in enumerate(rows):
+        table[i, bins] = weights
+    vectors = np.linalg.svd(table, full_matrices=False)[2][:4]
+    start = np.linalg.qr(np.random.default_rng(1).standard_normal((p.bins, 8)))[0].astype(np.float32)
+    for _ in range(2):
+        start = np.linalg.qr(leaks.whole_space(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), start, idf, leaks.LeakParams(bins=512, rank=8)))[0].astype(np.float32)
+    space = leaks.whole_space(spark.createDataFrame([(t,) for t in texts], "text string"), start, idf, p)
+    assert np.allclose(space.T @ space, np.eye(4), atol=1e-4)
+    assert np.linalg.norm(vectors @ space, axis=1).min() > 0.99
+    # the operator's own space: every text takes part in it
+    seen = []
+    monkeypatch.setattr(leaks, "whole_space", lambda t, *a: seen.append(t.count()) or np.eye(512, 4, dtype=np.float32))
+    docs = spark.createDataFrame([(i, t, 0, 0, 0.0) for i, t in enumerate(texts)], DOCS)
+    leaks.matches(docs, spark.createDataFrame([(1, texts[0])], "item_id long, text string"), params=p).count()
+    assert seen == [401]
