@@ -5,9 +5,10 @@
    of all units that stand next to it, over every document of the table. Tasks emit one partial sum a bin, so what is
    gathered is bins x dims numbers, whatever the table's size.
 2. A document is pooled from its units' vectors (``pool``); a text without units is all zeros.
-3. The network (tanh layer, logistic output) learns on at most ``max_train`` labelled documents, the first in the order
-   of a hash of the id, never one of the held-out third. A fifth of them is left out of the fit and sets the
-   temperature that calibrates the probabilities.
+3. The network (tanh layer, logistic output) learns on every labelled document, never one of the held-out third. Their
+   pooled rows go into blocks of about ``block_rows``, and each step of L-BFGS asks all blocks for their part of the loss
+   and of its gradient; parts are added as whole numbers, so that no order of tasks changes the sum. A fifth of the rows
+   (by a hash of the id) is left out of the fit and sets the temperature that calibrates the probabilities.
 
 Scores use nothing but the text. Nulls: a null text is empty and is scored; a null id is never labelled; labels that
 are null are ignored, and of several labels of a document the mean counts. Without labels every score is 0.5. Repeated
@@ -24,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seglume.llm.textbytes import SPACE, Words, hashes, map_texts, slices
+from seglume.storage import stage
 
 
 @dataclass(frozen=True)
 class QualityParams:
     bins: int = 4096
     dims: int = 32
-    max_train: int = 8000
+    block_rows: int = 4096
     hidden: int = 24
-    epochs: int = 300
-    rate: float = 0.01
+    #: Most steps of the fit; it ends earlier where a step gains less than ``gain`` of the loss.
+    steps: int = 60
+    gain: float = 1e-4
+    memory: int = 10
     decay: float = 1e-4
     seed: int = 7
 
@@ -147,35 +151,107 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, p: QualityParams = QualityParams()) -> Network:
-    """Rows in a fixed order; every fifth sets the temperature, the rest the weights."""
-    x, y = x.astype(np.float64), y.astype(np.float64)
+def _totals(blocks: DataFrame, part, size: int) -> np.ndarray:
+    """The sums over all rows of ``part(x, y, left_out)``, which gives ``size`` sums of a block's rows, each a share of a
+    mean. They are added as whole numbers of 2 ** -46, so any order gives the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                marks = np.frombuffer(y.as_buffer(), np.uint8)
+                rows = np.frombuffer(x.as_buffer(), "<f4").reshape(len(marks), -1).astype(np.float64)
+                total += np.rint(part(rows, (marks & 1).astype(np.float64), marks > 1) * 2.0**46).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "v"])
+
+    out = np.zeros(size)
+    for i, v in blocks.select("x", "y").mapInArrow(run, "i int, v long").groupBy("i").agg(F.sum("v")).collect():
+        out[i] = v / 2.0**46
+    return out
+
+
+def _shapes(d: int, p: QualityParams) -> list[tuple[int, ...]]:
+    return [(d, p.hidden), (p.hidden,), (p.hidden,), (1,)]
+
+
+def _parts(flat: np.ndarray, d: int, p: QualityParams) -> list[np.ndarray]:
+    shapes = _shapes(d, p)
+    return [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes)]
+
+
+def _lbfgs(loss, at: np.ndarray, p: QualityParams) -> np.ndarray:
+    """Where ``loss`` (which gives value and gradient) is least, by steps along the gradient as the last ``memory`` steps
+    have bent it, each halved until it gains."""
+    value, slope = loss(at)
+    moved: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(p.steps):
+        way, shares = -slope, []
+        for s, y in reversed(moved):
+            shares.append(s @ way / (s @ y))
+            way = way - shares[-1] * y
+        if moved:
+            s, y = moved[-1]
+            way = way * (s @ y) / (y @ y)
+        for (s, y), share in zip(moved, reversed(shares)):
+            way = way + (share - y @ way / (s @ y)) * s
+        down, step = slope @ way, 1.0 if moved else min(1.0, 1 / max(1e-12, float(np.linalg.norm(slope))))
+        if down >= 0:
+            break
+        for _ in range(20):
+            after, new = loss(at + step * way)
+            if after <= value + 1e-4 * step * down:
+                break
+            step /= 2
+        else:
+            break
+        s, y = step * way, new - slope
+        if s @ y > 1e-12 * float(y @ y):
+            moved = [*moved, (s, y)][-p.memory :]
+        gained = value - after
+        at, value, slope = at + s, after, new
+        if gained < p.gain * max(value, 1e-3):
+            break
+    return at
+
+
+def fit(blocks: DataFrame, n: int, left_out: int, p: QualityParams = QualityParams()) -> Network:
+    """Of ``n`` rows in blocks, ``left_out`` of them set the temperature, the rest the weights."""
+    d = width(p)
     rng = np.random.default_rng(p.seed)
-    d = x.shape[1]
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(d), np.ones(d))
-    params = [rng.normal(0, d**-0.5, (d, p.hidden)), np.zeros(p.hidden), rng.normal(0, p.hidden**-0.5, p.hidden), np.zeros(1)]
-    if not len(x):
-        return Network(mean, scale, params[0], params[1], params[2] * 0, 0.0, 1.0)
-    z = (x - mean) / scale
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    a, t = z[~held], y[~held]
-    m, v = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
-    for step in range(1, p.epochs + 1):
-        hidden = np.tanh(a @ params[0] + params[1])
-        err = (1 / (1 + np.exp(-np.clip(hidden @ params[2] + params[3], -30, 30))) - t) / len(t)
-        down = err[:, None] * params[2] * (1 - hidden**2)
-        grads = [a.T @ down + p.decay * params[0], down.sum(axis=0), hidden.T @ err + p.decay * params[2], np.array([err.sum()])]
-        for i, g in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            params[i] = params[i] - p.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    net = Network(mean, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
-    if not held.any():
+    start = [rng.normal(0, d**-0.5, (d, p.hidden)), np.zeros(p.hidden), rng.normal(0, p.hidden**-0.5, p.hidden), np.zeros(1)]
+    if not n:
+        return Network(np.zeros(d), np.ones(d), start[0], start[1], start[2] * 0, 0.0, 1.0)
+    mean = _totals(blocks, lambda x, y, out: x.sum(axis=0) / n, d)
+    scale = np.sqrt(_totals(blocks, lambda x, y, out: ((x - mean) ** 2).sum(axis=0) / n, d)) + 1e-3
+    used = n - left_out
+
+    def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        w1, b1, w2, b2 = _parts(flat, d, p)
+
+        def part(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
+            a, t = ((x - mean) / scale)[~out], y[~out]
+            hidden = np.tanh(a @ w1 + b1)
+            logit = hidden @ w2 + b2
+            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - t) / used
+            down = err[:, None] * w2 * (1 - hidden**2)
+            return np.concatenate([(a.T @ down).ravel(), down.sum(axis=0), hidden.T @ err, [err.sum()], [np.logaddexp(0, np.where(t > 0.5, -logit, logit)).sum() / used]])
+
+        total = _totals(blocks, part, len(flat) + 1)
+        shrunk = np.concatenate([w1.ravel(), b1 * 0, w2, b2 * 0])
+        return float(total[-1] + p.decay / 2 * (shrunk @ shrunk)), total[:-1] + p.decay * shrunk
+
+    w1, b1, w2, b2 = _parts(_lbfgs(loss, np.concatenate([x.ravel() for x in start]), p), d, p)
+    net = Network(mean, scale, w1, b1, w2, float(b2[0]), 1.0)
+    if not left_out:
         return net
-    logits, truth = net.logit(x[held]), y[held]
-    loss = lambda temp: np.logaddexp(0, np.where(truth > 0.5, -1, 1) * logits / temp).mean()
-    best = min(np.geomspace(0.25, 8, 101), key=loss)
-    return Network(mean, scale, *params[:3], float(params[3][0]), float(best))
+    tried = np.geomspace(0.25, 8, 101)
+
+    def losses(x: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
+        signed = np.where(y[out] > 0.5, -1, 1) * net.logit(x[out])
+        return np.logaddexp(0, signed / tried[:, None]).sum(axis=1) / left_out
+
+    best = tried[int(np.argmin(_totals(blocks, losses, len(tried))))]
+    return Network(mean, scale, w1, b1, w2, float(b2[0]), float(best))
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -184,23 +260,41 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _block(p: QualityParams):
+    """A row for all rows of a block: their pooled rows, and of each its label and (2) whether it is left out of the fit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        x = b"".join(table.column("x").to_pylist())
+        return pa.table({"x": pa.array([x], pa.binary()), "y": pa.array([table.column("mark").to_numpy().astype(np.uint8).tobytes()], pa.binary())})
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: QualityParams = QualityParams()) -> Network:
+    """Fits the network to every labelled document that is not held out."""
     p = params
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null").where(~held_out("doc_id"))
-    present = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    chosen = known.groupBy("doc_id").agg(F.avg("y").alias("y")).join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_train)
+    known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([pool(raw, offs, vectors, p) for _, _, raw, offs in slices(batch.column(2))] or [np.zeros((0, width(p)), np.float32)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+            x = np.concatenate([pool(raw, offs, vectors, p) for _, _, raw, offs in slices(batch.column(1))] or [np.zeros((0, width(p)), np.float32)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], names=["doc_id", "x"])
 
+    # pooled rows are a small part of their texts, so these meet the labels, not the texts
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = map_texts(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), run, "doc_id long, y double, x array<float>")
-    # of repeated ids the least row counts, so no more rows than ids reach the driver
-    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).collect()
-    sample = sorted(rows, key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id))
-    return fit(np.array([r.x for r in sample], np.float32).reshape(-1, width(p)), np.array([r.y >= 0.5 for r in sample], float), p)
+    pooled = map_texts(texts.where("doc_id is not null").where(~held_out("doc_id")), run, "doc_id long, x binary")
+    # of repeated ids the least row counts
+    rows = stage(pooled.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")), "quality-rows")
+    fifth = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4
+    n, left_out = rows.agg(F.count("*"), F.count_if(fifth)).first()
+    if n < 50:
+        left_out = 0
+    mark = F.col("y") + F.when(fifth & F.lit(left_out > 0), 2).otherwise(0)
+    block = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(p.seed)), F.lit(max(1, -(-n // p.block_rows))))
+    blocks = rows.select("doc_id", "x", mark.alias("mark"), block.alias("block")).groupBy("block").applyInArrow(_block(p), "x binary, y binary")
+    return fit(stage(blocks, "quality-blocks"), n, left_out, p)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: QualityParams = QualityParams()) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from seglume.llm import quality, textbytes
 
@@ -55,3 +56,20 @@ def test_pooled_vectors_equal_plain_ones():
         if n:
             want[:4], want[4:8], want[8:12], want[12] = v.mean(0), (v * v).mean(0), (v[:-1] * v[1:]).sum(0) / n, np.log1p(n)
         assert np.allclose(row, want, atol=1e-5)
+
+
+def test_every_labelled_row_teaches(spark):
+    """What only rows beyond the first 8,000 (by a hash of the id) tell is learnt as well."""
+    rng = random.Random(8)
+    ids = [r.doc_id for r in spark.range(13_500).selectExpr("id as doc_id").orderBy(F.xxhash64("id"), "id").collect()]
+    held = {i for i in ids if zlib.crc32(str(i).encode()) % 3 == 1}
+    early = set([i for i in ids if i not in held][:8000])
+    rows = []
+    for i in ids:
+        good = rng.random() < 0.5
+        words = [rng.choice(["lo", "mi", "ra", "su"]) for _ in range(6)]
+        rows.append((i, " ".join(words if i in early else [*words, *["yes" if good else "no"] * 3]), int(good)))
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality.classify(docs, labels).collect()}
+    assert sum(got[i] == q for i, _, q in rows if i in held) / len(held) > 0.95
