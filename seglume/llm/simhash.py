@@ -164,25 +164,26 @@ def links(labelled: DataFrame, parts: bool = False) -> DataFrame:
 
 
 def _components(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) from (doc_id, fp): the smallest doc_id that links reach, of any type that has an order."""
+    """(fp, component_id) from (doc_id, fp): the smallest doc_id that links reach, of any type that has an order. What grows
+    with the table is joined by sorted partitions, not broadcast through the driver."""
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     first = connected(nodes.select(F.col("fp").alias("node")), chains(nodes), "simhash-chains")
-    labelled = nodes.join(first.withColumnRenamed("node", "fp"), "fp")
+    labelled = nodes.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp")
     labelled = stage(labelled, "simhash-labels")
     # links between the labels of the first grouping, then components of labels
     by = labelled.select("fp", "label")
     found = links(labelled, labelled.count() >= PARTS_FROM)
-    pairs = found.join(by.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a").join(by.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
+    pairs = found.join(by.select(F.col("fp").alias("a"), F.col("label").alias("la")).hint("merge"), "a").join(by.select(F.col("fp").alias("b"), F.col("label").alias("lb")).hint("merge"), "b")
     second = connected(by.select(F.col("label").alias("node")).distinct(), pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")), "simhash-links")
-    classes = labelled.join(second.select(F.col("node").alias("label"), F.col("label").alias("component")), "label")
+    classes = labelled.join(second.select(F.col("node").alias("label"), F.col("label").alias("component")).hint("merge"), "label")
     smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return stage(classes.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "simhash-components")
+    return stage(classes.select("fp", "component").join(smallest.hint("merge"), "component").select("fp", "component_id"), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id that links reach); one row a document."""
     marked = stage(fingerprints(docs, id_col, text_col), "simhash-marks")
-    return marked.join(_components(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(_components(marked).hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- near copies by similarity

@@ -6,6 +6,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 from seglume.llm import simhash
+from seglume.llm.components import connected
 
 DOCS = "doc_id long, text string, fp string, rep int, label string"
 
@@ -194,3 +195,19 @@ def test_copies_that_are_not_similar_make_no_pairs(spark, monkeypatch):
     got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, DOCS)).collect())
     assert got == sorted(set(similar_groups(texts)))
     assert len(got) == 150 and seen[1] < 10 * len(texts)
+
+
+def test_no_join_goes_through_the_driver(spark):
+    """Whatever Spark thinks of the sizes, nothing that grows with the table is broadcast, and few links are one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        docs = spark.createDataFrame([(i, f"w{i // 3} a b c d") for i in range(60)], "doc_id long, text string")
+        plan = simhash.near_duplicates(docs)
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+        links = spark.createDataFrame([(i, i + 1) for i in range(50) if i % 10 < 9], "a long, b long")
+        found = connected(spark.range(60).toDF("node"), links, "test-chain")
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.node: r.label for r in found.collect()} == {i: i // 10 * 10 if i < 50 else i for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
