@@ -67,14 +67,19 @@ def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
 
 def _pairs(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, their pairs, places left out): of a run of one symbol every other pair counts, from its left end."""
-    pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-    again = np.zeros(len(at), bool)
-    again[1:] = (pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)
-    if not again.any():
+    left, right = symbols[at], symbols[at + 1]
+    pair = left.astype(np.uint64) << np.uint64(32) | right
+    twin = np.flatnonzero(left == right)  # only a symbol beside itself can overlap its own pair
+    if not len(twin):
         return at, pair, at[:0]
-    start = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
-    odd = (np.arange(len(at)) - start) % 2 == 1
-    return at[~odd], pair[~odd], at[odd]
+    place = at[twin]
+    again = np.zeros(len(twin), bool)
+    again[1:] = (place[1:] == place[:-1] + 1) & (left[twin[1:]] == left[twin[:-1]])
+    start = np.maximum.accumulate(np.where(again, 0, np.arange(len(twin))))
+    odd = twin[(np.arange(len(twin)) - start) % 2 == 1]
+    keep = np.ones(len(at), bool)
+    keep[odd] = False
+    return at[keep], pair[keep], at[odd]
 
 
 def _frequent(pair: np.ndarray, least: int) -> np.ndarray:
@@ -240,6 +245,7 @@ def read_document(block: Block, i: int) -> np.ndarray:
 # ---- encoding
 
 _INSIDE, _AS_IS = word_mask(SPACE, lower=False)
+_NEAR = 21
 _loaded: dict = {}
 
 
@@ -300,11 +306,19 @@ class Encoder:
         self.tokenizer, self.p = Tokenizer.from_file(p.tokenizer), p
         rules = json.loads(self.tokenizer.to_str())
         self.by_pieces = all(rules.get(k) == v for k, v in PIECE_RULES.items()) and self.tokenizer.token_to_id(p.mark[0]) == p.mark[1]
+        # units that end a word: by them the units of many words in one text come apart without their offsets
+        suffix = rules["model"].get("end_of_word_suffix")
+        units = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max([*units.values(), p.mark[1]], default=0) + 1, bool)
+        self.ends_word[[i for u, i in units.items() if suffix and u.endswith(suffix)]] = True
+        self.by_pieces &= bool(suffix)
         self.specials = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[int, int] = {}
+        #: By the first bits of a key the slot of the last piece that has them, and each slot's key (a hash of 0 is of none).
+        self.near, self.keys = np.zeros(1 << _NEAR, np.int32), np.zeros(self.p.lexicon * 2, np.uint64)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.spelled, self.spent = np.zeros(1 << 20, np.uint8), 0
         self.at, self.size, self.spell_at, self.spell_size = (np.zeros(self.p.lexicon * 2, np.int64) for _ in range(4))
@@ -316,12 +330,14 @@ class Encoder:
         while self.spent + len(letters) > len(self.spelled):
             self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
         while n + more > len(self.at):
-            self.at, self.size, self.spell_at, self.spell_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.spell_at, self.spell_size))
+            self.at, self.size, self.spell_at, self.spell_size, self.keys = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.spell_at, self.spell_size, self.keys))
         self.flat[self.used : self.used + len(ids)] = ids
         self.spelled[self.spent : self.spent + len(letters)] = np.frombuffer(letters, np.uint8)
         own = np.fromiter(map(len, spelled), np.int64, more)
         self.at[n : n + more], self.size[n : n + more] = self.used + np.cumsum(lengths) - lengths, lengths
         self.spell_at[n : n + more], self.spell_size[n : n + more] = self.spent + np.cumsum(own) - own, own
+        self.keys[n : n + more] = own_keys = np.array(keys, np.uint64)
+        self.near[(own_keys >> np.uint64(64 - _NEAR)).astype(np.int64)] = np.arange(n, n + more)
         self.used += len(ids)
         self.spent += len(letters)
         self.slots.update(zip(keys, range(n, n + more)))
@@ -329,19 +345,18 @@ class Encoder:
     def learn(self, keys: list[int], spelled: list[bytes]) -> None:
         """Words of plain Latin letters are one unit each of the tokenizer, so many go into one text and come apart by
         unit; other pieces are parted by the mark."""
-        pieces = [x.decode("utf-8", "replace") for x in spelled]
-        plain = [x.isalpha() and max(x) < "\u0100" for x in pieces]
+        pieces = b"\n".join(spelled).decode("utf-8", "replace").split("\n")  # no piece holds white space
+        plain = [x.isalpha() and (x.isascii() or max(x) < "\u0100") for x in pieces]
         text, mark = self.p.mark
         for kind, join in ((True, " "), (False, f" {text} ")):
             own = [i for i, x in enumerate(plain) if x is kind]
             groups = [own[i : i + 512] for i in range(0, len(own), 512)]
-            encode = self.tokenizer.encode_batch if kind else self.tokenizer.encode_batch_fast
-            held = [[i for i in g if text in pieces[i]] for g in groups]  # pieces that hold the mark itself
-            done = encode([join.join("" if h and i in h else pieces[i] for i in g) for g, h in zip(groups, held)], add_special_tokens=False)
+            held = [[] if kind else [i for i in g if text in pieces[i]] for g in groups]  # pieces that hold the mark itself
+            done = self.tokenizer.encode_batch_fast([join.join(["" if h and i in h else pieces[i] for i in g]) for g, h in zip(groups, held)], add_special_tokens=False)
             for g, h, e in zip(groups, held, done):
                 ids = np.array(e.ids, np.uint32)
                 if kind:
-                    lengths = np.bincount(np.array(e.word_ids, np.int64), minlength=len(g))
+                    lengths = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
                 else:
                     lengths = np.diff(np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])) - 1
                     ids = ids[ids != mark]
@@ -368,24 +383,23 @@ class Encoder:
         if len(self.slots) > self.p.lexicon:
             self.clear()
         body, w = pieces_of(raw, offs, self.specials)
-        unique, where, inverse = np.unique(hashes(body, w, _AS_IS), return_index=True, return_inverse=True)
+        key = hashes(body, w, _AS_IS)
+        slot = self.near[(key >> np.uint64(64 - _NEAR)).astype(np.int64)].astype(np.int64)
+        far = np.flatnonzero(self.keys[slot] != key)  # not known, or behind another piece of the same place
+        if len(far):
+            unique, where, inverse = np.unique(key[far], return_index=True, return_inverse=True)
+            where, names = far[where], unique.tolist()
+            slots = list(map(self.slots.get, names))
+            new = [i for i, k in enumerate(slots) if k is None]
+            if new:
+                view, s, e = body.tobytes(), w.starts[where[new]].tolist(), w.ends[where[new]].tolist()
+                self.learn([names[i] for i in new], [view[a:b] for a, b in zip(s, e)])
+                for i in new:
+                    slots[i] = self.slots[names[i]]
+            slot[far] = np.array(slots, np.int64)[inverse]
         width = w.ends - w.starts
-        one = where[inverse]  # the first piece with the same hash
-        other = np.flatnonzero(one != np.arange(len(one)))
-        if (width[other] != width[one[other]]).any() or not _same_bytes(body, w.starts[other], body, w.starts[one[other]], width[other]):
+        if (self.spell_size[slot] != width).any() or not _same_bytes(self.spelled, self.spell_at[slot], body, w.starts, width):
             return self.whole(raw, offs)
-        keys = unique.tolist()
-        slots = list(map(self.slots.get, keys))
-        new = [i for i, k in enumerate(slots) if k is None]
-        if new:
-            view, s, e = body.tobytes(), w.starts[where[new]].tolist(), w.ends[where[new]].tolist()
-            self.learn([keys[i] for i in new], [view[a:b] for a, b in zip(s, e)])
-            for i in new:
-                slots[i] = self.slots[keys[i]]
-        slot = np.array(slots, np.int64)
-        if (self.spell_size[slot] != width[where]).any() or not _same_bytes(self.spelled, self.spell_at[slot], body, w.starts[where], width[where]):
-            return self.whole(raw, offs)
-        slot = slot[inverse]
         a, n = self.at[slot], self.size[slot]
         ends = np.concatenate([[0], np.cumsum(n)])
         # ids of pieces, one piece after another

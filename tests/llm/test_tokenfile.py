@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from seglume.llm import textbytes, tokenfile
@@ -112,3 +113,26 @@ def test_written_and_read_back(spark):
     assert sorted((tuple(r)[:4] + (r.ids,) for r in got), key=lambda r: r[1]) == want
     assert len({(r.shard, r.block) for r in got}) > 2
     assert tokenfile.encode(spark.createDataFrame([], DOCS), small).count() == 0
+
+
+def test_known_pieces_are_found_without_sorting_or_offsets():
+    """Known pieces come from the slots alone, new ones without the tokenizer's offsets; ids stay those of whole texts."""
+    texts = ["don't stop the straße's quiouéchtion, naïve ÿ 12 a-b", "", "the the THE x≠y naïve"] * 3
+    enc = tokenfile.Encoder(P)
+    tokenizer = enc.tokenizer
+
+    class Watched:
+        def __getattr__(self, name):
+            assert name != "encode_batch", "offsets of all words are asked for"
+            return getattr(tokenizer, name)
+
+    enc.tokenizer = Watched()
+    for again in range(2):
+        unique, np.unique = np.unique, np.unique if not again else lambda *a, **k: pytest.fail("known pieces are sorted")
+        try:
+            (_, _, raw, offs), = textbytes.slices(pa.array(texts))
+            ids, n = enc.encode(raw, offs)
+        finally:
+            np.unique = unique
+        ends = np.cumsum(n)
+        assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [direct(t) for t in texts]
