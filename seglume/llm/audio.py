@@ -15,10 +15,10 @@
 4. Recordings with equal integers are one class. Two classes link if, at one offset of the histogram over their shared
    landmarks, at least ``least_votes`` landmarks agree, each within reach of a stretch of at least ``least_run`` consecutive
    integers that differ in no more than ``bit_errors`` bits each: votes propose, bit errors decide. A landmark counts if
-   such a stretch meets it, which the integers around it tell; so whole recordings meet only where they link.
-5. First each class is compared with the hub of each of its landmarks, the class that shares most of them with others; then, where classes that share a
-   landmark still have different components, each of the fewer with all the others. So no group becomes all its pairs,
-   and no link between different components is left out.
+   such a stretch meets it, which the integers around it tell; so whole recordings meet only for the best link of each.
+5. All classes that share a landmark are compared there, also within what other links already join, so that a
+   recording's number of links is whole. Equal recordings are one class before that; a group of recordings that differ
+   has as many links as it has pairs.
 
 Nulls: a null recording is empty; empty ones stand alone: their component is their own id. Recordings that are too short
 for an image have no integers; those with equal bytes are one class, without links to others. A null id takes part, but
@@ -35,7 +35,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seglume.llm.components import connected
 from seglume.llm.textbytes import SPACE, buffers, hashes, map_texts, mix64, slices, word_mask, words
@@ -306,22 +306,14 @@ def agreement(a: np.ndarray, b: np.ndarray, offset: int, p: AudioParams) -> tupl
 
 
 def _agreements(p: AudioParams):
-    """Of each pair the offset with the most votes at which the bits agree; pairs without one go."""
+    """Of each pair at its offset how many integers agree, and their share of differing bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, (x, y, tried) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4).to_pylist())):
-                a, b = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
-                for t in tried:
-                    stretch, n, error = agreement(a, b, t["offset"], p)
-                    if stretch >= p.least_run:
-                        rows.append((i, t["offset"], t["votes"], n, error))
-                        break
-            at = pa.array([r[0] for r in rows], pa.int64())
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64())
-            cols = [batch.column(k).take(at) for k in range(2)] + [pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "offset", "votes", "aligned", "bit_error"])
+            offsets = batch.column(4).to_pylist()
+            rows = [agreement(*(np.frombuffer(v.as_buffer(), "<u4") for v in (x, y)), t, p) for x, y, t in zip(batch.column(2), batch.column(3), offsets)]
+            told = [pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], names=["a", "b", "aligned", "bit_error"])
 
     return run
 
@@ -358,79 +350,54 @@ def _near(p: AudioParams):
     return run
 
 
-def _offsets(met: DataFrame, p: AudioParams) -> DataFrame:
-    """``_near`` of (a, b, pos_a, pos_b, around_a, around_b, apart_a, apart_b) rows; hashes that are equal by chance go."""
-    rows = met.where("apart_a = apart_b").select("a", "b", "pos_a", "pos_b", "around_a", "around_b", "apart_a")
-    return rows.mapInArrow(_near(p), "a binary, b binary, offset int")
-
-
-def _linked(met: DataFrame, fp: DataFrame, p: AudioParams) -> DataFrame:
-    """Links of (a, b, offset) rows, one for each landmark that proposes an offset: a, b, offset, votes, aligned,
-    bit_error. ``a`` runs behind ``b`` by ``offset``."""
-    votes = met.groupBy("a", "b", "offset").agg(F.count("*").alias("votes")).where(F.col("votes") >= p.least_votes)
-    tried = votes.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "offset"))).alias("t"))
-    tried = stage(tried.select("a", "b", F.transform("t", lambda x: F.struct(x["offset"].alias("offset"), (-x["less"]).alias("votes"))).alias("tried")), "audio-tried")
-    # integers of the classes in pairs only, and of their equal rows one
-    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    fp = fp.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    one = tried.join(fp.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
-    both = one.join(fp.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y", "tried")
-    return both.mapInArrow(_agreements(p), "a binary, b binary, offset int, votes long, aligned int, bit_error double")
-
-
 def align(media: DataFrame, id_col: str, media_col: str, decode: Decoder = pcm16, params: AudioParams = AudioParams()) -> DataFrame:
-    """doc_id, n_frames, component_id (the smallest id that links reach), links (of the recording's class, as found),
+    """doc_id, n_frames, component_id (the smallest id that links reach), links (of the recording's class, all of them),
     partner_id, offset (frames by which the recording runs behind its partner), votes, aligned, bit_error (of its best
     link, by votes; nulls without one); one row a recording."""
     p = params
     rows = stage(fingerprints(media, id_col, media_col, decode, p), "audio-marks")
-    # the class is told by one of its rows: the smallest id, of which there may be several equal rows
+    # the class is told by one of its rows: the smallest id, of which there may be several equal rows; numbers ascend with
+    # the digests, so that ties fall the same way each time
     classes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("least"))
-    classes = stage(classes.select("node", F.col("least.doc_id").alias("rep")), "audio-classes")
-    fp = rows.where("n_frames > 0").select("node", "packed")
-    # one shuffle of the landmarks serves the hubs and the join; equal rows have equal landmarks, which count once
-    marks = rows.select("node", F.explode("marks").alias("mark")).select("node", "mark.hash", "mark.pos", "mark.own").repartition("hash")
-    many = marks.groupBy("hash").agg(F.min("node").alias("one"), F.max("node").alias("last"), F.count("*").alias("c")).where("one <> last").select("hash", "c")
-    shared = marks.join(many, "hash").groupBy("hash", "node").agg(F.collect_set(F.struct("pos", "own")).alias("all"), F.first("c").alias("c"))
-    shared = stage(shared, "audio-shared")
-    # what stands around a landmark, with all bits, for the landmarks that classes share only
-    bodies = fp.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    at = shared.select("hash", "node", F.explode("all").alias("at")).join(bodies, "node")
-    lead = F.least(F.col("at.pos"), F.lit(p.least_run))
-    around = F.substring(F.col("packed"), (F.col("at.pos") - lead) * 4 + 1, ((lead + F.col("at.own") + p.run + p.least_run) * 4).cast("int"))
-    placed = stage(at.select("hash", "node", "at.pos", F.col("at.own").alias("apart"), around.alias("around")), "audio-placed")
-    here = lambda x: placed.select("hash", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("pos", "apart", "around")])
-    degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
-    hubs = shared.join(degree, "node").groupBy("hash").agg(F.max(F.struct("degree", "node")).alias("hub")).select("hash", F.col("hub.node").alias("b"))
-    first = here("a").join(here("b").join(hubs, ["hash", "b"]), "hash").where("a <> b")
-    first = _offsets(first, p)
-    first = stage(_linked(first, fp, p), "audio-first")
-    labels = stage(connected(classes.select("node"), first.select("a", "b"), "audio-groups"), "audio-labels")
-
-    # landmarks of classes with different labels: those beside the most frequent label against all
-    mixed = shared.select("hash", "node").join(labels, "node")
-    counts = mixed.groupBy("hash", "label").agg(F.count("*").alias("c"))
-    main = counts.groupBy("hash").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("hash", F.col("m.label").alias("main"))
-    named = labels.select("node", "label")
-    few = here("a").join(main, "hash").join(named.select(F.col("node").alias("a"), F.col("label").alias("l_a")), "a").where("l_a <> main")
-    every = here("b").join(main.select("hash"), "hash", "left_semi").join(named.select(F.col("node").alias("b"), F.col("label").alias("l_b")), "b")
-    met = few.join(every, "hash").where("l_a <> l_b and (l_b = main or a < b)")
-    second = stage(_linked(_offsets(met, p), fp, p), "audio-second")
-
-    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
-    joined = second.join(side("a"), "a").join(side("b"), "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
-    last = connected(labels.select(F.col("label").alias("node")).distinct(), joined, "audio-links").select(F.col("node").alias("label"), F.col("label").alias("component"))
-    parts = labels.join(last, "label").join(classes, "node")
-    named = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
-
-    links = first.unionByName(second)
-    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "votes", "aligned", "bit_error")
-    best = links.unionByName(turned).groupBy("a").agg(F.count("*").alias("links"), F.min(F.struct((-F.col("votes")).alias("less"), "b", "offset", "votes", "aligned", "bit_error")).alias("m"))
-    best = best.select(F.col("a").alias("node"), "links", F.col("m.b").alias("partner"), "m.offset", "m.votes", "m.aligned", "m.bit_error")
-    found = parts.join(named, "component").select("node", "component_id").join(best, "node", "left")
-    found = found.join(classes.select(F.col("node").alias("partner"), F.col("rep").alias("partner_id")), "partner", "left")
-    found = stage(found.drop("partner"), "audio-components")
-    out = rows.select("doc_id", "n_frames", "node").join(found, "node", "left")
+    classes = classes.orderBy("node").select("node", F.col("least.doc_id").alias("rep"), F.monotonically_increasing_id().alias("n"))
+    classes = stage(classes, "audio-classes")
+    # the landmarks of two classes or more: one shuffle; equal rows have equal landmarks, which count once
+    marks = rows.select("node", F.explode("marks").alias("mark")).select("node", "mark.hash", "mark.pos", "mark.own")
+    same = W.partitionBy("hash")
+    shared = marks.withColumn("one", F.min("node").over(same)).withColumn("last", F.max("node").over(same)).where("one <> last")
+    shared = stage(shared.select("hash", "node", "pos", "own").distinct(), "audio-shared")
+    wanted = shared.select("node").distinct().join(classes.select("node", "n").hint("merge"), "node")
+    bodies = rows.where("n_frames > 0").select("node", "packed").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
+    bodies = stage(bodies, "audio-bodies")
+    # what stands around them, with all bits
+    at = shared.join(bodies.hint("merge"), "node")
+    lead = F.least(F.col("pos"), F.lit(p.least_run))
+    around = F.substring(F.col("packed"), (F.col("pos") - lead) * 4 + 1, ((lead + F.col("own") + p.run + p.least_run) * 4).cast("int"))
+    placed = at.select("hash", "n", "pos", F.col("own").alias("apart"), around.alias("around")).repartition("hash")
+    here = lambda x: placed.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "apart", "around")])
+    # hashes that are equal by chance go with their distances
+    met = here("a").join(here("b").hint("merge"), "hash").where("n_a < n_b and apart_a = apart_b")
+    met = met.select("n_a", "n_b", "pos_a", "pos_b", "around_a", "around_b", "apart_a").mapInArrow(_near(p), "a long, b long, offset int")
+    votes = met.repartition("a", "b").groupBy("a", "b", "offset").agg(F.count("*").alias("votes")).where(F.col("votes") >= p.least_votes)
+    links = votes.groupBy("a", "b").agg(F.min(F.struct((-F.col("votes")).alias("less"), "offset", "votes")).alias("m"))
+    links = stage(links.select("a", "b", "m.offset", "m.votes"), "audio-links")
+
+    labels = connected(classes.select(F.col("n").alias("node")), links.select("a", "b"), "audio-groups").withColumnRenamed("node", "n")
+    parts = stage(labels.join(classes.hint("merge"), "n"), "audio-labels")
+    named = parts.groupBy("label").agg(F.min("rep").alias("component_id"))
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "votes")
+    best = links.unionByName(turned).groupBy("a").agg(F.count("*").alias("links"), F.min(F.struct((-F.col("votes")).alias("less"), "b", "offset", "votes")).alias("m"))
+    best = stage(best.select("a", "links", "m.b", "m.offset", "m.votes"), "audio-best")
+    # whole recordings meet for the best link of each, both ways at once
+    forth = F.col("a") < F.col("b")
+    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(forth, F.col("offset")).otherwise(-F.col("offset")).alias("offset")).distinct()
+    both = pairs.join(bodies.select(F.col("n").alias("a"), F.col("packed").alias("x")).hint("merge"), "a")
+    both = both.join(bodies.select(F.col("n").alias("b"), F.col("packed").alias("y")).hint("merge"), "b").select("a", "b", "x", "y", "offset")
+    told = both.mapInArrow(_agreements(p), "a long, b long, aligned int, bit_error double")
+    told = best.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(told.select(F.col("a").alias("x"), F.col("b").alias("y"), "aligned", "bit_error").hint("merge"), ["x", "y"])
+    told = told.join(classes.select(F.col("n").alias("b"), F.col("rep").alias("partner_id")).hint("merge"), "b").drop("b", "x", "y").withColumnRenamed("a", "n")
+    found = parts.join(named.hint("merge"), "label").select("n", "node", "component_id").join(told.hint("merge"), "n", "left").drop("n")
+    out = rows.select("doc_id", "n_frames", "node").join(stage(found, "audio-components").hint("merge"), "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_frames", alone.alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"), "partner_id", "offset", "votes", "aligned", "bit_error")
 

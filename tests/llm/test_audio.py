@@ -212,3 +212,19 @@ def test_texts_played_as_notes_keep_their_passages():
         found.append(set(audio.landmarks(audio.integers(samples, offs, audio.trained(), P)[0], P)[0].tolist()))
     assert len(found[0] & found[1]) >= 5
     assert play(np.zeros(0, np.uint8), np.array([0, 0]))[1].tolist() == [0, 0]
+
+
+def test_links_within_a_component_are_all_counted(spark, monkeypatch):
+    """Recordings of which each meets each, and two that only meet one of them: the number of links is that of all pairs."""
+    rng = np.random.default_rng(21)
+    some = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    one, two = some(50), some(50)
+    fps = [np.concatenate([some(n), one, some(9)]) for n in (3, 20, 31, 14, 8)] + [np.concatenate([some(7), two, some(4), one])] + [np.concatenate([some(n), two]) for n in (5, 26)]
+    kind = "doc_id long, n_frames int, node binary, packed binary, marks array<struct<hash:long,pos:int,own:long>>"
+    made = [(i, len(x), bytes([i]), x.astype("<u4").tobytes(), [tuple(map(int, m)) for m in zip(*audio.landmarks(x, P))]) for i, x in enumerate(fps)]
+    monkeypatch.setattr(audio, "fingerprints", lambda *_: spark.createDataFrame(made + made[:2], kind))
+    got = rows(audio.align(None, "doc_id", "media"))
+    plain = [sum(plain_stretch(x.tolist(), y.tolist()) >= P.least_run for y in fps if y is not x) for x in fps]
+    by_id = {r["doc_id"]: r for r in got}
+    assert [by_id[i]["links"] for i in range(8)] == plain == [5] * 5 + [7, 2, 2]
+    assert [r["component_id"] for r in got] == [0] * 10
