@@ -153,7 +153,11 @@ def _fit_rows(idf: np.ndarray, p: LeakParams):
 
 
 #: Rows that ``_whole`` multiplies at once, by the bins that they have.
-_ROWS = 64
+_ROWS = 24
+
+
+#: Passages (some 400 bytes each) that a task of ``whole_space`` multiplies.
+_TASK_PASSAGES = 150_000
 
 
 def _whole(q: np.ndarray, idf: np.ndarray, p: LeakParams):
@@ -239,11 +243,14 @@ def latent_space(rows: DataFrame, params: LeakParams = LeakParams()) -> np.ndarr
     return (vectors * (value > 1e-6))[:, : params.rank].astype(np.float32)
 
 
-def whole_space(texts: DataFrame, start: np.ndarray, idf: np.ndarray, params: LeakParams = LeakParams()) -> np.ndarray:
+def whole_space(texts: DataFrame, start: np.ndarray, idf: np.ndarray, params: LeakParams = LeakParams(), passages: int = 0) -> np.ndarray:
     """(bins, rank): the leading right singular vectors of the TF-IDF rows of all passages of ``texts``, from the product
-    of all of them with the orthonormal columns ``start`` (one more power iteration, and the small problem of Nystroem)."""
+    of all of them with the orthonormal columns ``start`` (one more power iteration, and the small problem of Nystroem).
+    What a task returns is as large as the product, however few its rows are; so there are no more tasks than ``passages``
+    (about how many there are) and the cluster's cores ask for."""
     p = params
-    z = _sum(map_texts(texts.select("text"), _whole(start, idf, p), "chunk int, data binary"), start.shape)
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-passages // _TASK_PASSAGES))
+    z = _sum(map_texts(texts.select("text").coalesce(tasks), _whole(start, idf, p), "chunk int, data binary"), start.shape)
     small = start.T.astype(np.float64) @ z
     value, vector = np.linalg.eigh((small + small.T) / 2)
     on = value > max(1e-6, 1e-7 * value.max(initial=0))
@@ -351,7 +358,7 @@ class Search:
         own = np.array(sorted(own), np.uint64)
         self.bits = own[:, 0].astype(np.int64), own[:, 1].copy()  # by passage and word, where in the passage it stands
         self.weight = self.idf[_bins(self.words, self.p)]
-        self.weighted = self.space * self.idf[:, None]
+        self.weighted = np.concatenate([self.space * self.idf[:, None], np.zeros((1, self.space.shape[1]), np.float32)])
         self.total = np.array([self.weight[np.searchsorted(self.words, h)].sum() for _, h in b.passages])
         self.lengths = lengths
         size = np.array(SIZES)[np.searchsorted(SIZES, lengths)]
@@ -384,29 +391,34 @@ class Search:
         before = np.full(len(at), -1)
         again = key[order[1:]] == key[order[:-1]]
         before[order[1:][again]] = at[order[:-1][again]]
+        # places in their text; the one before is at -1 where there is none
+        place, earlier = at - first[text], np.where(before >= 0, before - first[text], -1)
         for size, mine, used, (heads, of_passage) in self.classes:
-            mark = used[word]
-            here, what, last = at[mark], word[mark], before[mark]
             need, step = self.need[mine], size // 4
+            span = size + 2 * (size // 5 + 2) + step
             k = -(-n // step)
+            base = np.cumsum(k) - k
             of = np.repeat(np.arange(len(n)), k)
-            start = first[:-1][of] + (np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)) * step
-            end = np.minimum(start + size + 2 * (size // 5 + 2) + step, first[1:][of])
-            # the windows that count a place: those it is in, but for those with its word before; starts and ends ascend
-            enter = np.maximum(np.searchsorted(end, here, "right"), np.searchsorted(start, last, "right"))
-            leave = np.maximum(np.searchsorted(start, here, "right"), enter)
+            start = first[:-1][of] + (np.arange(len(of)) - base[of]) * step
+            end = np.minimum(start + span, first[1:][of])
+            # the windows that count a place: those it is in, but for those with its word before
+            enter = np.maximum(np.maximum((place - span) // step, earlier // step) + 1, 0)
+            leave = place // step + 1
+            mark = np.flatnonzero(used[word] & (enter < leave))
+            here, what = at[mark], word[mark]
+            enter, leave = (v[mark] + base[text[mark]] for v in (enter, leave))
             for i in range(0, len(start), 8192):
                 size_ = min(8192, len(start) - i)
                 x, y = np.searchsorted(here, start[i]), np.searchsorted(here, end[i + size_ - 1])
                 w = what[x:y]
                 m = heads[w + 1] - heads[w]
                 each = np.repeat(heads[w] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                col = of_passage[each]
+                col = of_passage.take(each)
                 # what a window counts is what enters up to it less what has left
                 cells = [np.bincount(np.repeat(np.clip(v[x:y] - i, 0, size_) * len(mine), m) + col, minlength=(size_ + 1) * len(mine)) for v in (enter, leave)]
-                sums = np.cumsum((cells[0] - cells[1]).reshape(-1, len(mine))[:size_], axis=0)
-                for r, c in zip(*(v.tolist() for v in np.nonzero(sums >= need))):
-                    out.append((int(of[i + r]), int(start[i + r]), int(end[i + r]), int(mine[c])))
+                sums = np.cumsum((cells[0] - cells[1]).reshape(-1, len(mine))[:size_].astype(np.int16), axis=0, dtype=np.int16)
+                r, c = np.divmod(np.flatnonzero(sums >= need.astype(np.int16)), len(mine))
+                out.extend(zip(of[i + r].tolist(), start[i + r].tolist(), end[i + r].tolist(), mine[c].tolist()))
         return out
 
     def cosine(self, h: np.ndarray, passage: int) -> float:
@@ -443,11 +455,11 @@ class Search:
         begin = first[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)) * step
         sums = np.zeros((len(text) + 1, self.space.shape[1]))
         if len(text):
-            at, until = _bins(h, self.p), np.minimum(begin + step, first[1:][text])
-            own = self.weighted[at[begin]]
-            for j in range(1, step):
-                there = np.flatnonzero(begin + j < until)
-                own[there] += self.weighted[at[begin[there] + j]]
+            # a stretch that its text ends early is filled up with a word of no weight
+            bins = np.full(len(text) * step, self.p.bins)
+            ends = np.append(begin[1:], len(h))
+            bins[np.arange(len(h)) + np.repeat(np.arange(len(text)) * step - begin, ends - begin)] = _bins(h, self.p)
+            own = self.weighted.take(bins, axis=0).reshape(len(text), step, -1).sum(axis=1)
             np.cumsum(own, axis=0, out=sums[1:])
         return sums, text, begin
 
@@ -540,11 +552,14 @@ class Search:
         offsets = np.arange(-n, len(region) + 1)
         x, y = np.maximum(0, offsets - slack), np.minimum(len(region), offsets + n + slack)
         most = held[np.maximum(x, y)] - held[x]
-        best, top = (0.0, 0.0, 0, 0), (0, 0)
+        best, top, known = (0.0, 0.0, 0, 0), (0, 0), {}
         for k in np.lexsort((offsets, -np.array([votes.get(o, 0) for o in offsets.tolist()]), -most)).tolist():
             if most[k] < max(top[0], p.told * n - 1e-9):
                 break
-            same = lcs(masks, n, kept[held[x[k]] : held[y[k]]])
+            words_there = int(held[x[k]]), int(held[y[k]])  # the same for many offsets
+            if words_there not in known:
+                known[words_there] = lcs(masks, n, kept[slice(*words_there)])
+            same = known[words_there]
             own = (same, votes.get(int(offsets[k]), 0))
             if own > top:
                 top, best = own, (same / n, 0.0, int(x[k]), int(y[k]))
@@ -612,7 +627,7 @@ def _found(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     start, value = _leading(stage(map_texts(sample, _fit_rows(idf, p), "bins array<int>, weights array<float>"), "leak-fit"), p)
     # what the start has no direction for begins anywhere
     start = np.where(value > 1e-6, start, np.random.default_rng(p.seed).standard_normal(start.shape))
-    space = whole_space(texts.select("text").unionByName(items.select("text")), np.linalg.qr(start)[0].astype(np.float32), idf, p)
+    space = whole_space(texts.select("text").unionByName(items.select("text")), np.linalg.qr(start)[0].astype(np.float32), idf, p, n + count)
     blocks = max(1, -(-count // p.block))
     passages = passages.withColumn("block", F.pmod(F.xxhash64("item", "part", "words"), F.lit(blocks)))
     fitted = stage(passages.groupBy("block").applyInArrow(_fit(idf, space, p), "block long, bytes long, basis binary"), "leak-bases")

@@ -221,3 +221,16 @@ def test_the_latent_space_is_of_all_rows_whatever_begins_it(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, 0, 0, 0.0) for i, t in enumerate(texts)], DOCS)
     leaks.matches(docs, spark.createDataFrame([(1, texts[0])], "item_id long, text string"), params=p).count()
     assert seen == [401]
+
+
+def test_the_fit_over_all_rows_has_no_more_tasks_than_it_needs(spark, monkeypatch):
+    """Each task returns a whole product, so a table in many small partitions must not make one for each of them."""
+    rng = np.random.default_rng(8)
+    texts = spark.createDataFrame([(" ".join(f"w{k}" for k in rng.integers(0, 300, 40)),) for _ in range(90)], "text string")
+    p = leaks.LeakParams(bins=256, rank=4)
+    start = np.linalg.qr(rng.standard_normal((256, 8)))[0].astype(np.float32)
+    seen, real = [], leaks._sum
+    monkeypatch.setattr(leaks, "_sum", lambda parts, shape: seen.append(parts.rdd.getNumPartitions()) or real(parts, shape))
+    many, one = (leaks.whole_space(texts.repartition(n), start, np.ones(256, np.float32), p) for n in (50, 1))
+    assert seen == [spark.sparkContext.defaultParallelism, 1]
+    assert np.allclose(many @ many.T, one @ one.T, atol=1e-4)
