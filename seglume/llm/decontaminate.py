@@ -361,6 +361,9 @@ class Search:
         self.weighted = np.concatenate([self.space * self.idf[:, None], np.zeros((1, self.space.shape[1]), np.float32)])
         self.total = np.array([self.weight[np.searchsorted(self.words, h)].sum() for _, h in b.passages])
         self.lengths = lengths
+        self.times = np.zeros((len(self.words), len(lengths)), np.float32)  # how often each passage has each word
+        for i, (_, h) in enumerate(b.passages):
+            np.add.at(self.times[:, i], np.searchsorted(self.words, h), 1)
         size = np.array(SIZES)[np.searchsorted(SIZES, lengths)]
         for s in np.unique(size).tolist():
             mine = np.flatnonzero(size == s)
@@ -393,10 +396,20 @@ class Search:
         before[order[1:][again]] = at[order[:-1][again]]
         # places in their text; the one before is at -1 where there is none
         place, earlier = at - first[text], np.where(before >= 0, before - first[text], -1)
+        # a text that has too few of a passage's words has no such window
+        some = np.unique(text)
+        enough = np.zeros((len(n), len(self.need)), bool)
+        for i in range(0, len(some), 256):
+            own = some[i : i + 256]
+            k = slice(np.searchsorted(text, own[0]), np.searchsorted(text, own[-1], "right"))
+            present = np.zeros((len(own), len(self.words)), np.float32)
+            present[np.searchsorted(own, text[k]), word[k]] = 1
+            enough[own] = present @ self.times >= self.need
         for size, mine, used, (heads, of_passage) in self.classes:
+            able = enough[:, mine].any(axis=1)
             need, step = self.need[mine], size // 4
             span = size + 2 * (size // 5 + 2) + step
-            k = -(-n // step)
+            k = np.where(able, -(-n // step), 0)
             base = np.cumsum(k) - k
             of = np.repeat(np.arange(len(n)), k)
             start = first[:-1][of] + (np.arange(len(of)) - base[of]) * step
@@ -404,7 +417,7 @@ class Search:
             # the windows that count a place: those it is in, but for those with its word before
             enter = np.maximum(np.maximum((place - span) // step, earlier // step) + 1, 0)
             leave = place // step + 1
-            mark = np.flatnonzero(used[word] & (enter < leave))
+            mark = np.flatnonzero(used[word] & (enter < leave) & able[text])
             here, what = at[mark], word[mark]
             enter, leave = (v[mark] + base[text[mark]] for v in (enter, leave))
             for i in range(0, len(start), 8192):
