@@ -16,9 +16,10 @@
    landmarks, at least ``least_votes`` landmarks agree, each within reach of a stretch of at least ``least_run`` consecutive
    integers that differ in no more than ``bit_errors`` bits each: votes propose, bit errors decide. A landmark counts if
    such a stretch meets it, which the integers around it tell; so whole recordings meet only for the best link of each.
-5. All classes that share a landmark are compared there, also within what other links already join, so that a
-   recording's number of links is whole. Equal recordings are one class before that; a group of recordings that differ
-   has as many links as it has pairs.
+5. All classes that share a landmark are compared, also within what other links already join, so that a recording's number
+   of links is whole. Landmarks that stand at the same distances in the same classes are one meeting of these (by stretches
+   of ``_STRETCH`` integers), so two recordings meet about once a shared stretch, not once a landmark. Equal recordings are
+   one class before that; a group of recordings that differ has as many links as it has pairs.
 
 Nulls: a null recording is empty; empty ones stand alone: their component is their own id. Recordings that are too short
 for an image have no integers; those with equal bytes are one class, without links to others. A null id takes part, but
@@ -319,37 +320,101 @@ def _agreements(p: AudioParams):
 
 
 def _near(p: AudioParams):
-    """(a, b, offset) of those pairs of places of a landmark around which the bits agree: a stretch of ``least_run``
-    integers, each within the bit errors, that meets the landmark. What a place brings along is its landmark and
-    ``least_run`` integers on either side (fewer at an end), which such a stretch needs no more of."""
+    """(a, b, offset, votes) of the rows of ``meetings`` that two recordings have in common: at each offset, around how
+    many pairs of places of their landmarks the bits agree: a stretch of ``least_run`` integers, each within the bit
+    errors, that meets the landmark. What a row brings along is its landmarks and ``least_run`` - 1 integers on either
+    side (fewer at an end), which such a stretch needs no more of."""
+
+    lead = p.least_run - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos = [batch.column(k).to_numpy() for k in (2, 3)]
+        for batch in (part for whole in batches for part in _parted(whole)):
+            begin = [batch.column(k).to_numpy() for k in (2, 3)]
             (x, at), (y, other) = ((raw.view("<u4"), offs // 4) for raw, offs in (buffers(batch.column(k)) for k in (4, 5)))
-            before = [np.minimum(q, p.least_run) for q in pos]
-            lead = np.minimum(*before)  # integers that both have before the landmark
-            start, begin = at[:-1] + before[0] - lead, other[:-1] + before[1] - lead
-            size = np.minimum(at[1:] - start, other[1:] - begin)
+            (da, na), (db, nb), (ref, nr) = (_lists(batch.column(k)) for k in (6, 7, 8))
+            own = _lists(batch.column(9))[0]
+            heads = np.concatenate([[0], np.cumsum(nr)])
+            # every place of one with every place of the other, each pair along all landmarks of the row at once
+            row = np.repeat(np.arange(len(na)), na * nb)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+            da, db = da[(np.cumsum(na) - na)[row] + k // nb[row]], db[(np.cumsum(nb) - nb)[row] + k % nb[row]]
+            # where they stand in the place of the first landmark: integers that both have
+            low = np.minimum.reduceat(ref, heads[:-1])[row] - lead if len(ref) else row
+            high = np.maximum.reduceat(ref + own, heads[:-1])[row] + p.run + lead if len(ref) else row
+            low = np.maximum(low, np.maximum(begin[0][row] - da, begin[1][row] - db))
+            high = np.minimum(high, np.minimum(begin[0][row] + np.diff(at)[row] - da, begin[1][row] + np.diff(other)[row] - db))
+            size = np.maximum(0, high - low)
             first = np.concatenate([[0], np.cumsum(size)])
             step = np.arange(first[-1]) - np.repeat(first[:-1], size)
-            good = np.bitwise_count(x[np.repeat(start, size) + step] ^ y[np.repeat(begin, size) + step]) <= p.bit_errors
+            place = [np.repeat(starts[:-1][row] + low + d - b[row], size) + step for starts, d, b in ((at, da, begin[0]), (other, db, begin[1]))]
+            good = np.bitwise_count(x[place[0]] ^ y[place[1]]) <= p.bit_errors
             # runs of good integers, cut where the next pair begins
             edge = np.ones(len(good) + 1, bool)
             edge[1:-1] = good[1:] != good[:-1]
             edge[first] = True
-            heads = np.flatnonzero(edge)
-            long_ = np.flatnonzero(good[heads[:-1]] & (np.diff(heads) >= p.least_run)) if len(good) else np.zeros(0, np.int64)
-            pair = np.searchsorted(first, heads[long_], "right") - 1
-            span = batch.column(6).to_numpy() + p.run
-            meets = (heads[long_ + 1] - first[pair] > lead[pair]) & (heads[long_] - first[pair] < lead[pair] + span[pair])
-            keep = pa.array(np.unique(pair[meets]))
-            offset = pa.array((pos[0] - pos[1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), offset.take(keep)], names=["a", "b", "offset"])
+            cuts = np.flatnonzero(edge)
+            length = np.diff(cuts)
+            held = np.concatenate([[0], np.cumsum(np.repeat(good[cuts[:-1]] & (length >= p.least_run), length) if len(good) else good, dtype=np.int64)])
+            # landmarks that such a run meets
+            pair = np.repeat(np.arange(len(row)), nr[row])
+            mark = heads[:-1][row][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(nr[row]) - nr[row], nr[row])
+            span = [first[pair] + np.clip(ref[mark] + more - low[pair], 0, size[pair]) for more in (0, own[mark] + p.run)]
+            votes = np.bincount(pair[held[span[1]] > held[span[0]]], minlength=len(row))
+            keep = np.flatnonzero(votes)
+            ids = [batch.column(c).take(pa.array(row[keep])) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array((da - db)[keep].astype(np.int32)), pa.array(votes[keep].astype(np.int64))], names=["a", "b", "offset", "votes"])
 
     return run
 
 
+def _parted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of pairs in parts of about ``_SLICE`` / 8 integers that are compared, so that repeats take no more memory."""
+    moves = [np.diff(batch.column(k).offsets.to_numpy()).astype(np.int64) for k in (6, 7)]
+    part = np.cumsum(moves[0] * moves[1] * (buffers(batch.column(4))[1][1:] - buffers(batch.column(4))[1][:-1]) // 4) // (_SLICE >> 3)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:]) if x < y)
+
+
+def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, one after another, and how many each has."""
+    return col.flatten().to_numpy().astype(np.int64), np.diff(col.offsets.to_numpy()).astype(np.int64)
+
+
+#: Landmarks whose first places lie in one stretch of so many integers can be one row.
+_STRETCH = 64
+
+
+def _bodies(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """n, packed, meets of the classes that share a landmark with another. Landmarks that are at the same distances from
+    each other in the same classes are one meeting of these: a row of ``meets`` has its number, where the landmarks are
+    in the class that comes first (``refs``, with the distances of their two runs, ``owns``) and by how much this one is
+    moved against it (``moves``, several for repeats)."""
+    # one shuffle; equal rows have equal landmarks, which count once; hashes that are equal by chance go with their distances
+    marks = rows.select("node", F.explode("marks").alias("mark")).select("node", "mark.hash", "mark.pos", F.col("mark.own").cast("int").alias("own"))
+    same = W.partitionBy("hash", "own")
+    shared = marks.withColumn("one", F.min("node").over(same)).withColumn("last", F.max("node").over(same)).where("one <> last")
+    shared = shared.select("hash", "own", "node", "one", "pos").distinct().withColumn("ref", F.min(F.when(F.col("node") == F.col("one"), F.col("pos"))).over(same))
+    shared = shared.withColumn("move", F.col("pos") - F.col("ref"))
+    told = [F.bit_xor(F.xxhash64("node", "move")).over(same), F.count("*").over(same)]
+    shared = shared.withColumn("meet", F.xxhash64("one", *told, F.floor(F.col("ref") / _STRETCH)))
+    each = shared.select("meet", "node", "move", "ref", "own").repartition("node").groupBy("node", "meet", F.floor(F.col("move") / _STRETCH))
+    each = each.agg(F.array_sort(F.collect_set("move")).alias("moves"), F.array_sort(F.collect_set(F.struct("ref", "own"))).alias("marks"))
+    meets = each.groupBy("node").agg(F.collect_list(F.struct("meet", "moves", F.col("marks.ref").alias("refs"), F.col("marks.own").alias("owns"))).alias("meets"))
+    packed = rows.where("n_frames > 0").select("node", "packed").join(meets.hint("merge"), "node").dropDuplicates(["node"])
+    return packed.join(classes.select("node", "n").hint("merge"), "node").select("n", "packed", "meets")
+
+
+def meetings(bodies: DataFrame, params: AudioParams = AudioParams()) -> DataFrame:
+    """meet, n, moves, refs, owns, begin, around: a row for each meeting of a class, with the integers around its
+    landmarks, from place ``begin`` on."""
+    p = params
+    at = bodies.select("n", "packed", F.explode("meets").alias("m")).select("n", "packed", "m.*")
+    begin = F.greatest(F.lit(0), F.array_min("moves") + F.array_min("refs") - (p.least_run - 1))
+    end = F.array_max("moves") + F.array_max(F.zip_with("refs", "owns", lambda x, y: x + y)) + p.run + p.least_run - 1
+    around = F.substring(F.col("packed"), begin * 4 + 1, (end - begin) * 4)
+    return at.select("meet", "n", "moves", "refs", "owns", begin.alias("begin"), around.alias("around"))
+
+
 def align(media: DataFrame, id_col: str, media_col: str, decode: Decoder = pcm16, params: AudioParams = AudioParams()) -> DataFrame:
     """doc_id, n_frames, component_id (the smallest id that links reach), links (of the recording's class, all of them),
     partner_id, offset (frames by which the recording runs behind its partner), votes, aligned, bit_error (of its best
@@ -361,24 +426,14 @@ def align(media: DataFrame, id_col: str, media_col: str, decode: Decoder = pcm16
     classes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("least"))
     classes = classes.orderBy("node").select("node", F.col("least.doc_id").alias("rep"), F.monotonically_increasing_id().alias("n"))
     classes = stage(classes, "audio-classes")
-    # the landmarks of two classes or more: one shuffle; equal rows have equal landmarks, which count once
-    marks = rows.select("node", F.explode("marks").alias("mark")).select("node", "mark.hash", "mark.pos", "mark.own")
-    same = W.partitionBy("hash")
-    shared = marks.withColumn("one", F.min("node").over(same)).withColumn("last", F.max("node").over(same)).where("one <> last")
-    shared = stage(shared.select("hash", "node", "pos", "own").distinct(), "audio-shared")
-    wanted = shared.select("node").distinct().join(classes.select("node", "n").hint("merge"), "node")
-    bodies = rows.where("n_frames > 0").select("node", "packed").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
-    bodies = stage(bodies, "audio-bodies")
-    # what stands around them, with all bits
-    at = shared.join(bodies.hint("merge"), "node")
-    lead = F.least(F.col("pos"), F.lit(p.least_run))
-    around = F.substring(F.col("packed"), (F.col("pos") - lead) * 4 + 1, ((lead + F.col("own") + p.run + p.least_run) * 4).cast("int"))
-    placed = at.select("hash", "n", "pos", F.col("own").alias("apart"), around.alias("around")).repartition("hash")
-    here = lambda x: placed.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "apart", "around")])
-    # hashes that are equal by chance go with their distances
-    met = here("a").join(here("b").hint("merge"), "hash").where("n_a < n_b and apart_a = apart_b")
-    met = met.select("n_a", "n_b", "pos_a", "pos_b", "around_a", "around_b", "apart_a").mapInArrow(_near(p), "a long, b long, offset int")
-    votes = met.repartition("a", "b").groupBy("a", "b", "offset").agg(F.count("*").alias("votes")).where(F.col("votes") >= p.least_votes)
+    bodies = stage(_bodies(rows, classes), "audio-bodies")
+    placed = meetings(bodies, p)
+    here = lambda x: placed.select("meet", *[F.col(c).alias(f"{c}_{x}") for c in placed.columns[1:]])
+    # meetings whose numbers are equal by chance go with their landmarks
+    met = here("a").join(here("b").hint("merge"), "meet").where("n_a < n_b and refs_a = refs_b and owns_a = owns_b")
+    met = met.select("n_a", "n_b", "begin_a", "begin_b", "around_a", "around_b", "moves_a", "moves_b", "refs_a", "owns_a")
+    votes = met.mapInArrow(_near(p), "a long, b long, offset int, votes long").repartition("a", "b")
+    votes = votes.groupBy("a", "b", "offset").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= p.least_votes)
     links = votes.groupBy("a", "b").agg(F.min(F.struct((-F.col("votes")).alias("less"), "offset", "votes")).alias("m"))
     links = stage(links.select("a", "b", "m.offset", "m.votes"), "audio-links")
 
@@ -388,13 +443,14 @@ def align(media: DataFrame, id_col: str, media_col: str, decode: Decoder = pcm16
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "votes")
     best = links.unionByName(turned).groupBy("a").agg(F.count("*").alias("links"), F.min(F.struct((-F.col("votes")).alias("less"), "b", "offset", "votes")).alias("m"))
     best = stage(best.select("a", "links", "m.b", "m.offset", "m.votes"), "audio-best")
-    # whole recordings meet for the best link of each, both ways at once
-    forth = F.col("a") < F.col("b")
-    pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(forth, F.col("offset")).otherwise(-F.col("offset")).alias("offset")).distinct()
-    both = pairs.join(bodies.select(F.col("n").alias("a"), F.col("packed").alias("x")).hint("merge"), "a")
-    both = both.join(bodies.select(F.col("n").alias("b"), F.col("packed").alias("y")).hint("merge"), "b").select("a", "b", "x", "y", "offset")
+    # whole recordings meet for the best link of each, both ways at once: the one that runs behind without what is before
+    # the other
+    ahead = (F.col("offset") > 0) | (F.col("offset") == 0) & (F.col("a") < F.col("b"))
+    pairs = best.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"), F.abs("offset").alias("offset")).distinct()
+    both = pairs.join(bodies.select(F.col("n").alias("a"), F.col("packed").alias("x")).hint("merge"), "a").select("a", "b", F.expr("substring(x, offset * 4 + 1)").alias("x"))
+    both = both.join(bodies.select(F.col("n").alias("b"), F.col("packed").alias("y")).hint("merge"), "b").select("a", "b", "x", "y", F.lit(0).alias("offset"))
     told = both.mapInArrow(_agreements(p), "a long, b long, aligned int, bit_error double")
-    told = best.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(told.select(F.col("a").alias("x"), F.col("b").alias("y"), "aligned", "bit_error").hint("merge"), ["x", "y"])
+    told = best.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(told.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "aligned", "bit_error").hint("merge"), ["x", "y"])
     told = told.join(classes.select(F.col("n").alias("b"), F.col("rep").alias("partner_id")).hint("merge"), "b").drop("b", "x", "y").withColumnRenamed("a", "n")
     found = parts.join(named.hint("merge"), "label").select("n", "node", "component_id").join(told.hint("merge"), "n", "left").drop("n")
     out = rows.select("doc_id", "n_frames", "node").join(stage(found, "audio-components").hint("merge"), "node", "left")

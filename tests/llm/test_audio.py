@@ -228,3 +228,39 @@ def test_links_within_a_component_are_all_counted(spark, monkeypatch):
     by_id = {r["doc_id"]: r for r in got}
     assert [by_id[i]["links"] for i in range(8)] == plain == [5] * 5 + [7, 2, 2]
     assert [r["component_id"] for r in got] == [0] * 10
+
+
+def test_landmarks_of_one_shared_stretch_are_one_meeting(spark, monkeypatch):
+    """Recordings that share a long stretch meet once a stretch of it, not once a landmark, also where one repeats it; the
+    votes are those of all pairs of places of a landmark around which the bits agree."""
+    rng = np.random.default_rng(33)
+    some = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    one, two = some(60), some(11)
+    fps = [np.concatenate([some(k), one, some(9)]) for k in (3, 20, 41)] + [np.concatenate([one, one, one, some(4), one])]
+    fps += [np.concatenate([some(25), two, some(25)]) for _ in range(2)]
+    kind = "doc_id long, n_frames int, node binary, packed binary, marks array<struct<hash:long,pos:int,own:long>>"
+    marks = [list(zip(*(v.tolist() for v in audio.landmarks(x, P)))) for x in fps]
+    made = spark.createDataFrame([(i, len(x), bytes([i]), x.astype("<u4").tobytes(), m) for i, (x, m) in enumerate(zip(fps, marks))], kind)
+    classes = spark.createDataFrame([(bytes([i]), i) for i in range(len(fps))], "node binary, n long")
+    met = audio.meetings(audio._bodies(made, classes), P).collect()
+    places = sum(h in {y[0] for k, m in enumerate(marks) if k != i for y in m} for i, own in enumerate(marks) for h, _, _ in own)
+    assert 0 < len(met) < places / 4 and sum(len(r["moves"]) * len(r["refs"]) for r in met) == places
+
+    def votes(i, j):
+        """By offset: pairs of places of a landmark that a stretch of agreeing integers meets."""
+        out = {}
+        for h, x, own in marks[i]:
+            for g, y, other in marks[j]:
+                if (h, own) == (g, other):
+                    at = range(max(-x, -y), min(len(fps[i]) - x, len(fps[j]) - y))
+                    good = [bits(int(fps[i][x + t] ^ fps[j][y + t])) <= P.bit_errors for t in at]
+                    ok = any(all(good[k : k + P.least_run]) and at[k] < own + P.run and at[k] + P.least_run > 0 for k in range(len(good) - P.least_run + 1))
+                    out[x - y] = out.get(x - y, 0) + ok
+        return {k: v for k, v in out.items() if v}
+
+    monkeypatch.setattr(audio, "fingerprints", lambda *_: made)
+    got = rows(audio.align(None, "doc_id", "media"))
+    assert [r["links"] for r in got] == [sum(bool(votes(i, j)) for j in range(6) if j != i) for i in range(6)] == [3, 3, 3, 3, 0, 0]
+    for r in got[:4]:
+        found = {j: votes(r["doc_id"], j) for j in range(4) if j != r["doc_id"]}
+        assert r["votes"] == max(v for f in found.values() for v in f.values()) == found[r["partner_id"]][r["offset"]]
