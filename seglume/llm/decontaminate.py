@@ -77,17 +77,25 @@ def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- document frequencies
 
+#: Texts whose bins are told apart at once.
+_TEXTS = 32
+
+
 def _frequencies(p: LeakParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs, passages = np.zeros(p.bins, np.int64), 0, 0
+        last = np.zeros(_TEXTS * p.bins, np.int32)
         for batch in batches:
             docs += batch.num_rows
             for a, b, raw, offs in slices(batch.column(0)):
                 h, first = _words(raw, offs)
-                n = b - a
-                seen = np.zeros(n * p.bins, bool)
-                seen[np.repeat(np.arange(n), np.diff(first)) * p.bins + (h % np.uint64(p.bins)).astype(np.int64)] = True
-                total += seen.reshape(n, p.bins).sum(axis=0)
+                bins, text = _bins(h, p), np.repeat(np.arange(b - a), np.diff(first))
+                for i in range(0, b - a, _TEXTS):
+                    own = slice(first[i], first[min(i + _TEXTS, b - a)])
+                    # of a text's equal words the one that was written last counts
+                    key, number = (text[own] - i) * p.bins + bins[own], np.arange(own.stop - own.start, dtype=np.int32)
+                    last[key] = number
+                    total += np.bincount(bins[own][last[key] == number], minlength=p.bins)
                 passages += int((-(-np.diff(first) // SCALES[-1])).sum())
         bins = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*bins, _DOCS, _PASSAGES], pa.int32()), pa.array([*total[bins], docs, passages], pa.int64())], names=["bin", "n"])
@@ -153,7 +161,7 @@ def _fit_rows(idf: np.ndarray, p: LeakParams):
 
 
 #: Rows that ``_whole`` multiplies at once, by the bins that they have.
-_ROWS = 24
+_ROWS = 16
 
 
 #: Passages (some 400 bytes each) that a task of ``whole_space`` multiplies.

@@ -86,7 +86,7 @@ def words(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> Words:
     n = len(raw)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64))
-    on = inside[raw]
+    on = inside.take(raw)
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = on[:-1]
@@ -124,8 +124,10 @@ def hashes(raw: np.ndarray, w: Words, folded: np.ndarray) -> np.ndarray:
     n = len(raw)
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((folded.astype(np.uint64) + np.uint64(1))[raw] * up[:n], out=sums[1:])
-    return mix64((sums[w.ends] - sums[w.starts]) * down[w.starts])
+    own = (folded.astype(np.uint64) + np.uint64(1)).take(raw)
+    own *= up[:n]
+    np.cumsum(own, out=sums[1:])
+    return mix64((sums.take(w.ends) - sums.take(w.starts)) * down.take(w.starts))
 
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:

@@ -234,3 +234,21 @@ def test_the_fit_over_all_rows_has_no_more_tasks_than_it_needs(spark, monkeypatc
     many, one = (leaks.whole_space(texts.repartition(n), start, np.ones(256, np.float32), p) for n in (50, 1))
     assert seen == [spark.sparkContext.defaultParallelism, 1]
     assert np.allclose(many @ many.T, one @ one.T, atol=1e-4)
+
+
+def test_frequencies_of_many_short_texts_take_little_memory():
+    """Each text counts a bin once, and what tells its words apart does not grow with the texts of a slice."""
+    import tracemalloc
+
+    p = leaks.LeakParams()
+    texts = [f"alpha w{i % 7} alpha W{i % 7} beta" for i in range(1000)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    tracemalloc.start()
+    got = next(iter(leaks._frequencies(p)(iter([batch, batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = dict(zip(*(c.to_pylist() for c in got.columns)))
+    bins = {w: int(hash_words([w])[0] % np.uint64(p.bins)) for w in ("alpha", "beta", *(f"w{k}" for k in range(7)))}
+    assert counts.pop(-1) == 2004 and counts.pop(-2) == 2000 and len(set(bins.values())) == 9
+    assert counts == {b: 2000 if w in ("alpha", "beta") else 2 * sum(i % 7 == int(w[1:]) for i in range(1000)) for w, b in bins.items()}
+    assert peak < 24 << 20
