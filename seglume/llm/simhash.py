@@ -156,11 +156,11 @@ def chains(nodes: DataFrame) -> DataFrame:
 
 def links(labelled: DataFrame, parts: bool = False) -> DataFrame:
     """(a, b): every pair of linked fingerprints whose labels differ, through the variants; a pair may come several
-    times."""
+    times. Both sides are sorted: Spark sizes them as the table before the explode, which would pass for small."""
     every = variants(labelled, parts)
     zero = every.where("side is null or side = 0").select("key", F.col("fp").alias("a"), F.col("label").alias("la"), F.col("side").isNull().alias("whole"))
     one = every.where("side is null or side = 1").select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
-    return zero.join(one, (zero.key == one.key) & (F.col("la") != F.col("lb")) & _near("a", "b") & (~F.col("whole") | (F.col("a") < F.col("b")))).select("a", "b")
+    return zero.join(one.hint("merge"), (zero.key == one.key) & (F.col("la") != F.col("lb")) & _near("a", "b") & (~F.col("whole") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def _components(marked: DataFrame) -> DataFrame:

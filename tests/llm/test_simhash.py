@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 
 from seglume.llm import simhash
 from seglume.llm.components import connected
+from seglume.storage import stage
 
 DOCS = "doc_id long, text string, fp string, rep int, label string"
 
@@ -211,3 +212,18 @@ def test_no_join_goes_through_the_driver(spark):
         assert {r.node: r.label for r in found.collect()} == {i: i // 10 * 10 if i < 50 else i for i in range(60)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_variants_are_not_broadcast(spark, parts):
+    """Variants are some 35 rows of each fingerprint, but Spark takes them for as small as the fingerprints."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        nodes = stage(spark.range(100).selectExpr("id * 7 as fp", "id as label"), "test-labels")
+        found = simhash.links(nodes, parts)
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
