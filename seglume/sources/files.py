@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from seglume.functions.text import clock, clock_centi, karaoke, ms_of_clock, replace_all, strip_han, strip_numbering
+from seglume.functions.text import _bound, clock, clock_centi, karaoke, ms_of_clock, replace_all, strip_han, strip_numbering
 from seglume.sources import project_files
 
 # ---- readers
@@ -141,15 +141,14 @@ def caption(text: str | Column) -> Column:
     left."""
     bare = replace_all(strip_han(text), (r"\s+([,.!?;:])", "$1"), (r"\s{2,}", " "))
     out = replace_all(strip_numbering(bare), (r"[,.]+,", ","), (r"[,.]+\.", "."))
-    return F.when(out.rlike(r"[\p{L}\p{N}]"), out)
+    return _bound(out, lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), x))
 
 
 def karaoke_line(text: str = "translated_text", start: str = "start_ms", end: str = "end_ms", tags: bool = True) -> Column:
     """An event with a time tag for each word (or the plain caption); null for rows without a caption."""
-    said = caption(text)
     last = F.greatest(F.col(end), F.col(start) + LEAST_CAPTION_MS)
-    words = karaoke(said, F.floor((last - F.col(start)) / 10).cast("int")) if tags else said
-    return F.when(said.isNotNull(), F.format_string("Dialogue: 0,%s,%s,Main,,0,0,0,,%s", clock_centi(start), clock_centi(last), words))
+    words = lambda said: karaoke(said, F.floor((last - F.col(start)) / 10).cast("int")) if tags else said
+    return _bound(caption(text), lambda said: F.when(said.isNotNull(), F.format_string("Dialogue: 0,%s,%s,Main,,0,0,0,,%s", clock_centi(start), clock_centi(last), words(said))))
 
 
 def mask_text(text: str = "text", start: str = "start_ms", end: str = "end_ms", width: int = 1920, height: int = 1080, font: int = 32, margin_pct: float = 8.0) -> Column:
@@ -189,7 +188,8 @@ def write_audit(rows: DataFrame, path: str) -> None:
 
 def write_karaoke(segs: DataFrame, path: str, width: int = 1920, height: int = 1080, tags: bool = True) -> None:
     """``<project>.ass`` with a head and an event for each translated line, in order."""
-    rows = segs.withColumn("_line", karaoke_line(tags=tags)).where("_line is not null")
+    # of an array, or Spark makes each line twice: once for a filter
+    rows = segs.withColumn("_line", F.explode(F.array_compact(F.array(karaoke_line(tags=tags)))))
     project_files.write(rows, F.col("_line"), path, "ass", head=ASS_HEAD.format(**karaoke_style(width, height)))
 
 

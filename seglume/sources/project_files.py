@@ -5,8 +5,8 @@ commit moves them to their places, an abort removes the folder. A task that is t
 those of successful tasks are in its commit message, so a lost executor leaves nothing half written. A project's file
 is written by one task, line by line; projects are not held in memory.
 
-Reading: a partition for each file, parsed line by line (``srt``, ``ass``, or plain ``lines``); a filter on the project
-prunes files before any is opened.
+Reading: small files share a partition, so that tasks follow the bytes and not the projects; each file is parsed line by
+line (``srt``, ``ass``, or plain ``lines``); a filter on the project prunes files before any is opened.
 
 Paths are any that ``pyarrow.fs`` knows (``file:``, ``hdfs:``, ``s3:``); driver and executors must share them.
 
@@ -20,6 +20,7 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -30,6 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 NAME = "project_files"
+#: A partition of a reader has files up to so many bytes (or one file), and so many files.
+_BYTES, _FILES = 16 << 20, 256
+#: Files that a commit moves at a time.
+_MOVES = 8
 #: No quoted name is like this.
 _NULL = "%null"
 _SCHEMAS = {
@@ -52,10 +57,11 @@ def _project(path: str) -> str | None:
     return None if name == _NULL else unquote(name)
 
 
-def _files(path: str, suffix: str) -> list[str]:
+def _files(path: str, suffix: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the files in a folder."""
     where, root = _at(path)
     found = where.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted(f.path for f in found if f.is_file and f.path.endswith("." + suffix))
+    return sorted((f.base_name, f.size or 0) for f in found if f.is_file and f.path.endswith("." + suffix))
 
 
 # ---- writing
@@ -87,7 +93,8 @@ class Writer(DataSourceArrowWriter):
                 for key, text in zip(project, line):
                     if out is None or key != open_:
                         close()
-                        where.create_dir(folder, recursive=True)
+                        if out is None:
+                            where.create_dir(folder, recursive=True)
                         open_, name = key, _file_name(key, self.suffix)
                         files.append((posixpath.join(folder, f"{uuid.uuid4().hex}-{name}"), name))
                         out = where.open_output_stream(files[-1][0])
@@ -104,14 +111,18 @@ class Writer(DataSourceArrowWriter):
         names = [name for _, name in files]
         if len(set(names)) < len(names):
             raise ValueError("rows of one project came in several runs: deal them by project and sort them, as write() does")
-        for old in _files(self.path, self.suffix) if self.overwrite else []:
-            if posixpath.basename(old) not in set(names):
-                where.delete_file(old)
-        for temporary, name in files:
-            place = posixpath.join(root, name)
-            with suppress(FileNotFoundError):
-                where.delete_file(place)
-            where.move(temporary, place)
+        there, new = {name for name, _ in _files(self.path, self.suffix)}, set(names)
+
+        def place(file: tuple[str, str]) -> None:
+            temporary, name = file
+            if name in there:
+                where.delete_file(posixpath.join(root, name))
+            where.move(temporary, posixpath.join(root, name))
+
+        with ThreadPoolExecutor(_MOVES) as pool:
+            if self.overwrite:
+                list(pool.map(lambda name: where.delete_file(posixpath.join(root, name)), there - new))
+            list(pool.map(place, files))
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
@@ -173,17 +184,24 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        found = [f for f in _files(self.path, self.suffix) if self.only is None or _project(f) in self.only]
-        return [InputPartition(f) for f in found] or [InputPartition(None)]
+        groups, held = [[]], 0
+        for name, size in _files(self.path, self.suffix):
+            if self.only is not None and _project(name) not in self.only:
+                continue
+            if groups[-1] and (held + size > _BYTES or len(groups[-1]) == _FILES):
+                groups.append([])
+                held = 0
+            groups[-1].append(name)
+            held += size
+        return [InputPartition(names) for names in groups]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        where, _ = _at(self.path)
-        with where.open_input_file(partition.value) as raw, pa.PythonFile(raw, "r") as stream:
-            project = _project(partition.value)
-            for row in _PARSERS[self.form](_lines(stream)):
-                yield project, *row
+        where, root = _at(self.path)
+        for name in partition.value:
+            with where.open_input_file(posixpath.join(root, name)) as raw, pa.PythonFile(raw, "r") as stream:
+                project = _project(name)
+                for row in _PARSERS[self.form](_lines(stream)):
+                    yield project, *row
 
 
 def _lines(stream, size: int = 1 << 16) -> Iterator[str]:

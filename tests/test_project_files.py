@@ -68,3 +68,22 @@ def test_a_task_that_fails_leaves_nothing_and_keeps_what_was_there(spark, tmp_pa
     writer = project_files.Writer({"path": path}, True)
     with pytest.raises(ValueError, match="several runs"):
         writer.commit([project_files.Written([("x", "a.txt")]), project_files.Written([("y", "a.txt")])])
+
+
+def test_small_files_share_a_partition(spark, tmp_path, monkeypatch):
+    """A task a file takes longer to start than to read; whole files are dealt by their bytes and number, and none is lost."""
+    path = f"file://{tmp_path}/srt"
+    rows = spark.range(40).selectExpr("cast(id as string) as project", "1L as seq", "0L as start_ms", "id as end_ms", "repeat('x', 20) as text")
+    project_files.write(rows, files.srt_text(), path, "srt")
+    back = project_files.read(spark, path, "srt")
+    assert back.rdd.getNumPartitions() == 1
+    assert sorted((r.project, r.end_ms) for r in back.collect()) == sorted((str(i), i) for i in range(40))
+    reader = project_files.Reader({"path": path, "form": "srt"})
+    for most, number in (("_BYTES", 150), ("_FILES", 2)):
+        with monkeypatch.context() as m:
+            m.setattr(project_files, most, number)
+            parts = [p.value for p in reader.partitions()]
+        assert sorted(x for p in parts for x in p) == sorted(os.listdir(tmp_path / "srt")) and 20 <= len(parts) < 40
+    with monkeypatch.context() as m:
+        m.setattr(project_files, "_BYTES", 1)  # a file that is larger stands alone
+        assert len(reader.partitions()) == 40
