@@ -3,6 +3,7 @@
 import itertools
 from difflib import SequenceMatcher
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from seglume.functions import parsing, similarity
@@ -23,6 +24,16 @@ def test_ratio_is_the_library_s(a, b, cut):
         similarity.SMALL = small
 
 
+@given(st.lists(st.one_of(TEXT, st.text(max_size=12), st.sampled_from(("", "a" * 64, "ab" * 33))), min_size=4, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_ratios_of_many_pairs_are_the_library_s(texts):
+    texts += [t[1:] + t[:1] for t in texts]
+    i, j = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    want = [SequenceMatcher(None, texts[x], texts[y], autojunk=False).ratio() if texts[x] or texts[y] else 0.0 for x, y in zip(i, j)]
+    assert similarity.ratios(texts, texts, i, j).tolist() == want
+    assert similarity.ratios(texts, texts, i[:3], j[:3]).tolist() == want[:3]
+
+
 @given(TEXT, TEXT)
 @settings(max_examples=300, deadline=None)
 def test_bound_is_a_bound(a, b):

@@ -4,6 +4,7 @@ import random
 import unicodedata
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seglume.functions import text as t, unicode as u
@@ -54,6 +55,44 @@ def test_like_pairs_are_those_of_all_comparisons(spark):
     assert len(got) <= scored < len(want) / 4
 
 
+def test_texts_that_nearly_all_meet_are_no_joined_rows(spark, monkeypatch):
+    """Names of a few kinds and a number: nearly every pair shares rare tokens, several times. Only the rows of both sides are
+    dealt, in pieces; each pair comes once. Ids need not be of one type, and may be null."""
+    monkeypatch.setattr(similar, "_PIECE", 50)
+    rng = random.Random(7)
+    name = lambda: f"{rng.choice(('building', 'furniture', 'household'))} {rng.randrange(10**6):06d}"
+    left, right = ([(i % 2, i, name()) for i in range(300)] for _ in range(2))
+    right = [(k, f"r{i}", t) for k, i, t in right] + [(1, None, left[1][2]), (None, "none", left[1][2])]
+    a, b = spark.createDataFrame(left, "key long, id long, text string"), spark.createDataFrame(right, "key int, id string, text string")
+    want = {(k, i, j, SequenceMatcher(None, x, y, autojunk=False).ratio()) for k, i, x in left for m, j, y in right if k == m}
+    want = {r for r in want if r[3] >= 0.6}
+    found = similar.similar(a, b, 0.6)
+    # no row is a pair before it is scored
+    assert "Join" not in "".join(found._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[0])
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10_000
+    met = similar._meetings(a, b, 0.6).groupBy("cell", "at_a", "at_b").count()
+    assert max(r["count"] for r in met.collect()) <= 4 * similar._PIECE
+    assert similar.similar(a, b.limit(0), 0.6).count() == 0
+
+
+def test_pairs_are_counted_in_strips(monkeypatch):
+    """Strips of a cell give the pairs of the whole cell, once each, at the first token that both have."""
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(12), rng.randint(4, 8)) + [20]) for _ in range(30)]
+    sides = [False] * 13 + [True] * 17
+    for token in (20, 5):
+        rows = [k for k in range(30) if token in sets[k]]
+        m = sum(not sides[k] for k in rows)
+        cell = pa.table({"set": pa.array([sets[k] for k in rows], pa.list_(pa.int64())), "right": [sides[k] for k in rows], "token": [token] * len(rows)})
+        alike = lambda x, y: len(set(x) & set(y)) >= 0.3 * (len(x) + len(y)) and min(set(x) & set(y)) == token and 7 * min(len(x), len(y)) >= 3 * max(len(x), len(y))
+        want = sorted((i, j) for i in range(m) for j in range(len(rows) - m) if alike(sets[rows[i]], sets[rows[m + j]]))
+        for strip in (1, 40, 1 << 20):
+            monkeypatch.setattr(similar, "_STRIP", strip)
+            assert sorted((int(i), int(j)) for x, y in similar._alike(cell, 0.6) for i, j in zip(x, y)) == want
+    assert want
+
+
 def test_chapters_lose_their_boilerplate(spark):
     raw = "Chương 12 - 书名\r\n https://a.b/c \n笔趣阁\n(UU看书)\nps：求收藏\n看著天（求月票!）\n\n300字\n2024-05-06 07:08\n裏面，麼"
     got = spark.createDataFrame([(raw,), (None,), ("www.only.com",)], "x string").select(t.chapter("x").alias("c")).collect()
